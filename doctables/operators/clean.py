@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.frames import captured
 from ..functions.types import normalize_cell
 
 # Header parts which a flattened name leaves out.
@@ -46,8 +47,8 @@ def drop_empty_columns(grids: DataFrame) -> DataFrame:
         return F.transform("_kept", lambda i: F.get(row, i))
 
     return (
-        staged.withColumn("header", F.transform("header", pick))
-        .withColumn("body", F.transform("body", pick))
+        staged.withColumn("header", captured("_kept", F.transform("header", pick)))
+        .withColumn("body", captured("_kept", F.transform("body", pick)))
         .drop("_kept")
     )
 

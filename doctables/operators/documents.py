@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.frames import explodable
 from ..functions.text import strip
 from .markdown import TABLE_BLOCK, TABLE_LINE
 
@@ -34,14 +35,11 @@ def split_markdown(documents: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(body.alias("text"), table.alias("is_table"))
 
     pieces = F.flatten(
-        F.transform(
+        F.zip_with(
             "_between",
-            lambda before, i: F.transform(
-                F.array(
-                    chunk(strip(before), F.lit(False)),
-                    chunk(strip(F.coalesce(F.get("_blocks", i), F.lit(""))), F.lit(True)),
-                ),
-                lambda c: chunk(c["text"], c["is_table"] & is_table(c["text"])),
+            F.concat("_blocks", F.array(F.lit(""))),  # one more text than blocks
+            lambda text, block: F.array(
+                chunk(strip(text), F.lit(False)), chunk(strip(block), is_table(strip(block)))
             ),
         )
     )
@@ -60,7 +58,7 @@ def split_markdown(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def chunk_rows(split: DataFrame) -> DataFrame:
     """Long form: one row per chunk."""
-    return split.select("doc_id", F.posexplode("chunks").alias("pos", "c")).select(
+    return split.select("doc_id", F.posexplode(explodable("chunks")).alias("pos", "c")).select(
         "doc_id", "pos", F.col("c.text").alias("text"), F.col("c.is_table").alias("is_table")
     )
 
@@ -97,22 +95,21 @@ def replace_tables(split: DataFrame, descriptions: DataFrame) -> DataFrame:
     replaced = F.filter(
         F.transform("table_positions", details), lambda d: d["replacement"].isNotNull()
     )
-    staged = joined.withColumn("replacements", replaced).drop("_by_ordinal")
-    by_position = F.map_from_entries(
-        F.transform("replacements", lambda d: F.struct(d["position"], d["replacement"]))
+    ordinal = lambda i: F.array_position("table_positions", i)
+    new_chunks = F.transform(
+        "chunks",
+        lambda c, i: F.when(
+            c["is_table"],
+            F.coalesce(
+                format_description(ordinal(i), F.element_at("_by_ordinal", ordinal(i).cast("int"))),
+                c["text"],
+            ),
+        ).otherwise(c["text"]),
     )
     return (
-        staged.withColumn("_new", by_position)
-        .withColumn(
-            "new_chunks",
-            F.transform(
-                "chunks",
-                lambda c, i: F.when(
-                    c["is_table"], F.coalesce(F.element_at("_new", i), c["text"])
-                ).otherwise(c["text"]),
-            ),
-        )
-        .drop("_new")
+        joined.withColumn("replacements", replaced)
+        .withColumn("new_chunks", new_chunks)
+        .drop("_by_ordinal")
     )
 
 
@@ -134,7 +131,7 @@ def replacement_totals(replaced: DataFrame) -> DataFrame:
 
 
 def replacement_details(replaced: DataFrame) -> DataFrame:
-    return replaced.select("doc_id", F.explode("replacements").alias("d")).select(
+    return replaced.select("doc_id", F.explode(explodable("replacements")).alias("d")).select(
         "doc_id",
         "d.position",
         "d.table_id",
@@ -182,7 +179,7 @@ def table_references(processed: DataFrame, text: str = "processed") -> DataFrame
         F.transform(F.split(F.col(text), REFERENCE_PATTERN, -1), F.length).alias("_gaps"),
         F.regexp_extract_all(F.col(text), F.lit(REFERENCE_PATTERN), F.lit(0)).alias("_found"),
     )
-    parts = pieces.select("doc_id", "_gaps", F.posexplode("_found").alias("_k", "_match")).select(
+    parts = pieces.select("doc_id", "_gaps", F.posexplode(explodable("_found")).alias("_k", "_match")).select(
         "doc_id", "_k", F.get("_gaps", F.col("_k")).alias("_gap"), "_match"
     )
     so_far = W.partitionBy("doc_id").orderBy("_k")

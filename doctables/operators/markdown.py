@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import keep_rows
 from ..functions.text import WHITESPACE, file_stem, html_escape, strip
 from ..sources.grids import grid_from_columns
 
@@ -66,7 +67,7 @@ def parse_pipe_tables(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def pipe_table_grids(texts: DataFrame, text: str = "text") -> DataFrame:
     """One grid ``<stem>_markdown_table`` per text with a pipe table."""
-    found = parse_pipe_tables(texts, text).filter(F.size("table_rows") > 0)
+    found = keep_rows(parse_pipe_tables(texts, text), F.size("table_rows") > 0)
     return grid_from_columns(
         found,
         F.concat(file_stem(F.col("source_file")), F.lit("_markdown_table")),

@@ -107,9 +107,12 @@ def table_shapes(rows: DataFrame, cells: str = "cells") -> DataFrame:
     )
 
 
-def row_objects(body: Column) -> Column:
+def json_keys() -> Column:
+    return F.transform("columns", json_string)
+
+
+def row_objects(body: Column, keys: Column) -> Column:
     """Body rows as JSON objects keyed by column name; numbers stay numbers."""
-    keys = F.transform("columns", json_string)
 
     def one(row: Column) -> Column:
         values = F.transform(row, lambda c, i: json_literal(c, F.get("storage", i)))
@@ -137,7 +140,7 @@ def schema_records(profiled: DataFrame) -> DataFrame:
         "storage",
         F.when(good, F.map_from_arrays("columns", "labels")).alias("dtypes"),
         F.when(good, F.map_from_arrays("columns", "storage")).alias("storage_types"),
-        F.when(good, row_objects(F.slice("body", 1, SAMPLE_ROWS))).alias("sample"),
+        F.when(good, row_objects(F.slice("body", 1, SAMPLE_ROWS), json_keys())).alias("sample"),
         "ok",
         "error",
     )

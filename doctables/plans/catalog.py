@@ -31,6 +31,18 @@ SEARCH_FIELDS = ["table_id", "source_file", "description"]
 STORAGE_SQL = {"int64": "bigint", "float64": "double", "bool": "boolean"}
 ROWS_PER_FILE = 1_000_000
 
+# SQL functions of user queries; each is inlined into the plan as built-in expressions.
+SQL_FUNCTIONS = [
+    r"""CREATE OR REPLACE TEMPORARY FUNCTION json_extract(j STRING, path STRING) RETURNS STRING
+        RETURN get_json_object(j, regexp_replace(path, '\\.?"([^"]*)"', '[\'$1\']'))""",
+    r"""CREATE OR REPLACE TEMPORARY FUNCTION cast_integer(v STRING) RETURNS BIGINT
+        RETURN CASE WHEN v IS NOT NULL
+          THEN coalesce(try_cast(regexp_extract(ltrim(v), '^[+-]?\\d+', 0) AS BIGINT), 0) END""",
+    r"""CREATE OR REPLACE TEMPORARY FUNCTION cast_real(v STRING) RETURNS DOUBLE
+        RETURN CASE WHEN v IS NOT NULL THEN coalesce(try_cast(regexp_extract(ltrim(v),
+          '^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?', 0) AS DOUBLE), 0) END""",
+]
+
 
 def bucket_of(table_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(table_id), F.lit(buckets)).cast("int")
@@ -327,12 +339,15 @@ class Catalog:
     def sql(self, text: str, parameters: Mapping[str, object] | None = None) -> DataFrame:
         """A query over ``tables``, ``table_data`` and ``processing_sessions``.
 
-        Only queries are accepted; the frames enter as arguments of the statement, so no view
-        of the session is touched."""
+        Only queries are accepted. The frames become temporary views of these names, and
+        ``json_extract(json, '$."name"')``, ``cast_integer`` and ``cast_real`` are there as
+        functions, so that queries written for a JSON store of rows run as they are."""
         statement = text.strip().rstrip(";").strip()
         first = statement.split(None, 1)[0].upper() if statement else ""
         if first not in ("SELECT", "WITH", "VALUES", "(SELECT"):
             raise ValueError("only queries can be run on the catalog")
+        for create in SQL_FUNCTIONS:
+            self.spark.sql(create)
         self.tables().createOrReplaceTempView("tables")
         self.table_data().createOrReplaceTempView("table_data")
         self.sessions().createOrReplaceTempView("processing_sessions")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import keep_rows
 from ..operators.clean import name_columns, normalize_missing
 from ..operators.describe import template_text
-from ..operators.profile import profile_grids, row_objects, schema_records
+from ..operators.profile import json_keys, profile_grids, row_objects, schema_records
 from ..sources.grids import tables
 from .catalog import Catalog, session_log
 
@@ -22,7 +23,7 @@ def profiled_tables(extracted: DataFrame, **options) -> DataFrame:
 def stored_tables(records: DataFrame, descriptions: DataFrame | None, created_at: Column,
                   session_id: Column | None = None, table_type: str = "html") -> DataFrame:
     """Catalog metadata of good schema records; without descriptions, the template texts."""
-    good = records.filter("ok")
+    good = keep_rows(records, F.col("ok"))
     if descriptions is None:
         described = good.withColumn("description", template_text())
     else:
@@ -47,9 +48,10 @@ def stored_tables(records: DataFrame, descriptions: DataFrame | None, created_at
 
 def stored_rows(profiled: DataFrame, created_at: Column) -> DataFrame:
     """Catalog rows (one JSON object per body row) of good tables."""
-    return profiled.filter("ok").select(
+    good = keep_rows(profiled, F.col("ok")).withColumn("_keys", json_keys())
+    return good.select(
         "table_id",
-        F.posexplode(row_objects(F.col("body"))).alias("row_index", "row_data"),
+        F.posexplode(row_objects(F.col("body"), F.col("_keys"))).alias("row_index", "row_data"),
         created_at.alias("created_at"),
     )
 

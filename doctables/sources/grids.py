@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import explodable
+
 GRID_SCHEMA = (
     "doc_id string, source_file string, ordinal int, tables_found int, table_id string, "
     "html string, header array<array<string>>, body array<array<string>>, "
@@ -103,7 +105,7 @@ def _positions(n: Column) -> Column:
 def explode_rows(grids: DataFrame, *keep: str) -> DataFrame:
     """Long form: one row per body row with its index and cells."""
     return grids.select(
-        "doc_id", "table_id", *keep, F.posexplode("body").alias("row_index", "cells")
+        "doc_id", "table_id", *keep, F.posexplode(explodable("body")).alias("row_index", "cells")
     )
 
 

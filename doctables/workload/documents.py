@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.frames import explodable
 from ..operators import documents as docs
 from ..operators import stats
 from . import fixtures as fx
@@ -36,7 +37,7 @@ def table_positions(spark, sf):
 
 @query("w3_w4_replaced_chunks", "WITH " + fx.MARKDOWN_SQL + "SELECT doc_id, pos, text FROM swapped")
 def replaced_chunks(spark, sf):
-    return _replaced(spark, sf).select("doc_id", F.posexplode("new_chunks").alias("pos", "text"))
+    return _replaced(spark, sf).select("doc_id", F.posexplode(explodable("new_chunks")).alias("pos", "text"))
 
 
 @query("w5_processed_documents", "WITH " + fx.MARKDOWN_SQL + "SELECT doc_id, processed FROM final")
@@ -76,14 +77,15 @@ def replacement_reports(spark, sf):
 
 
 @query("w8_table_references", "WITH " + fx.MARKDOWN_SQL + """,
-at AS (
+place AS (
   SELECT doc_id, replacement, ordinal, pos,
-    66 + sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos) - length(text) - 2 + 1 - 1 AS start_position
+    length('<!-- This document has been processed with table descriptions -->') + 2
+      + sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos) - length(text) - 2 AS start_position
   FROM swapped)
 SELECT doc_id, ordinal AS table_id, 'Facts ' || ordinal || ' of document ' || doc_id || '.' AS description,
   CAST(start_position AS BIGINT) AS start_position, CAST(start_position + length(replacement) AS BIGINT) AS end_position,
   CAST(length('Facts ' || ordinal || ' of document ' || doc_id || '.') AS INTEGER) AS length
-FROM at WHERE replacement IS NOT NULL""")
+FROM place WHERE replacement IS NOT NULL""")
 def table_references(spark, sf):
     return docs.table_references(_assembled(spark, sf))
 
@@ -91,8 +93,8 @@ def table_references(spark, sf):
 @query("st1_document_statistics", "WITH " + fx.MARKDOWN_SQL + """,
 s AS (
   SELECT doc_id, count(*) AS chunks, count(replacement) AS done FROM swapped GROUP BY doc_id)
-SELECT md.doc_id, CASE WHEN d % 2 = 0 THEN 2 ELSE 1 END AS html_tables, s.chunks AS markdown_chunks,
-  length(md.text) AS markdown_length, CASE WHEN d % 2 = 0 THEN 2 ELSE 1 END AS total_descriptions,
+SELECT md.doc_id, CAST(CASE WHEN d % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS html_tables, s.chunks AS markdown_chunks,
+  length(md.text) AS markdown_length, CAST(CASE WHEN d % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS total_descriptions,
   (SELECT count(*) FROM described t WHERE t.doc_id = md.doc_id) AS successful_descriptions,
   s.done AS table_replacements, length(final.processed) - length(md.text) AS content_size_change,
   round(100.0 * (SELECT count(*) FROM described t WHERE t.doc_id = md.doc_id) / (CASE WHEN d % 2 = 0 THEN 2 ELSE 1 END), 4) AS description_success_rate,

@@ -87,12 +87,12 @@ marked AS (
 island AS (
   SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY blk ORDER BY row_index) AS g FROM marked),
 sized AS (
-  SELECT *, row_number() OVER (PARTITION BY blk, g ORDER BY row_index) - 2 AS at, count(*) OVER (PARTITION BY blk, g) AS n
+  SELECT *, row_number() OVER (PARTITION BY blk, g ORDER BY row_index) - 2 AS place, count(*) OVER (PARTITION BY blk, g) AS n
   FROM island WHERE NOT blank),
 ranked AS (SELECT *, dense_rank() OVER (PARTITION BY blk ORDER BY g) AS t FROM sized WHERE n > 1)
-SELECT 'parts_' || blk || '_table_' || t AS table_id, CAST(at AS BIGINT) AS row_index,
+SELECT 'parts_' || blk || '_table_' || t AS table_id, CAST(place AS BIGINT) AS row_index,
   c[1] AS c0, c[2] AS c1, c[3] AS c2, c[4] AS c3, c[5] AS c4
-FROM ranked WHERE at >= 0""")
+FROM ranked WHERE place >= 0""")
 def sheet_islands(spark, sf):
     sheets = fx.part_sheets(spark, sf).withColumn("stem", F.col("table_id"))
     rows = explode_rows(split_islands(sheets))
