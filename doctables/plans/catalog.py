@@ -30,6 +30,7 @@ REQUIRED_FIELDS = ["table_id", "source_file", "rows", "columns", "column_names",
 SEARCH_FIELDS = ["table_id", "source_file", "description"]
 STORAGE_SQL = {"int64": "bigint", "float64": "double", "bool": "boolean"}
 ROWS_PER_FILE = 1_000_000
+BROADCAST_VERSIONS = 200_000  # ids with a number each: some tens of MB
 
 # SQL functions of user queries; each is inlined into the plan as built-in expressions.
 SQL_FUNCTIONS = [
@@ -198,10 +199,29 @@ def latest_tables(tables: DataFrame) -> DataFrame:
     return tables.join(newest, ["table_id", "ingest_seq"], "left_semi")
 
 
-def latest_rows(tables: DataFrame, table_data: DataFrame) -> DataFrame:
-    """Rows of the newest version of every table, also if that version has none."""
-    newest = tables.groupBy("table_id").agg(F.max("ingest_seq").alias("ingest_seq"))
-    return table_data.join(newest, ["table_id", "ingest_seq"], "left_semi")
+def superseded_versions(tables: DataFrame) -> DataFrame:
+    """Versions (table_id, ingest_seq) that a later write has replaced."""
+    several = (
+        tables.groupBy("table_id")
+        .agg(F.max("ingest_seq").alias("_newest"), F.min("ingest_seq").alias("_oldest"))
+        .filter("_oldest < _newest")
+        .drop("_oldest")
+    )
+    return (
+        tables.select("table_id", "ingest_seq").join(several, "table_id")
+        .filter("ingest_seq < _newest").drop("_newest")
+    )
+
+
+def without_versions(versioned: DataFrame, superseded: DataFrame) -> DataFrame:
+    """Leave out superseded versions. Their number is counted first, on metadata only: mostly
+    there are none and nothing is joined; a few are broadcast; many meet by a shuffle."""
+    n = superseded.limit(BROADCAST_VERSIONS + 1).count()
+    if n == 0:
+        return versioned
+    if n <= BROADCAST_VERSIONS:
+        superseded = F.broadcast(superseded)
+    return versioned.join(superseded, ["table_id", "ingest_seq"], "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -252,10 +272,28 @@ class Catalog:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def _read(self, dataset: str, schema: str) -> DataFrame:
+    def _writes(self, dataset: str) -> set[int]:
+        """Numbers of the writes of a dataset that were completed."""
         if not self._exists(self._path(dataset)):
+            return set()
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(dataset))
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return {
+            int(s.getPath().getName().split("=")[1])
+            for s in fs.listStatus(root)
+            if s.getPath().getName().startswith("ingest_seq=")
+            and self._exists(s.getPath().toString() + "/_SUCCESS")
+        }
+
+    def _read(self, dataset: str, schema: str) -> DataFrame:
+        """A dataset without what an unfinished batch left: a batch counts once its metadata,
+        which is written last, is complete."""
+        here, committed = self._writes(dataset), self._writes("tables")
+        if not here & committed:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.format(self.format).schema(schema).load(self._path(dataset))
+        df = self.spark.read.format(self.format).schema(schema).load(self._path(dataset))
+        unfinished = here - committed
+        return df.filter(~F.col("ingest_seq").isin(*unfinished)) if unfinished else df
 
     # all versions
     def all_tables(self) -> DataFrame:
@@ -272,15 +310,15 @@ class Catalog:
         return latest_tables(self.all_tables())
 
     def table_data(self) -> DataFrame:
-        return latest_rows(self.all_tables(), self.all_table_data())
+        return without_versions(self.all_table_data(), superseded_versions(self.all_tables()))
 
     def rows_of(self, table_id: str) -> DataFrame:
-        """Current rows of one table; reads only its bucket."""
-        one = bucket_of(F.lit(table_id), self.buckets)
+        """Current rows of one table; reads only its bucket of its newest write."""
         wanted = F.col("table_id") == table_id
-        return latest_rows(
-            self.all_tables().filter(wanted),
-            self.all_table_data().filter((F.col("bucket") == one) & wanted),
+        newest = self.all_tables().filter(wanted).agg(F.max("ingest_seq").alias("n")).scalar()
+        one = bucket_of(F.lit(table_id), self.buckets)
+        return self.all_table_data().filter(
+            wanted & (F.col("bucket") == one) & (F.col("ingest_seq") == newest)
         )
 
     def typed_table(self, table_id: str) -> DataFrame:
@@ -288,7 +326,7 @@ class Catalog:
 
     def append(self, tables: DataFrame, table_data: DataFrame, sessions: DataFrame | None = None,
                ingest_seq: int = 0) -> None:
-        """Write one batch. Rows go first: a batch counts once its metadata is there."""
+        """Write one batch, its metadata last."""
         block = F.floor(F.col("row_index") / ROWS_PER_FILE)
         (
             table_data.select("table_id", F.col("row_index").cast("bigint"), "row_data", "created_at")

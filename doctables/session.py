@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -14,6 +14,8 @@ SETTINGS = {
     # Documents are large cells: bound what one Arrow batch holds by rows and by bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    # No Python call site per Column operation: plans with many expressions build faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -24,6 +26,13 @@ def builder(app_name: str = "doctables") -> SparkSession.Builder:
     return b
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than cores (a small file) dealt out to all cores; a large
+    input has splits enough and is left as it is, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder for written intermediate results: the one the cluster names, else (local
     runs only) a fresh temporary folder."""

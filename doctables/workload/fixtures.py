@@ -12,6 +12,7 @@ from ..operators.clean import name_columns, normalize_missing
 from ..operators.markdown import render_html
 from ..operators.profile import profile_grids, schema_records
 from ..plans.ingest import stored_rows, stored_tables
+from ..session import spread
 from ..sources.grids import grid_from_columns
 
 CUSTOMERS_PER_TABLE = 20
@@ -21,8 +22,12 @@ CUSTOMER_HEADER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegm
 SHEET_HEADER = ["p_partkey", "p_name", "", "Unnamed: 3", "p_size"]
 
 
+SMALL_TABLES = {"region", "nation", "supplier", "labels"}
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf}/{name}.parquet")
+    return scan if name in SMALL_TABLES else spread(scan)
 
 
 def strings(values: list[str]) -> Column:
