@@ -52,7 +52,7 @@ def compare(spark, con, sf: str, name: str) -> tuple[str, float]:
     types = {d[0]: str(d[1]) for d in out.description}
     odd = [
         f"{c}:{t}/{types[c]}" for c, t in df.dtypes
-        if TYPES.get(t, t) != types[c] and not (t.startswith("decimal") and types[c] == "HUGEINT")
+        if TYPES.get(t, t) != types[c]
     ]
     return f"ok {len(got)}" + (f"  types {odd}" if odd else ""), took
 

@@ -23,7 +23,7 @@ def lenient_integer(c: Column) -> Column:
     """SQLite's CAST AS INTEGER: the leading digits, 0 when there are none, NULL stays NULL."""
     digits = F.regexp_extract(F.ltrim(c), r"^[+-]?\d+", 0)
     return F.when(c.isNull(), F.lit(None).cast("bigint")).otherwise(
-        F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
+        F.coalesce(F.when(digits != "", digits.try_cast("bigint")), F.lit(0).cast("bigint"))
     )
 
 
@@ -31,5 +31,5 @@ def lenient_real(c: Column) -> Column:
     """SQLite's CAST AS REAL: the leading number, 0.0 when there is none, NULL stays NULL."""
     digits = F.regexp_extract(F.ltrim(c), r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?", 0)
     return F.when(c.isNull(), F.lit(None).cast("double")).otherwise(
-        F.coalesce(digits.try_cast("double"), F.lit(0.0))
+        F.coalesce(F.when(digits != "", digits.try_cast("double")), F.lit(0.0))
     )

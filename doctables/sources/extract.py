@@ -97,7 +97,7 @@ def scan_directory(spark: SparkSession, directory: str, recursive: bool = False,
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    files = reader.load(directory if recursive else directory.rstrip("/") + "/*")
+    files = reader.load(directory)
     return files.filter(file_extension(F.col("path")).isin(formats.extensions()))
 
 

@@ -94,11 +94,11 @@ def grouped(spark, sf):
 
 
 @query("j10_event_props", """
-SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS total FROM events GROUP BY 1""")
+SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1""")
 def event_props(spark, sf):
     k = number("k", "props", "bigint")
     done = fx.read(spark, sf, "events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(k).cast("decimal(38,0)").alias("total")
+        F.count(F.lit(1)).alias("n"), F.sum(k).alias("total")
     )
     return done
 
