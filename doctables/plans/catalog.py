@@ -327,11 +327,14 @@ class Catalog:
     def append(self, tables: DataFrame, table_data: DataFrame, sessions: DataFrame | None = None,
                ingest_seq: int = 0) -> None:
         """Write one batch, its metadata last."""
-        block = F.floor(F.col("row_index") / ROWS_PER_FILE)
-        (
+        rows = (
             table_data.select("table_id", F.col("row_index").cast("bigint"), "row_data", "created_at")
             .withColumn("bucket", bucket_of(F.col("table_id"), self.buckets))
-            .repartition("bucket", block)
+            .withColumn("_block", F.floor(F.col("row_index") / ROWS_PER_FILE))
+        )
+        (
+            # sized at run time: small buckets share a task, a large one is split
+            rows.hint("rebalance", "bucket", "_block").drop("_block")
             .sortWithinPartitions("bucket", "table_id", "row_index")
             .write.format(self.format).mode("overwrite").partitionBy("bucket")
             .save(f"{self._path('table_data')}/ingest_seq={ingest_seq}")

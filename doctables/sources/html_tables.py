@@ -12,43 +12,31 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-_ATTRS = r"((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)"
+_ATTRS = r"[^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*"
+_OPAQUE = r"!--.*?(?:-->|\Z)|(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)"
-    rf"|<(?P<close>/?)(?P<tag>table|thead|tbody|tfoot|tr|td|th)\b(?P<attrs>{_ATTRS})>",
-    re.I | re.S,
-)
-_DROPPED = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)"
-    r"|<(?P<t>\w+)\b[^>]*\bstyle\s*=[^>]*display\s*:\s*none[^>]*>.*?</(?P=t)\s*>",
-    re.I | re.S,
+    rf"<(?:(/?)(table|thead|tbody|tfoot|tr|td|th)\b({_ATTRS})>|{_OPAQUE})", re.I | re.S
 )
+_HIDDEN_ELEMENT = r"(\w+)\b[^>]*\bstyle\s*=[^>]*display\s*:\s*none[^>]*>.*?</\1\s*>"
+_DROPPED = re.compile(rf"<(?:{_HIDDEN_ELEMENT}|{_OPAQUE})", re.I | re.S)
 _BREAK = re.compile(r"<br\b[^>]*>", re.I)
 _TAG = re.compile(rf"</?[a-zA-Z!]{_ATTRS}>", re.S)
 _SPACES = re.compile(r"[\r\n]+|\s{2,}")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_COLSPAN = re.compile(r"\bcolspan\s*=\s*[\"']?\s*(\d+)", re.I)
+_ROWSPAN = re.compile(r"\browspan\s*=\s*[\"']?\s*(\d+)", re.I)
 
 MAX_EXPANDED_CELLS = 50_000_000  # a span that blows up beyond this is an error record
 
 
-@dataclass
-class _Cell:
-    tag: str
-    attrs: str
-    start: int
-    end: int = -1
-
-
-@dataclass
+@dataclass(slots=True)
 class _Row:
     section: str
     hidden: bool
-    cells: list[_Cell] = field(default_factory=list)
+    cells: list[list] = field(default_factory=list)  # [tag, attributes, start, end]
 
 
-@dataclass
+@dataclass(slots=True)
 class _Table:
     start: int
     hidden: bool
@@ -56,11 +44,11 @@ class _Table:
     section: str = ""
     rows: list[_Row] = field(default_factory=list)
     row: _Row | None = None
-    cell: _Cell | None = None
+    cell: list | None = None
 
     def close_cell(self, at: int) -> None:
         if self.cell is not None:
-            self.cell.end = at
+            self.cell[3] = at
             self.cell = None
 
     def close_row(self, at: int) -> None:
@@ -72,39 +60,43 @@ class _Table:
         self.rows.append(self.row)
 
 
+def _is_hidden(attrs: str) -> bool:
+    return bool(attrs) and bool(_HIDDEN.search(attrs))
+
+
 def _scan(text: str) -> list[_Table]:
+    """Find tables, rows and cells by their tags; a tag left open ends with its parent."""
     found: list[_Table] = []
     stack: list[_Table] = []
+    table: _Table | None = None
     for token in _TOKEN.finditer(text):
-        tag = token.group("tag")
+        closing, tag, attrs = token.groups()
         if tag is None:
             continue
-        tag, closing, at = tag.lower(), bool(token.group("close")), token.start()
+        tag, at = tag.lower(), token.start()
         if tag == "table":
-            if closing:
-                if stack:
-                    done = stack.pop()
-                    done.close_row(at)
-                    done.end = token.end()
-            else:
-                opened = _Table(at, bool(_HIDDEN.search(token.group("attrs"))))
-                found.append(opened)
-                stack.append(opened)
-            continue
-        if not stack:
+            if not closing:
+                table = _Table(at, _is_hidden(attrs))
+                found.append(table)
+                stack.append(table)
+            elif stack:
+                done = stack.pop()
+                done.close_row(at)
+                done.end = token.end()
+                table = stack[-1] if stack else None
+        elif table is None:
             continue
-        table = stack[-1]
-        if tag in ("td", "th"):
+        elif tag == "td" or tag == "th":
             table.close_cell(at)
             if not closing:
                 if table.row is None:
                     table.open_row(False)
-                table.cell = _Cell(tag, token.group("attrs"), token.end())
+                table.cell = [tag, attrs, token.end(), -1]
                 table.row.cells.append(table.cell)
         elif tag == "tr":
             table.close_row(at)
             if not closing:
-                table.open_row(bool(_HIDDEN.search(token.group("attrs"))))
+                table.open_row(_is_hidden(attrs))
         else:
             table.close_row(at)
             table.section = "" if closing else tag
@@ -122,8 +114,8 @@ def cell_text(fragment: str) -> str:
     return _SPACES.sub(" ", fragment.strip())
 
 
-def _span(attrs: str, name: str) -> int:
-    value = re.search(rf"\b{name}\s*=\s*[\"']?\s*(\d+)", attrs, re.I)
+def _span(pattern: re.Pattern, attrs: str) -> int:
+    value = pattern.search(attrs)
     return max(int(value.group(1)), 1) if value else 1
 
 
@@ -137,31 +129,27 @@ def _expand(text: str, rows: list[_Row]) -> list[list[str]]:
             line: list[str] = []
             kept: dict[int, tuple[str, int]] = {}
 
-            def take_held() -> None:
-                while len(line) in held:
-                    value, left = held.pop(len(line))
-                    if left > 1:
-                        kept[len(line)] = (value, left - 1)
-                    line.append(value)
+            def place(value: str, down: int) -> None:
+                if down > 1:
+                    kept[len(line)] = (value, down - 1)
+                line.append(value)
 
-            for cell in row.cells if row else []:
-                if _HIDDEN.search(cell.attrs):
+            for _, attrs, start, end in row.cells if row else ():
+                if not attrs and not held:
+                    line.append(cell_text(text[start:end]))
                     continue
-                value = cell_text(text[cell.start : cell.end])
-                down = _span(cell.attrs, "rowspan")
-                for _ in range(_span(cell.attrs, "colspan")):
-                    take_held()
-                    if down > 1:
-                        kept[len(line)] = (value, down - 1)
-                    line.append(value)
-                    if size + len(line) > MAX_EXPANDED_CELLS:
-                        raise ValueError("spans expand to too many cells")
-            take_held()
-            for at in sorted(held):  # a span beyond the end of a short row
-                value, left = held.pop(at)
-                if left > 1:
-                    kept[len(line)] = (value, left - 1)
-                line.append(value)
+                if _is_hidden(attrs):
+                    continue
+                value, down = cell_text(text[start:end]), _span(_ROWSPAN, attrs)
+                across = _span(_COLSPAN, attrs)
+                if size + len(line) + across * down > MAX_EXPANDED_CELLS:
+                    raise ValueError("spans expand to too many cells")
+                for _ in range(across):
+                    while len(line) in held:
+                        place(*held.pop(len(line)))
+                    place(value, down)
+            for at in sorted(held):  # the rest, also beyond the end of a short row
+                place(*held.pop(at))
             if row is None and not line:
                 break
             out.append(line)
@@ -180,7 +168,7 @@ def _grid(text: str, table: _Table) -> tuple[list[list[str]], list[list[str | No
     body = [r for r in rows if r.section == "tbody"] + [r for r in rows if r.section == ""]
     foot = [r for r in rows if r.section == "tfoot"]
     if not head:
-        while body and all(c.tag == "th" for c in body[0].cells):
+        while body and all(c[0] == "th" for c in body[0].cells):
             head.append(body.pop(0))
     head_rows = _expand(text, head)
     lines = _expand(text, body) + _expand(text, foot)

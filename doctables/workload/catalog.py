@@ -324,3 +324,13 @@ def unseen(spark, sf):
     """Pages of a scan minus those known: the ones whose id has a label of quality 1."""
     known = fx.read(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("page_id"))
     return new_documents(fx.read(spark, sf, "pages"), known, on=("page_id",)).select("page_id", "url")
+
+
+@query("u3_store_format", _W + "SELECT table_id, n_rows AS rows, n_rows AS stored_rows FROM shape")
+def store_format(spark, sf):
+    """The catalog kept in another file format."""
+    catalog = c.Catalog(spark, shared_folder(spark, "u3"), format="orc", buckets=8)
+    catalog.append(fx.catalog_tables(spark, sf), fx.catalog_rows(spark, sf))
+    return c.tables_with_actual_rows(catalog.tables(), catalog.table_data()).select(
+        "table_id", "rows", F.col("actual_rows").alias("stored_rows")
+    )

@@ -337,3 +337,97 @@ def nations_per_region(spark, sf):
         F.count(F.lit(1)).alias("n_nations"),
         F.sum(number("key", type_="bigint")).alias("key_sum"),
     )
+
+
+@query("s1_directory_scan", "WITH " + fx.CUSTOMER_SQL + "SELECT v0 AS c0, v1 AS c1, v2 AS c2, v3 AS c3, v4 AS c4 FROM cust")
+def directory_scan(spark, sf):
+    """The pages written to files (several pages a file), the folder scanned and extracted."""
+    from ..sources.extract import extract_files, file_documents, scan_directory
+    from .catalog import shared_folder
+
+    folder = shared_folder(spark, "s1")
+    (
+        fx.customer_pages(spark, sf).select("html").write.option("maxRecordsPerFile", 50)
+        .option("extension", "htm").option("quote", "").option("escape", "").option("sep", "\x01").csv(folder)
+    )
+    found = tables(extract_files(file_documents(scan_directory(spark, folder))))
+    return explode_rows(found).select(*[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(5)])
+
+
+@query("s6_workbook_sheets", "WITH " + fx.CUSTOMER_SQL + """
+SELECT 'customers_' || blk || '_Customers' AS table_id, CAST(row_index AS BIGINT) AS row_index, v0 AS c0, v1 AS c1, nullif(v3, '') AS c2
+FROM (SELECT blk, row_index, v0, v1, CASE WHEN v3 = '' THEN '' ELSE v3 END AS v3 FROM cust)
+UNION ALL SELECT 'customers_' || blk || '_Balances', row_index, v0, NULL, nullif(v3, '') FROM cust""")
+def workbook_sheets(spark, sf):
+    """Every sheet with data of every workbook; missing cells are NULL."""
+    from ..sources.extract import extract_files
+
+    found = tables(extract_files(fx.customer_workbooks(spark, sf)))
+    rows = explode_rows(found, "ordinal")
+    at = F.when(F.col("ordinal") == 1, 3).otherwise(2)
+    return rows.select(
+        "table_id", F.col("row_index").cast("bigint").alias("row_index"), F.get("cells", F.lit(0)).alias("c0"),
+        F.get("cells", F.lit(1)).alias("c1"), F.nullif(F.get("cells", at), F.lit("")).alias("c2"),
+    )
+
+
+@query("s7_sheet_names", """
+SELECT 'crm/customers_' || blk || '.XLSX' AS source_file, CAST(p AS BIGINT) AS sheet_pos, n AS sheet_name
+FROM (SELECT DISTINCT c_custkey // 20 AS blk FROM customer), (VALUES (0, 'Customers'), (1, 'Empty'), (2, 'Balances')) v(p, n)""")
+def sheet_names(spark, sf):
+    from ..sources.extract import list_sheets
+
+    return list_sheets(fx.customer_workbooks(spark, sf))
+
+
+@query("s8_one_sheet", "WITH " + fx.CUSTOMER_SQL + """
+SELECT table_id AS block, 'key, Column_2, balance' AS column_names, CAST(row_index AS BIGINT) AS row_index, v0 AS key, nullif(v3, '') AS balance FROM cust""")
+def one_sheet(spark, sf):
+    from ..operators.clean import name_blank_headers
+    from ..sources.extract import extract_sheet
+
+    found = name_blank_headers(tables(extract_sheet(fx.customer_workbooks(spark, sf), "Balances")))
+    return explode_rows(found, "header").select(
+        F.concat(F.lit("customer_"), F.col("doc_id")).alias("block"),
+        F.array_join(F.get("header", F.lit(0)), ", ").alias("column_names"),
+        F.col("row_index").cast("bigint").alias("row_index"), F.get("cells", F.lit(0)).alias("key"), F.get("cells", F.lit(2)).alias("balance"),
+    )
+
+
+@query("s16_markdown_counts", """
+SELECT page_id, CAST(len(regexp_extract_all(html, '<h1')) AS INTEGER) AS headings, CAST(len(regexp_extract_all(html, '<li')) AS INTEGER) AS items,
+  false AS scripts FROM pages""")
+def markdown_counts(spark, sf):
+    """Headings and list items of each page found again in its markdown, and no script."""
+    done = page_markdown(spark, sf)
+    lines = F.split("text", "\n")
+    return done.select(
+        F.col("doc_id").cast("bigint").alias("page_id"),
+        F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("# ")))).alias("headings"),
+        F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("- ")))).alias("items"),
+        F.contains("text", F.lit("track(")).alias("scripts"),
+    )
+
+
+@query("u1_registered_format", """
+SELECT 'note_' || s_suppkey || '_pairs' AS table_id, CAST(i AS BIGINT) AS row_index, CASE i WHEN 0 THEN 'name' ELSE 'nation' END AS key,
+  CASE i WHEN 0 THEN s_name ELSE CAST(s_nationkey AS VARCHAR) END AS value
+FROM supplier, (VALUES (0), (1)) v(i)""")
+def registered_format(spark, sf):
+    """A user's parser for files of ``key=value`` lines, beside the formats that are there."""
+    from ..sources.extract import DEFAULT_FORMATS, extract_files
+    from ..sources.html_tables import ParsedTable
+
+    def parse(content):
+        lines = content.decode().splitlines()
+        return [ParsedTable("pairs", None, [["key", "value"]], [x.split("=", 1) for x in lines])]
+
+    files = fx.read(spark, sf, "supplier").select(
+        fx.text("s_suppkey").alias("doc_id"),
+        F.concat(F.lit("notes/note_"), fx.text("s_suppkey"), F.lit(".kv")).alias("source_file"),
+        F.concat(F.lit("name="), F.col("s_name"), F.lit("\nnation="), fx.text("s_nationkey")).cast("binary").alias("content"),
+    )
+    found = tables(extract_files(files, DEFAULT_FORMATS.register("pairs", [".kv"], parse)))
+    return explode_rows(found).select(
+        "table_id", F.col("row_index").cast("bigint").alias("row_index"), F.get("cells", F.lit(0)).alias("key"), F.get("cells", F.lit(1)).alias("value")
+    )
