@@ -54,13 +54,11 @@ def is_date(c: Column) -> Column:
 
 
 def cell_kind(c: Column, dates: bool = False) -> Column:
+    word = F.length(c) <= max(map(len, BOOLEAN_WORDS))  # spares longer texts the word lists
     kind = (
         F.when(c.isNull(), "m")
         .when(c == "-", "d")
-        .when(strip(c) == "", "e")
         .when(c.isin("0", "1"), "z")
-        .when(c.isin(BOOLEAN_LITERALS), "t")
-        .when(is_boolean(c), "b")
         .when(
             is_integer(c),
             F.when(F.contains(c, F.lit("_")), "u")
@@ -68,6 +66,9 @@ def cell_kind(c: Column, dates: bool = False) -> Column:
             .otherwise("n"),
         )
         .when(is_float(c), "f")
+        .when(word & c.isin(BOOLEAN_LITERALS), "t")
+        .when(word & is_boolean(c), "b")
+        .when(strip(c) == "", "e")
     )
     if dates:
         kind = kind.when(is_date(c), "D")

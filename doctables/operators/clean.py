@@ -195,23 +195,46 @@ def split_islands(grids: DataFrame) -> DataFrame:
     )
 
 
-def reindex_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Re-index long-form rows (table_id, row_index, ...) to 0..n-1 within each table.
-
-    A table may be any share of the data, so it is never put into one task: rows are numbered
-    within blocks of the old index, and only one count per block is summed along a table."""
+def _blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with the block of their index, and per block the rows before it in its table."""
     blocked = rows.withColumn("_block", F.floor(F.col("row_index") / F.lit(block_rows)))
     before = W.partitionBy("table_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy("table_id", "_block")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
     )
+    return blocked, offsets
+
+
+def _ranked(blocked: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Add ``_rank``: the place of a row in its table, from 0."""
     within = W.partitionBy("table_id", "_block").orderBy("row_index")
     return (
-        blocked.withColumn("_at", F.row_number().over(within))
-        .join(offsets, ["table_id", "_block"])
-        .withColumn("row_index", F.col("_offset") + F.col("_at") - 1)
-        .drop("_block", "_at", "_offset")
+        blocked.join(offsets.drop("_n"), ["table_id", "_block"])
+        .withColumn("_rank", F.col("_offset") + F.row_number().over(within) - 1)
+        .drop("_block", "_offset")
     )
+
+
+def reindex_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Re-index long-form rows (table_id, row_index, ...) to 0..n-1 within each table.
+
+    A table may be any share of the data, so it is never put into one task: rows are numbered
+    within blocks of the old index, and only one count per block is summed along a table."""
+    ranked = _ranked(*_blocks(rows, block_rows))
+    return ranked.withColumn("row_index", F.col("_rank")).drop("_rank")
+
+
+def rows_between(rows: DataFrame, offset: int, limit: int | None,
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows offset .. offset+limit-1 of each table in index order, whatever gaps the index has.
+
+    Block counts tell which blocks hold them; only the rows of these blocks are ranked."""
+    blocked, offsets = _blocks(rows, block_rows)
+    hit = F.col("_offset") + F.col("_n") > offset
+    wanted = F.col("_rank") >= offset
+    if limit is not None:
+        hit = hit & (F.col("_offset") < offset + limit)
+        wanted = wanted & (F.col("_rank") < offset + limit)
+    return _ranked(blocked, offsets.filter(hit)).filter(wanted).drop("_rank")

@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.clean import rows_between
+
 TABLES_SCHEMA = (
     "table_id string, doc_id string, source_file string, table_type string, rows bigint, "
     "columns bigint, column_names array<string>, column_types map<string,string>, "
@@ -91,13 +93,11 @@ def search(tables: DataFrame, term: str, fields: list[str] | None = None,
 
 def table_rows(table_data: DataFrame, table_id: str, limit: int | None = None,
                offset: int = 0) -> DataFrame:
-    """Rows of a table as a map with its index; rows which are no JSON object are skipped.
-    Limit and offset are a range of the row index, so nothing is sorted to find them."""
+    """Rows of a table as a map with its index, in order; of those picked by limit and offset,
+    the ones which are no JSON object are skipped."""
     rows = table_data.filter(F.col("table_id") == table_id)
-    if offset:
-        rows = rows.filter(F.col("row_index") >= offset)
-    if limit is not None:
-        rows = rows.filter(F.col("row_index") < offset + limit)
+    if offset or limit is not None:
+        rows = rows_between(rows, offset, limit)
     parsed = F.when(
         F.try_parse_json("row_data").isNotNull(), F.from_json("row_data", "map<string,string>")
     )
@@ -146,12 +146,12 @@ def store_summary(tables: DataFrame, table_data: DataFrame, sessions: DataFrame)
     """Totals of tables, rows, sessions and distinct sources: one row."""
     one = F.count(F.lit(1))
     return tables.agg(
-        one.alias("total_tables"), F.count_distinct("source_file").alias("unique_sources")
+        one.alias("total_tables"), F.count_distinct("source_file").alias("unique_source_files")
     ).select(
         "total_tables",
         table_data.agg(one.alias("n")).scalar().alias("total_rows"),
         sessions.agg(one.alias("n")).scalar().alias("total_sessions"),
-        "unique_sources",
+        "unique_source_files",
     )
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..plans import catalog as c
-from ..plans.ingest import new_documents, profiled_tables, stored_rows, stored_tables
+from ..plans.ingest import ingest, new_documents
 from ..session import checkpoint_root
 from . import fixtures as fx
 from .registry import query
@@ -67,16 +67,13 @@ def stored(spark, sf):
     from ..sources.extract import extract_pages
 
     catalog = c.Catalog(spark, shared_folder(spark, "k2"), buckets=8)
-    profiled = profiled_tables(extract_pages(fx.customer_pages(spark, sf)))
-    from ..operators.profile import schema_records
-
-    records = schema_records(profiled)
     described = fx.customer_blocks(spark, sf).filter(F.col("blk") % 2 == 0).select(
         fx.text("blk").alias("doc_id"), F.lit(1).alias("ordinal"),
         F.concat(F.lit("Customers of block "), fx.text("blk")).alias("description"),
     )
-    catalog.append(
-        stored_tables(records, described, fx.created_at()), stored_rows(profiled, fx.created_at())
+    ingest(
+        extract_pages(fx.customer_pages(spark, sf)), catalog, F.lit("2024-01-01").cast("timestamp"),
+        run="k2", descriptions=described,
     )
     typed = F.transform(
         "column_names", lambda n: F.concat(n, F.lit(" ("), F.element_at("column_types", n), F.lit(")"))
@@ -213,6 +210,14 @@ def table_rows(spark, sf):
     )
 
 
+@query("g6_table_rows_large", """
+SELECT o_orderkey AS _row_index, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 700 OFFSET 1200""")
+def table_rows_large(spark, sf):
+    """Limit and offset in a table of many rows whose index has gaps."""
+    rows = c.table_rows(fx.order_rows(spark, sf), "orders_F", limit=700, offset=1200)
+    return rows.select("_row_index", F.col("row")["Priority"].alias("priority"))
+
+
 @query("g7_typed_table", """
 SELECT c_custkey % 20 AS row_index, c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey,
   CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey // 20 = 4""")
@@ -240,7 +245,7 @@ def recent_sessions(spark, sf):
 
 @query("g9_store_summary", _W + """
 SELECT (SELECT count(*) FROM shape) AS total_tables, (SELECT count(*) FROM cust) AS total_rows,
-  (SELECT count(*) FROM sessions) AS total_sessions, (SELECT count(DISTINCT source_file) FROM shape) AS unique_sources""")
+  (SELECT count(*) FROM sessions) AS total_sessions, (SELECT count(DISTINCT source_file) FROM shape) AS unique_source_files""")
 def store_summary(spark, sf):
     return c.store_summary(fx.catalog_tables(spark, sf), fx.catalog_rows(spark, sf), fx.catalog_sessions(spark, sf))
 

@@ -63,22 +63,37 @@ def projection(spark, sf):
 SELECT source_file, o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total
 FROM rows_ JOIN tables_ USING (table_id) GROUP BY ALL""")
 def join_metadata(spark, sf):
-    joined = j.join_metadata(fx.order_rows(spark, sf), fx.order_tables(spark, sf), ["source_file"])
-    return joined.groupBy("source_file", field("Priority").alias("priority")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(number("Total Price")), 2).alias("total")
+    """Totals per source: rows are summed per table first, then meet the metadata."""
+    per_table = fx.order_rows(spark, sf).groupBy("table_id", field("Priority").alias("priority")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(number("Total Price")).alias("total")
     )
+    joined = j.join_metadata(per_table, fx.order_tables(spark, sf), ["source_file"])
+    return joined.groupBy("source_file", "priority").agg(
+        F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total")
+    )
+
+
+@query("j9_rows_with_metadata", _W + "SELECT table_id, row_index, source_file FROM rows_ JOIN tables_ USING (table_id) WHERE o_totalprice > 400000")
+def rows_with_metadata(spark, sf):
+    """Every matching row with the source of its table."""
+    rows = j.rows_where_number(fx.order_rows(spark, sf), "Total Price", low=400000)
+    joined = j.join_metadata(rows, fx.order_tables(spark, sf), ["source_file"])
+    return joined.select("table_id", "row_index", "source_file")
 
 
 @query("j9_join_stored_tables", _W + """
 SELECT c_mktsegment AS segment, count(*) AS n FROM rows_ JOIN customer ON o_custkey = c_custkey
 WHERE (c_custkey // 20) % 4 <> 3 GROUP BY 1""")
 def join_stored(spark, sf):
-    """Order rows with the rows of the customer tables they point to."""
-    orders = fx.order_rows(spark, sf).select(number("Customer", type_="bigint").alias("k"))
+    """Order rows with the rows of the customer tables they point to; orders are counted per
+    customer before they meet, so a customer with most of the orders is one row."""
+    orders = fx.order_rows(spark, sf).groupBy(number("Customer", type_="bigint").alias("k")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
     customers = fx.catalog_rows(spark, sf).select(
         number("c_custkey", type_="bigint").alias("k"), field("c_mktsegment").alias("segment")
     ).filter(~F.col("segment").isin("yes", "no"))
-    return orders.join(customers, "k").groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    return orders.join(customers, "k").groupBy("segment").agg(F.sum("n").alias("n"))
 
 
 @query("j10_grouped_aggregates", _W + """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sample import SAMPLE_PAGE
 
 from doctables.operators import answers, describe, export, jsonrows
-from doctables.operators.clean import reindex_rows
+from doctables.operators.clean import reindex_rows, rows_between
 from doctables.operators.profile import schema_records
 from doctables.plans import catalog as c
 from doctables.plans.ingest import ingest, profiled_tables
@@ -197,6 +197,13 @@ def test_numbering_and_reindexing(spark):
     assert [i for _, i in hot] == list(range(3334))
 
 
+def test_limit_and_offset_with_gaps(spark):
+    rows = spark.range(1000).select(F.lit("t").alias("table_id"), (F.col("id") * 37).alias("row_index"))
+    for offset, limit in ((0, 5), (250, 100), (990, 50), (3, None), (5000, 5)):
+        got = [r["row_index"] for r in rows_between(rows, offset, limit, block_rows=100).orderBy("row_index").collect()]
+        assert got == [i * 37 for i in range(1000)][offset : None if limit is None else offset + limit]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source, batch, stream = tmp_path / "in", c.Catalog(spark, str(tmp_path / "b"), buckets=2), c.Catalog(spark, str(tmp_path / "s"), buckets=2)
     table = pages(spark, "p1", "p2").select(F.col("source_file").alias("url"), "html")
