@@ -93,8 +93,11 @@ def _cell_text(c: str) -> Column:
 def text_lines(result: DataFrame, order_by: list[str]) -> DataFrame:
     """Lines of the text form as ``(line_no, line)``: header, rule, padded rows, a rule after
     every ten rows. Column widths come from one aggregation and enter as constants."""
-    columns = result.columns
-    widths = result.agg(
+    return _lines(number_rows(result, order_by), result.columns)
+
+
+def _lines(numbered: DataFrame, columns: list[str]) -> DataFrame:
+    widths = numbered.agg(
         F.struct(
             *[
                 F.least(
@@ -113,9 +116,9 @@ def text_lines(result: DataFrame, order_by: list[str]) -> DataFrame:
     top = head.select(F.lit(1).cast("bigint").alias("line_no"), "line").unionByName(
         head.select(F.lit(2).cast("bigint").alias("line_no"), rule.alias("line"))
     )
-    numbered = number_rows(result, order_by).select("row_no", row.alias("line"))
+    rows = numbered.select("row_no", row.alias("line"))
     at = F.col("row_no") + 2 + F.floor((F.col("row_no") - 1) / RULE_EVERY)
-    lines = numbered.select(
+    lines = rows.select(
         F.explode(
             F.when(
                 F.col("row_no") % RULE_EVERY == 0,
@@ -132,7 +135,8 @@ def text_lines(result: DataFrame, order_by: list[str]) -> DataFrame:
 def export_txt(result: DataFrame, path: str, query: str | None = None,
                exported_at: str | None = None, order_by: list[str] | None = None) -> str:
     """Fixed-width text, in part files that follow each other in line order."""
-    n = result.count()
+    numbered = number_rows(result, order_by or result.columns)  # the result is computed once
+    n = numbered.count()
     rule = "=" * 60
     banner = [rule, "QUERY RESULTS", rule]
     if query:
@@ -142,7 +146,7 @@ def export_txt(result: DataFrame, path: str, query: str | None = None,
     top = spark.range(1).select(
         F.posexplode(F.array(*[F.lit(x) for x in banner])).alias("line_no", "line")
     ).select((F.col("line_no") - len(banner)).cast("bigint").alias("line_no"), "line")
-    lines = top.unionByName(text_lines(result, order_by or result.columns))
+    lines = top.unionByName(_lines(numbered, result.columns))
     lines.orderBy("line_no").select("line").write.mode("overwrite").text(path)
     return path
 

@@ -193,12 +193,6 @@ def with_observed_count(result: DataFrame):
     return result.observe(seen, F.count(F.lit(1)).alias("row_count")), seen
 
 
-def latest_tables(tables: DataFrame) -> DataFrame:
-    """The newest version of every table id; one version per id and write."""
-    newest = tables.groupBy("table_id").agg(F.max("ingest_seq").alias("ingest_seq"))
-    return tables.join(newest, ["table_id", "ingest_seq"], "left_semi")
-
-
 def superseded_versions(tables: DataFrame) -> DataFrame:
     """Versions (table_id, ingest_seq) that a later write has replaced."""
     several = (
@@ -213,15 +207,15 @@ def superseded_versions(tables: DataFrame) -> DataFrame:
     )
 
 
-def without_versions(versioned: DataFrame, superseded: DataFrame) -> DataFrame:
-    """Leave out superseded versions. Their number is counted first, on metadata only: mostly
-    there are none and nothing is joined; a few are broadcast; many meet by a shuffle."""
+def without_versions(superseded: DataFrame, *versioned: DataFrame) -> list[DataFrame]:
+    """Leave superseded versions out of frames. Their number is counted first, on metadata only:
+    mostly there are none and nothing is joined; a few are broadcast; many meet by a shuffle."""
     n = superseded.limit(BROADCAST_VERSIONS + 1).count()
     if n == 0:
-        return versioned
+        return list(versioned)
     if n <= BROADCAST_VERSIONS:
         superseded = F.broadcast(superseded)
-    return versioned.join(superseded, ["table_id", "ingest_seq"], "left_anti")
+    return [v.join(superseded, ["table_id", "ingest_seq"], "left_anti") for v in versioned]
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -306,23 +300,36 @@ class Catalog:
         return self._read("processing_sessions", SESSIONS_SCHEMA)
 
     # current versions
+    def current(self) -> tuple[DataFrame, DataFrame]:
+        """Metadata and rows of the newest version of every table."""
+        tables = self.all_tables()
+        tables_now, rows_now = without_versions(
+            superseded_versions(tables), tables, self.all_table_data()
+        )
+        return tables_now, rows_now
+
     def tables(self) -> DataFrame:
-        return latest_tables(self.all_tables())
+        return self.current()[0]
 
     def table_data(self) -> DataFrame:
-        return without_versions(self.all_table_data(), superseded_versions(self.all_tables()))
+        return self.current()[1]
 
-    def rows_of(self, table_id: str) -> DataFrame:
-        """Current rows of one table; reads only its bucket of its newest write."""
+    def _newest(self, table_id: str) -> Column:
+        """A condition on the id and its newest write."""
         wanted = F.col("table_id") == table_id
         newest = self.all_tables().filter(wanted).agg(F.max("ingest_seq").alias("n")).scalar()
+        return wanted & (F.col("ingest_seq") == newest)
+
+    def metadata_of(self, table_id: str) -> DataFrame:
+        return self.all_tables().filter(self._newest(table_id))
+
+    def rows_of(self, table_id: str) -> DataFrame:
+        """Current rows of one table; reads only its bucket of its newest write."""
         one = bucket_of(F.lit(table_id), self.buckets)
-        return self.all_table_data().filter(
-            wanted & (F.col("bucket") == one) & (F.col("ingest_seq") == newest)
-        )
+        return self.all_table_data().filter(self._newest(table_id) & (F.col("bucket") == one))
 
     def typed_table(self, table_id: str) -> DataFrame:
-        return typed_table(self.tables(), self.rows_of(table_id), table_id)
+        return typed_table(self.metadata_of(table_id), self.rows_of(table_id), table_id)
 
     def append(self, tables: DataFrame, table_data: DataFrame, sessions: DataFrame | None = None,
                ingest_seq: int = 0) -> None:
@@ -364,9 +371,8 @@ class Catalog:
         if not self._exists(self._path("tables")):
             return False
         other = Catalog(self.spark, target, self.format, self.buckets)
-        other.append(
-            self.tables().drop("ingest_seq"), self.table_data(), self.sessions().drop("ingest_seq")
-        )
+        tables, rows = self.current()
+        other.append(tables.drop("ingest_seq"), rows, self.sessions().drop("ingest_seq"))
         return True
 
     def restore(self, source: str) -> bool:
@@ -389,12 +395,13 @@ class Catalog:
             raise ValueError("only queries can be run on the catalog")
         for create in SQL_FUNCTIONS:
             self.spark.sql(create)
-        self.tables().createOrReplaceTempView("tables")
-        self.table_data().createOrReplaceTempView("table_data")
+        tables, rows = self.current()
+        tables.createOrReplaceTempView("tables")
+        rows.createOrReplaceTempView("table_data")
         self.sessions().createOrReplaceTempView("processing_sessions")
         return self.spark.sql(statement, args=dict(parameters) if parameters else None)
 
     def schema_overview(self) -> tuple[DataFrame, DataFrame]:
         """All tables, and the totals, for a consumer."""
-        tables, rows = self.tables(), self.table_data()
+        tables, rows = self.current()
         return all_tables(tables), store_summary(tables, rows, self.sessions())

@@ -34,14 +34,12 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder for written intermediate results: the one the cluster names, else (local
-    runs only) a fresh temporary folder."""
+    """The folder for written intermediate results: the one the cluster names, else one set
+    before, else (local runs only) a fresh temporary folder."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="doctables-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="doctables-checkpoint-"))
+    return (named or context.getCheckpointDir()).rstrip("/")

@@ -84,6 +84,15 @@ DEFAULT_FORMATS = (
 )
 
 
+def file_glob(formats: Formats) -> str:
+    """A glob for file names of known formats in any letter case, so that a scan does not read
+    the content of other files."""
+    def any_case(extension: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in extension)
+
+    return "*{" + ",".join(any_case(e) for e in formats.extensions()) + "}"
+
+
 def scan_directory(spark: SparkSession, directory: str, recursive: bool = False,
                    formats: Formats = DEFAULT_FORMATS) -> DataFrame:
     """All supported files of a directory; a path which is missing or no directory is an error."""
@@ -94,7 +103,7 @@ def scan_directory(spark: SparkSession, directory: str, recursive: bool = False,
         raise FileNotFoundError(f"Directory not found: {directory}")
     if not fs.getFileStatus(path).isDirectory():
         raise NotADirectoryError(f"Path is not a directory: {directory}")
-    reader = spark.read.format("binaryFile")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", file_glob(formats))
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     files = reader.load(directory)

@@ -10,15 +10,23 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..plans.catalog import Catalog
 from ..plans.ingest import ingest
-from ..sources.extract import extract_pages, page_documents
+from ..sources.extract import (
+    DEFAULT_FORMATS,
+    Formats,
+    extract_pages,
+    file_glob,
+    page_documents,
+)
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def stream_files(spark: SparkSession, directory: str, max_files_per_batch: int = 10_000) -> DataFrame:
+def stream_files(spark: SparkSession, directory: str, max_files_per_batch: int = 10_000,
+                 formats: Formats = DEFAULT_FORMATS) -> DataFrame:
     """New files of a directory as they arrive."""
     return (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+        .option("pathGlobFilter", file_glob(formats))
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files_per_batch)
         .load(directory)
     )

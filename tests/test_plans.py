@@ -8,7 +8,7 @@ import pytest
 from doctables.workload import QUERIES
 
 PACKAGE = Path(__file__).parent.parent / "doctables"
-PYTHON = ("s4_", "s5_", "s2_page_extraction", "s13_", "s14_", "s16_", "d2_", "d4_", "p6_", "k2_", "i2_", "st2_", "extract_")
+PYTHON = ("s1_", "s6_", "s7_", "s8_", "u1_", "s4_", "s5_", "s2_page_extraction", "s13_", "s14_", "s16_", "d2_", "d4_", "p6_", "k2_", "i2_", "st2_", "extract_")
 
 
 def plan(df) -> str:
@@ -22,7 +22,7 @@ def test_library_does_not_collect():
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if re.match(r"[a-z]+\d", n) and not n.startswith(PYTHON)])
 def test_native_queries_stay_in_the_jvm(spark, sf, name):
-    if name[0] in "kgxi":  # these write and read back; their inputs are covered by the others
+    if name[0] in "kgxiu":  # these write and read back; their inputs are covered by the others
         return
     text = plan(QUERIES[name](spark, sf))
     assert "MapInArrow" not in text and "MapInPandas" not in text
