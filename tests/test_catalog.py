@@ -231,3 +231,36 @@ def test_file_stream(spark, tmp_path):
         extract=lambda b: extract_files(file_documents(b)), created_at=stamp(),
     ).awaitTermination()
     assert sorted(r["table_id"] for r in cat.tables().collect()) == ["g_table_1", "g_table_2"]
+
+
+def test_a_dominating_table_is_spread_over_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(c, "ROWS_PER_FILE", 1000)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        rows = spark.range(20_000).select(
+            F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 50)).alias("table_id"),
+            F.col("id").alias("row_index"), F.lit('{"a": 1}').alias("row_data"), stamp().alias("created_at"),
+        )
+        tables = rows.groupBy("table_id").agg(F.count("*").alias("rows")).selectExpr(
+            "table_id", "'d' doc_id", "'s' source_file", "'html' table_type", "rows", "1L columns", "array('a') column_names",
+            "map('a', 'integer') column_types", "map('a', 'int64') storage_types", "'' html_content", "'' description",
+            "'' session_id", "timestamp'2024-01-01' created_at",
+        )
+        cat = c.Catalog(spark, str(tmp_path), buckets=4)
+        cat.append(tables, rows)
+        hot = cat.rows_of("hot")
+        assert hot.count() == rows.filter("table_id = 'hot'").count()
+        assert hot.select(F.input_file_name()).distinct().count() > 3
+        assert cat.table_data().count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_answers_on_an_empty_catalog(spark, tmp_path):
+    cat = c.Catalog(spark, str(tmp_path / "nothing"))
+    asked = spark.createDataFrame([(1, "What is there?")], "question_id bigint, question string")
+    assert answers.sql_prompts(asked, cat.tables()).first()["prompt"].count("No tables available.") == 1
+    parts = answers.analysis_prompt_parts(asked, cat.tables()).collect()
+    assert [p["part"] for p in parts] == ["opening", "question"] and answers.EMPTY_CONTEXT in parts[0]["text"]
+    assert c.store_summary(cat.tables(), cat.table_data(), cat.sessions()).first() == (0, 0, 0, 0)
+    assert c.chat_summary(cat.tables(), cat.table_data()).first() == (0, 0, 0)
