@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import tokens  # noqa: F401
+from . import packing, tokens  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
