@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, tokens  # noqa: F401
+from . import langid, minhash, mixing, packing, tokens  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
