@@ -20,7 +20,7 @@ from .common import crc_of_id, table, worker_store
 from .registry import query
 
 UNKNOWN = "und"
-LEVEL = 3
+LEVEL = 9
 #: The bounded sample: at most so many training texts per language, and of each as many bytes as give DICTIONARY together.
 SAMPLE_TEXTS = 400
 DICTIONARY = 1 << 16
