@@ -30,13 +30,17 @@ BLOCK_PAGES = (
     f"""<html><body><div id="header"><div class="logo">Valley Paper</div></div><div class="sidebar"><p>{_LONG}</p><ul><li><a href="/">{_MID}</a></li></ul></div>
     <div class="post-content"><h2>@@High water</h2><p>@@{_LONG}</p><div>@@{_MID}</div><p>@@{_SHORT}</p><ol><li>@@Stay inside</li></ol>
     <p>@@See <a href="/map">the map</a></p></div><div class="banner">{_MID}</div><p>Printed on paper from the mill. {_SHORT}</p></body></html>""",
-    f"""<html><body><p>Skip to the text</p><main><h1>@@Dry again</h1><p>@@{_MID}</p><p>@@{_SHORT}</p><h2>@@What now</h2><div>@@{_LONG}</div>
+    f"""<html><body><p>Skip to the text</p><main><h1>@@Dry again</h1><p>@@{_MID}</p><p>@@{_SHORT}</p><h2>@@What now</h2><div>@@{_LONG}</div><div>@@{_SHORT}</div><div>@@<a href="/d">Dams</a></div><div>@@{_LONG}</div>
     <div class="alert">{_MID}</div></main><p>{_MID}</p><div>{_LONG}</div></body></html>""",
     f"""<html><body><div>Menu of the day</div><p>{_LONG}</p><div class="entry"><h1>@@Wells</h1><p>@@{_LONG}</p><p>@@{_SHORT}</p><p>@@{_MID}</p><div>@@{_MID}</div><ul>
     <li>@@<a href="/w">Wells of the valley</a></li><li>@@<a href="/x">Old pumps</a></li></ul><div>@@{_SHORT}</div><p>@@<a href="/y">{_MID}</a></p><div>@@{_LONG}</div><p>@@<a href="/z">{_SHORT}</a></p><p>@@{_LONG}</p></div><p>{_LONG}</p>
     <p>{_SHORT}</p><h3>{_SHORT}</h3><p>{_MID}</p><div>{_LONG}</div><ul><li>{_MID}</li></ul></body></html>""",
     f"""<html><body><p>{_MID}</p><h2>Paper</h2><article><h1>@@Wind</h1><p>@@{_SHORT}</p><p>@@<a href="/1">Wind in the hills</a></p><p>@@{_LONG}</p>
     <div>@@{_SHORT}</div><p>@@{_MID}</p></article><h3>Weather</h3><p>{_LONG}</p><div>{_LONG}</div><p>{_SHORT}</p><p>{_LONG} <a href="/">{_SHORT}</a></p></body></html>""",
+    # Any block and any order of blocks inside a marked part is text, links too.
+    "<html><body><div>Paper</div><main>" + "".join(
+        f"<{a}>@@{x}</{a}><{b}><a href='/l'>@@{y}</a></{b}>" for a, b in (("p", "div"), ("div", "div"), ("div", "p"), ("h2", "div"))
+        for x, y in ((_LONG, _MID), (_SHORT, _MID), (_MID, _SHORT), (_LONG, _SHORT))) + f"</main><p>{_LONG}</p><div>{_LONG}</div></body></html>",
     # Nothing marked: words and links decide.
     f"""<html><body><div><a href="/">Home</a> <a href="/n">News</a> <a href="/w">Weather</a></div><h1>@@The mill</h1><p>@@{_LONG}</p><p>@@{_MID}</p>
     <p>@@{_LONG} <a href="m">the mill</a></p><p>@@{_SHORT}</p><ul><li><a href="/1">More on mills</a></li><li><a href="/2">{_MID}</a></li></ul>

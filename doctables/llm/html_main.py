@@ -57,9 +57,10 @@ COMMENT_NAMES = frozenset("comment comments reply ad ads advert promo sponsored
 HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 WHITE = re.compile(r"\s+")
 
+#: place: 0 in what stands around an article, 2 in a marked main part, 1 where the page marks neither.
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-    "in_frame", "in_main", "in_text_tag", "in_list", "in_table", "outside_main")
+    "place", "in_text_tag", "in_list", "in_table")
 
 
 class Element:
@@ -116,7 +117,7 @@ def blocks_of(page: str) -> tuple[list[str], list[list[float]]]:
             if text and holder is not None:
                 words = text.count(" ") + 1
                 texts.append(text)
-                rows.append([words, min(1.0, linked / words), 0, 0, 0, 0, holder.frame, holder.main, holder.text, holder.list, holder.table, 0])
+                rows.append([words, min(1.0, linked / words), 0, 0, 0, 0, 0 if holder.frame else 2 if holder.main else 1, holder.text, holder.list, holder.table])
             parts.clear()
         linked, holder = 0, None
 
@@ -190,7 +191,8 @@ def blocks_of(page: str) -> tuple[list[str], list[list[float]]]:
             row[2], row[3] = rows[i - 1][0], rows[i - 1][1]
         if i + 1 < len(rows):
             row[4], row[5] = rows[i + 1][0], rows[i + 1][1]
-        row[11] = has_main and not row[7]
+        if has_main and row[6] == 1:  # a page that marks its main part has the rest elsewhere
+            row[6] = 0
     return texts, rows
 
 

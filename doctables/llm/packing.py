@@ -11,8 +11,9 @@ length by a range sort, and each finds its place in the plan by that number."""
 from __future__ import annotations
 
 import bisect
-import re
+import gc
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from .registry import query
 CAPACITY = 2048
 END_ID = 0
 BATCH_CHARS = 1 << 21
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_200_000
 CACHED_CHARS = 40
 NNLS_STEPS = 60
 #: Unicode's white space, and ASCII signs that a byte-level pre-tokenizer splits from a letter before them.
@@ -38,9 +39,9 @@ TAIL = ".,;:!?#$%&*()"
 class IdCoder:
     """Token ids of whole texts with a byte-level BPE tokenizer, as little-endian 32-bit words.
 
-    Such a tokenizer starts a token at every single space before a word, and around a line feed
-    between words; so a text is looked up word by word, and only words not yet seen are encoded. A
-    text with other white space between words, or with a special string, is encoded as it is."""
+    Such a tokenizer starts a token at a single space before a word, and around a line feed between
+    words; so a text is looked up word by word, and only words not yet seen are encoded. A text
+    with longer white space between words, or with a special string, is encoded as it is."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,62 +50,68 @@ class IdCoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.markers = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.plain: dict[str, bytes] = {}  # words as such
-        self.spaced: dict[str, bytes] = {}  # what follows a space, with that space
-        self.odd = re.compile(f" [{SPACES}]|\n[{SPACES}]|[{SPACES.replace(' ', '').replace(chr(10), '')}]| $")
+        self.plain: dict[str, bytes] = {}  # texts as such
+        self.spaced: dict[str, bytes | None] = {}  # what follows a space, with that space; None where it can't stand alone
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def learn(self, words: set[str]) -> None:
-        """Fill ``spaced`` for ``words``: split at line feeds, and signs apart from the letter before."""
-        split: dict[str, list[str]] = {}
+        """Fill ``spaced`` for ``words``; one that starts with a line feed has no space before it. Signs
+        behind a letter are encoded apart from it."""
+        plain, spaced = self.plain, self.spaced
+        stems: set[str] = set()  # after a space
+        bare: set[str] = set()
+        made: list[tuple[str, str, list[str]]] = []
         for word in words:
-            parts: list[str] = []
-            for k, line in enumerate(word.split("\n")):
-                lead = " " if k == 0 else ""
-                parts += ["\n"] if k else []
-                stem = line.rstrip(TAIL)
-                if stem and len(stem) < len(line) and stem[-1].isalpha():
-                    parts += [lead + stem, line[len(stem):]]
-                elif line or lead:
-                    parts.append(lead + line)
-            split[word] = parts
-        new = list({p for parts in split.values() for p in parts}.difference(self.plain))
-        self.plain.update(zip(new, self.encode(new), strict=True))
-        plain = self.plain
-        for word, parts in split.items():
-            self.spaced[word] = plain[parts[0]] if len(parts) == 1 else b"".join([plain[p] for p in parts])
+            if word.isalpha():
+                stems.add(word)
+                continue
+            line = word[1:] if word[:1] == "\n" else word
+            if not line or line[0] in SPACES:
+                spaced[word] = None
+                continue
+            stem = line.rstrip(TAIL)
+            rest = [line[len(stem):]] if stem and len(stem) < len(line) and stem[-1].isalpha() else []
+            stem = stem if rest else line
+            if line is word:
+                stems.add(stem)
+            else:
+                rest, stem = ["\n", stem, *rest], ""
+            bare.update(rest)
+            made.append((word, stem, rest))
+        new = list(stems.difference(spaced))
+        spaced.update(zip(new, self.encode([" " + x for x in new]), strict=True))
+        new = list(bare.difference(plain))
+        plain.update(zip(new, self.encode(new), strict=True))
+        for word, stem, rest in made:
+            spaced[word] = (spaced[stem] if stem else b"") + b"".join([plain[x] for x in rest])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of a batch of whole texts."""
-        if len(self.plain) > CACHED_WORDS or len(self.spaced) > CACHED_WORDS:
-            self.plain.clear()
-            self.spaced.clear()
-        out: list[bytes] = [b""] * len(texts)
-        whole, easy = [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            # A text is made to start with a space, whose token is then taken off with the first word.
-            if text[0] in SPACES or text[-1] in SPACES or any(m in text for m in self.markers) or self.odd.search(text):
+        plain, spaced = self.plain, self.spaced
+        if len(plain) + len(spaced) > CACHED_WORDS:
+            plain.clear()
+            spaced.clear()
+        split = [text.replace("\n", " \n").split(" ") for text in texts]
+        new = set().union(*[words[1:] for words in split]).difference(spaced)
+        if new:
+            self.learn(new)
+        out: list[bytes] = []
+        whole = []
+        for i, (text, words, start) in enumerate(zip(texts, split, self.encode([words[0] for words in split]), strict=True)):
+            ids = [spaced[w] for w in words[1:]]
+            if None in ids or " \n" in text or any(m in text for m in self.markers):
                 whole.append(i)
+                out.append(b"")
             else:
-                easy.append((i, text.split(" ")))
+                out.append(start + b"".join(ids))
         for i, ids in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        if easy:
-            new = set().union(*(words[1:] for _, words in easy)).difference(self.spaced)
-            if new:
-                self.learn(new)
-            spaced = self.spaced
-            starts = self.encode([words[0] for _, words in easy])
-            for (i, words), start in zip(easy, starts, strict=True):
-                out[i] = start + b"".join(map(spaced.__getitem__, words[1:]))
-            for word in [w for w in new if len(w) > CACHED_CHARS]:
+        for word in new:
+            if len(word) > CACHED_CHARS:
                 del spaced[word]
-                self.plain.pop(" " + word, None)
         return out
 
 
@@ -144,6 +151,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(tokenizer)
+        gc.disable()  # many small lists and no cycles: collecting them again and again costs more than the work
         for batch in batches:
             for first, texts in groups(batch.column(1)):
                 rows, piece, start, length, crc, kept = [], [], [], [], [], []
