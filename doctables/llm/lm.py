@@ -36,7 +36,7 @@ LEAST_COUNT = 2
 #: Least count of each level; a level stands for the middle of its counts.
 LEVELS = np.asarray(sorted({math.ceil(1.5 ** k) for k in range(64)} | {1, 2, 3, 4}), dtype=np.int64)
 LEVEL_VALUES = np.concatenate([[0.0], np.sqrt(LEVELS[:-1] * (LEVELS[1:] - 1.0)), [float(LEVELS[-1])]])
-MU = 60.0
+MU = 1000.0
 #: Words whose counts go with the tasks: at most so many, the most frequent ones (12 bytes each).
 FREQUENT = 1 << 21
 END_HASH = 1  # no hash of a word, those are over 2**63
