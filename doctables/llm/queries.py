@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import html_main, langid, lm, minhash, mixing, outliers, packing, tokens, warc  # noqa: F401
+from . import caps, html_main, langid, lm, minhash, mixing, outliers, packing, tokens, warc  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
