@@ -162,7 +162,7 @@ def draw(units: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
         most = counts.agg(F.max("blocks")).first()[0] or 1
         blocked = units.join(counts, "source_no").withColumn("block", F.pmod(F.xxhash64("unit", F.lit(level)), F.col("blocks")))
         flown = written(
-            blocked.groupBy("source_no", "block").applyInArrow(flight(most == 1), schema),
+            blocked.repartition("source_no", "block").groupBy("source_no", "block").applyInArrow(flight(most == 1), schema),
             folder, f"flight-{level}")
         is_open = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         done.append(flown.where(~is_open))
