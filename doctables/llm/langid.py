@@ -110,13 +110,14 @@ def judge(text: str | None, compressors: list, margin: float) -> tuple[str, floa
     return compressors[best][0], score, bool(behind <= margin * len(data))
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", margin: float = MARGIN, level: int = LEVEL) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and lang_rejected (narrow margin, or no letter).
+def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", margin: float = MARGIN, level: int = LEVEL,
+             keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (by default all columns) of ``docs`` with lang_pred, score (0 to 1) and lang_rejected (narrow margin, or no letter).
 
     ``und`` with score 0 where the text is null or has no letter; ties go to the first language by name. Columns of
     ``docs`` with these names are replaced. One narrow pass; the model is bounded and goes with the tasks."""
     results = ["lang_pred", "score", "lang_rejected"]
-    kept = [c for c in docs.columns if c not in results]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("lang_rejected", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
