@@ -86,15 +86,18 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str = "p
     keepers = facts.where(is_first).select(F.col("page_id").alias("_id"), F.col("payload_key").alias("_key")).distinct()
     stored = records.select("page_id", "payload_key", "payload")
     stored.join(keepers, stored["page_id"].eqNullSafe(keepers["_id"]) & (stored["payload_key"] == keepers["_key"]), "left_semi").select(
-        "payload_key", "payload", F.col("page_id").alias("stored_by")).write.mode("overwrite").parquet(f"{folder}/payloads")
+        "payload_key", "payload", F.col("page_id").alias("stored_by")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
     return folder
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """payload_key and payload of each different payload; fails where stored bytes don't have their digest."""
+    """payload_key, payload, payload_bytes and payload_digest (both of the bytes as read) of each different payload;
+    fails where stored bytes don't have their SHA-256."""
     found = spark.read.parquet(f"{folder}/payloads")
     bad = F.raise_error(F.concat(F.lit("stored payload does not match its digest "), "payload_key"))
     checked = found.withColumn("payload_key", F.when(F.sha2("payload", 256) == F.col("payload_key"), F.col("payload_key")).otherwise(bad.cast("string")))
+    # Measured before any join: a reader that doesn't want the bytes shuffles only the measures.
+    checked = checked.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": base32_of_hex(F.sha1("payload"))})
     # Rows that repeat an id with its payload are stored alike; one is read.
     return checked.withColumn("_n", F.row_number().over(W.partitionBy("payload_key").orderBy("stored_by"))).where("_n = 1").drop("_n", "stored_by")
 
@@ -107,7 +110,8 @@ def field(name: str, header: Column | str = "header") -> Column:
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    """The original records: page_id, record_id, header, payload (for a revisit: of the record it refers to)."""
+    """The original records: page_id, record_id, header, payload (for a revisit: of the record it refers to) and the
+    payload's measures."""
     return spark.read.parquet(f"{folder}/headers").join(payloads(spark, folder), "payload_key")
 
 
@@ -160,7 +164,7 @@ FROM w""")
 def op3_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), shared_folder(spark), min_bytes=0)
     read = records(spark, folder).select(
-        "page_id", "record_id", F.length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"),
+        "page_id", "record_id", "payload_bytes", "payload_digest",
         field("WARC-Payload-Digest").alias("declared"), field("WARC-Type").alias("record_type"), field("WARC-Refers-To").alias("refers"))
     bad = F.raise_error(F.concat(F.lit("payload digest differs in "), "record_id")).cast("string")
     read = read.withColumn("payload_digest", F.when(F.concat(F.lit("sha1:"), "payload_digest") == F.col("declared"), F.col("payload_digest")).otherwise(bad))
