@@ -74,7 +74,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order: st
     for name, pieces in sorted(parts.items()):
         # A language with few texts fills its dictionary by repeating them, so that all have one size.
         whole = b" ".join(pieces)
-        out[name] = (b" ".join([whole] * (-(-dictionary // (len(whole) + 1)))))[:dictionary]
+        out[name] = b" ".join([whole] * (dictionary // (len(whole) + 1) + 1))[:dictionary]
     return out
 
 

@@ -71,7 +71,7 @@ def sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
     """One row of ``size`` coordinates (unsigned 64-bit) per non-empty set."""
     n, t = len(sets), np.uint64(size)
     best = np.full((n, size), np.iinfo(np.uint64).max, dtype=np.uint64)
-    lengths = np.asarray([len(s) for s in sets])
+    lengths = np.asarray([len(s) for s in sets], dtype=np.int64)
     elements, owner = np.concatenate(sets) if n else np.zeros(0, np.uint64), np.repeat(np.arange(n), lengths)
     flat = best.ravel()
     low = np.uint64((1 << 52) - 1)
@@ -134,7 +134,7 @@ def linked_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
     root = np.arange(n)
     if n < 2:
         return root
-    lengths = np.asarray([len(s) for s in sets])
+    lengths = np.asarray([len(s) for s in sets], dtype=np.int64)
     elements, owner = np.concatenate(sets), np.repeat(np.arange(n), lengths)
     order = np.argsort(elements, kind="stable")
     elements, owner = elements[order], owner[order]
