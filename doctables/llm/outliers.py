@@ -192,7 +192,9 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     kept = [c for c in docs.columns if c != text] if keep is None else keep
     names = list(FEATURES)
     stats = statistics(docs.select(*[F.col(c).alias(f"_k_{c}") for c in kept], F.col(lang).alias("_l"), F.col(source).alias("_s"), F.col(text).alias("text")))
-    rows = written(grouped(vectors(stats), "_l", "_s", least), folder, "vectors")
+    # Stored before it is grouped: the counts per group and the rows read the vectors, not the texts again.
+    rows = grouped(written(vectors(stats), folder, "vectors"), "_l", "_s", least)
+    rows = written(rows, folder, "grouped")
     parameters = mcd(rows.where(~F.col("base_failed")).select("group", *names), folder, names)
     limit = chi2_quantile(1 - tail, len(names))
     out = with_distance(rows, parameters, names)
