@@ -57,11 +57,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order: st
     by the language's count comes before the ranking, so no language meets in one task), and from each a
     passage from its middle. The bound is languages times ``dictionary`` bytes, on the driver too."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(order).alias("id"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("lang").count().collect()  # a row per language, as the model has
+    if not counts:
+        return {}
     passage = dictionary // sample_texts
-    hashed = rows.withColumn("hash", F.xxhash64("id", F.length("text")))
-    share = F.when(F.col("n") > 2 * sample_texts, F.lit(2.0 * sample_texts) / F.col("n")).otherwise(1.0)
-    near = hashed.join(counts, "lang").where(F.pmod("hash", F.lit(1 << 40)) < share * float(1 << 40))
+    share = F.create_map(*[F.lit(x) for name, n in counts for x in (name, min(1.0, 2.0 * sample_texts / n))])
+    near = rows.withColumn("hash", F.xxhash64("id", F.length("text"))).where(F.pmod("hash", F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - 4 * passage) / 2).cast("int"))
     near = near.select("lang", "hash", F.substring("text", middle, F.lit(4 * passage)).alias("part"))
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("hash", "part"))).where(F.col("rank") <= sample_texts)
