@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,20 +26,13 @@ def builder(app_name: str = "doctables") -> SparkSession.Builder:
     return b
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan with fewer splits than cores (a small file) dealt out to all cores; a large
-    input has splits enough and is left as it is, without a shuffle."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder for written intermediate results: the one the cluster names, else one set
-    before, else (local runs only) a fresh temporary folder."""
+    """The folder for written intermediate results: the one the cluster names, else one set before.
+    Where neither is, a run on one machine (``local[..]``) gets a fresh temporary folder; others fail."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if not named and not context.master.startswith("local"):
+        if not named and context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="doctables-checkpoint-"))
     return (named or context.getCheckpointDir()).rstrip("/")

@@ -162,14 +162,14 @@ _ARROW_SCHEMA = pa.schema([
     ("header", pa.list_(pa.list_(pa.string()))), ("body", pa.list_(pa.list_(pa.string()))),
     ("ok", pa.bool_()), ("error", pa.string()),
 ])
-_FLUSH_CELLS = 200_000
+_FLUSH_CELLS, _FLUSH_CHARS = 200_000, 32_000_000
 
 
 def _parse_batches(parsers: dict[str, Parser]):
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            held = 0
+            held = chars = 0
             columns = [batch.column(n) for n in ("doc_id", "source_file", "stem", "format", "content", "error")]
             for i in range(batch.num_rows):
                 doc_id, source, stem, format_, content, error = (c[i].as_py() for c in columns)
@@ -183,11 +183,12 @@ def _parse_batches(parsers: dict[str, Parser]):
                     out.append((doc_id, source, 0, 0, None, None, None, None, error is None, error))
                 for ordinal, t in enumerate(found, 1):
                     held += 1 + sum(map(len, t.body))
+                    chars += len(t.html or "") + sum(len(c or "") for r in t.body for c in r)
                     out.append((doc_id, source, ordinal, len(found), f"{stem}_{t.name}", t.html,
                                 t.header, t.body, t.error is None, t.error))
-                if held > _FLUSH_CELLS:
+                if held > _FLUSH_CELLS or chars > _FLUSH_CHARS:
                     yield _to_batch(out)
-                    out, held = [], 0
+                    out, held, chars = [], 0, 0
             if out:
                 yield _to_batch(out)
 

@@ -12,13 +12,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-_ATTRS = r"[^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*"
+# Attributes as HTML reads them: a quote counts only behind "=", an unquoted value runs to a blank or ">".
+_ATTRS = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?|[\"'])*+"
 _OPAQUE = r"!--.*?(?:-->|\Z)|(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)"
 _TOKEN = re.compile(
-    rf"<(?:(/?)(table|thead|tbody|tfoot|tr|td|th)\b({_ATTRS})>|{_OPAQUE})", re.I | re.S
+    rf"<(?:(/?)(table|thead|tbody|tfoot|tr|td|th)(?=[\s/>])({_ATTRS})>|{_OPAQUE})", re.I | re.S
 )
-_HIDDEN_ELEMENT = r"(\w+)\b[^>]*\bstyle\s*=[^>]*display\s*:\s*none[^>]*>.*?</\1\s*>"
-_DROPPED = re.compile(rf"<(?:{_HIDDEN_ELEMENT}|{_OPAQUE})", re.I | re.S)
+_ELEMENT = re.compile(rf"<(?:(/?)([a-z][^\s/>]*+)({_ATTRS})>|{_OPAQUE})", re.I | re.S)
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BREAK = re.compile(r"<br\b[^>]*>", re.I)
 _TAG = re.compile(rf"</?[a-zA-Z!]{_ATTRS}>", re.S)
 _SPACES = re.compile(r"[\r\n]+|\s{2,}")
@@ -26,7 +27,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _COLSPAN = re.compile(r"\bcolspan\s*=\s*[\"']?\s*(\d+)", re.I)
 _ROWSPAN = re.compile(r"\browspan\s*=\s*[\"']?\s*(\d+)", re.I)
 
-MAX_EXPANDED_CELLS = 50_000_000  # a span that blows up beyond this is an error record
+# Fixed values of the HTML standard: larger spans count as these.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 @dataclass(slots=True)
@@ -69,7 +71,8 @@ def _scan(text: str) -> list[_Table]:
     found: list[_Table] = []
     stack: list[_Table] = []
     table: _Table | None = None
-    for token in _TOKEN.finditer(text):
+    # Behind the last ">" no tag can end.
+    for token in _TOKEN.finditer(text, 0, text.rfind(">") + 1):
         closing, tag, attrs = token.groups()
         if tag is None:
             continue
@@ -100,30 +103,55 @@ def _scan(text: str) -> list[_Table]:
         else:
             table.close_row(at)
             table.section = "" if closing else tag
-    for table in stack:
-        table.close_row(len(text))
-        table.end = len(text)
+    # A table left open ends where the next one left open begins, so that no text is in two of them.
+    for table, after in zip(stack, [*stack[1:], None]):
+        table.end = after.start if after else len(text)
+        table.close_row(table.end)
     return found
 
 
+def _shown(fragment: str) -> str:
+    """A fragment without scripts, styles, comments and hidden elements; these end with the closing tag
+    of the same depth, or with the fragment."""
+    parts: list[str] = []
+    at, hidden, depth = 0, "", 0
+    for token in _ELEMENT.finditer(fragment):
+        closing, tag, attrs = token.groups()
+        if hidden:
+            if tag and tag.lower() == hidden:
+                depth += -1 if closing else 1
+                if depth == 0:
+                    at, hidden = token.end(), ""
+        elif tag is None:
+            parts.append(fragment[at : token.start()])
+            at = token.end()
+        elif not closing and _is_hidden(attrs):
+            parts.append(fragment[at : token.start()])
+            at = token.end()
+            if tag.lower() not in _VOID:
+                hidden, depth = tag.lower(), 1
+    if not hidden:
+        parts.append(fragment[at:])
+    return "".join(parts)
+
+
 def cell_text(fragment: str) -> str:
     if "<" in fragment:
-        fragment = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub("", fragment)))
+        fragment = _TAG.sub("", _BREAK.sub("\n", _shown(fragment)))
     if "&" in fragment:
         fragment = entities.unescape(fragment)
     return _SPACES.sub(" ", fragment.strip())
 
 
-def _span(pattern: re.Pattern, attrs: str) -> int:
+def _span(pattern: re.Pattern, attrs: str, most: int) -> int:
     value = pattern.search(attrs)
-    return max(int(value.group(1)), 1) if value else 1
+    return min(max(int(value.group(1)[:9]), 1), most) if value else 1
 
 
 def _expand(text: str, rows: list[_Row]) -> list[list[str]]:
     """Repeat the text of spanned cells; a row span may run past the last row."""
     out: list[list[str]] = []
     held: dict[int, tuple[str, int]] = {}  # column -> text, rows still to fill
-    size = 0
     for row in [*rows, None]:
         while True:
             line: list[str] = []
@@ -140,10 +168,8 @@ def _expand(text: str, rows: list[_Row]) -> list[list[str]]:
                     continue
                 if _is_hidden(attrs):
                     continue
-                value, down = cell_text(text[start:end]), _span(_ROWSPAN, attrs)
-                across = _span(_COLSPAN, attrs)
-                if size + len(line) + across * down > MAX_EXPANDED_CELLS:
-                    raise ValueError("spans expand to too many cells")
+                value, down = cell_text(text[start:end]), _span(_ROWSPAN, attrs, MOST_ROWS)
+                across = _span(_COLSPAN, attrs, MOST_COLUMNS)
                 for _ in range(across):
                     while len(line) in held:
                         place(*held.pop(len(line)))
@@ -153,9 +179,6 @@ def _expand(text: str, rows: list[_Row]) -> list[list[str]]:
             if row is None and not line:
                 break
             out.append(line)
-            size += len(line)
-            if size > MAX_EXPANDED_CELLS:
-                raise ValueError("spans expand to too many cells")
             held = kept
             if row is not None:
                 break

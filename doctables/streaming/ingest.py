@@ -45,12 +45,14 @@ def ingest_stream(
     created_at: Column | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Documents to catalog, one ``ingest_seq`` per micro-batch. A batch that is run again after
-    a failure replaces its own folders, so every document is stored exactly once."""
+    """Documents to catalog, one write per micro-batch. Its number is claimed for (stream, batch), so a
+    batch that is run again after a failure replaces its own folders and no other write, and every
+    document is stored exactly once."""
     stamp = created_at if created_at is not None else F.current_timestamp()
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        ingest(extract(batch), catalog, stamp, run=f"batch-{batch_id}", ingest_seq=batch_id)
+        stream = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]  # its lasting id
+        ingest(extract(batch), catalog, stamp, run=f"{stream}/{batch_id}", ingest_seq=catalog.claim(f"{stream}/{batch_id}"))
 
     return (
         documents.writeStream.foreachBatch(store)

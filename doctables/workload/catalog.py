@@ -101,6 +101,39 @@ def upsert(spark, sf):
     )
 
 
+@query("k3_equal_file_names", """
+WITH d AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'second' ELSE 'first' END AS version FROM supplier)
+SELECT 'shop/' || k || '/index.html' AS source_file, 'index_table_1' AS table_id, version, CAST(1 AS BIGINT) AS stored_rows FROM d""")
+def equal_file_names(spark, sf):
+    """Documents of one file name in many folders, every third written again; no one replaces another."""
+    from ..sources.extract import extract_pages, page_documents
+
+    catalog = c.Catalog(spark, shared_folder(spark, "k3"), buckets=8)
+    stamp = F.lit("2024-01-01").cast("timestamp")
+    pages = fx.read(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("shop/"), fx.text("s_suppkey"), F.lit("/index.html")).alias("url"))
+    for version, some in (("first", pages), ("second", pages.filter("s_suppkey % 3 = 0"))):
+        html = F.lit(f"<table><tr><th>version<tr><td>{version}</table>")
+        ingest(extract_pages(page_documents(some.withColumn("html", html))), catalog, stamp, run=version)
+    again = c.Catalog(spark, catalog.root)  # opened without its number of buckets
+    value = F.get_json_object("row_data", "$.version")
+    counted = again.table_data().groupBy("doc_id", "ordinal").agg(F.count(F.lit(1)).alias("stored_rows"), F.max(value).alias("version"))
+    return again.tables().join(counted, ["doc_id", "ordinal"]).select("source_file", "table_id", "version", "stored_rows")
+
+
+@query("k6_document_log", """
+SELECT 'p/' || page_id || '.html' AS source_file, CASE WHEN page_id % 4 = 0 THEN 'processed' ELSE 'no tables' END AS status,
+  CAST(CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS total_tables FROM pages""")
+def documents_of_a_run(spark, sf):
+    """Every document of a run is recorded, with tables or without."""
+    from ..sources.extract import extract_pages, page_documents
+
+    catalog = c.Catalog(spark, shared_folder(spark, "k6"), buckets=8)
+    table = F.when(F.col("page_id") % 4 == 0, "<table><tr><th>a<tr><td>1</table>").otherwise("<p>no table</p>")
+    pages = fx.read(spark, sf, "pages").select(F.concat(F.lit("p/"), fx.text("page_id"), F.lit(".html")).alias("url"), table.alias("html"))
+    ingest(extract_pages(page_documents(pages)), catalog, F.lit("2024-01-01").cast("timestamp"), run="k6")
+    return catalog.documents().select("source_file", "status", "total_tables")
+
+
 @query("k4_upsert_frames", """
 SELECT 'c' || c_custkey AS table_id, CASE WHEN c_nationkey < 5 THEN 'new' ELSE c_mktsegment END AS value FROM customer""")
 def upsert_frames(spark, sf):
@@ -194,11 +227,10 @@ def search(spark, sf):
     return c.search(fx.catalog_tables(spark, sf), "SEGMENT_4").select("table_id", "source_file")
 
 
-@query("g5_search_fields", _W + "SELECT table_id FROM shape WHERE table_id ILIKE '%r_1_'")
+@query("g5_search_fields", _W + "SELECT table_id FROM shape WHERE table_id ILIKE '%r_1_%'")
 def search_fields(spark, sf):
     """A wildcard term over one allowed field; an unknown field is ignored."""
-    hits = c.search(fx.catalog_tables(spark, sf), "r_1_", ["table_id", "html_content"])
-    return hits.filter(F.col("table_id").rlike("r_1.$")).select("table_id")
+    return c.search(fx.catalog_tables(spark, sf), "r_1_", ["table_id", "html_content"]).select("table_id")
 
 
 @query("g6_table_rows", """

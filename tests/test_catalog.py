@@ -53,7 +53,7 @@ def test_sql_as_written_for_a_json_store(stored):
     assert ask("SELECT AVG(cast_real(json_extract(row_data, '$.Value'))) FROM table_data WHERE json_extract(row_data, '$.Type') = 'Tool'") == [(250.0,)]
     assert ask("SELECT table_id FROM tables WHERE source_file LIKE '%game%' AND rows > 3 ORDER BY rows LIMIT 5;") == [("game_table_2",)]
     assert ask("WITH s AS (SELECT * FROM processing_sessions) SELECT sum(total_tables) FROM s") == [(4,)]
-    for text in ("DELETE FROM tables", "drop table tables", ""):
+    for text in ("DELETE FROM tables", "drop table tables", "", "WITH a AS (SELECT 1 x) INSERT OVERWRITE DIRECTORY '/tmp/none' USING csv SELECT * FROM a"):
         with pytest.raises(ValueError):
             stored.sql(text)
 
@@ -79,8 +79,8 @@ def test_rows_and_typed_table(stored):
 
 def test_reads_prune_to_one_bucket(stored):
     plan = stored.rows_of("game_table_1")._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*isnotnull\(bucket#", plan) and "Join" not in plan
-    assert "PushedFilters: [IsNotNull(table_id), EqualTo(table_id,game_table_1)]" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = ", plan) and "Join" not in plan
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(doc_id,", plan)
 
 
 def test_versions(spark, tmp_path):
@@ -90,16 +90,59 @@ def test_versions(spark, tmp_path):
     second = ingest(extract_pages(again), cat, stamp(), "2")
     assert (first, second) == (0, 1)
     counts = {r["table_id"]: r["n"] for r in cat.table_data().groupBy("table_id").agg(F.count("*").alias("n")).collect()}
-    # the new a_table_1 has one row; the old a_table_2 was not written again and stays
-    assert counts == {"a_table_1": 1, "a_table_2": 4, "b_table_1": 3, "b_table_2": 4}
+    # the new version of the document has one table with one row, and replaces both old ones
+    assert counts == {"a_table_1": 1, "b_table_1": 3, "b_table_2": 4}
     assert cat.rows_of("a_table_1").count() == 1
     # the same batch again changes nothing
     ingest(extract_pages(again), cat, stamp(), "2", ingest_seq=1)
-    assert cat.table_data().count() == 12 and cat.tables().count() == 4
+    assert cat.table_data().count() == 8 and cat.tables().count() == 3
     # a batch that stopped before its metadata is not seen
     lost = cat.table_data().limit(5).select("table_id", "row_index", "row_data", "created_at").withColumn("bucket", F.lit(0))
     lost.write.partitionBy("bucket").parquet(f"{cat.root}/table_data/ingest_seq=7")
-    assert cat.table_data().count() == 12
+    assert cat.table_data().count() == 8
+    cat.compact()
+    assert cat.table_data().count() == 8 and cat._committed() == {2}
+    with pytest.raises(ValueError):
+        cat.backup(cat.root)
+
+
+def test_equal_names_streams_and_buckets_lose_nothing(spark, tmp_path):
+    cat = c.Catalog(spark, str(tmp_path / "cat"), buckets=8)
+    page = "<table><tr><th>x<tr><td>{}</table>"
+    frame = lambda *names: spark.createDataFrame([(n, page.format(i)) for i, n in enumerate(names)], "url string, html string")
+    ingest(extract_pages(page_documents(frame("a/index.html", "b/index.html"))), cat, stamp(), "1")
+    ingest(extract_pages(page_documents(frame("c/index.html"))), cat, stamp(), "2")
+    for k in ("one", "two"):
+        frame(f"{k}/index.html").write.parquet(str(tmp_path / k))
+        ingest_stream(stream_parquet(spark, str(tmp_path / k), "url string, html string"), cat, str(tmp_path / f"ck-{k}"), created_at=stamp()).awaitTermination()
+    again = c.Catalog(spark, cat.root)  # with the default number of buckets
+    tables = again.tables().collect()
+    assert sorted(t["source_file"] for t in tables) == sorted(f"{k}/index.html" for k in ("a", "b", "c", "one", "two"))
+    assert again.table_data().count() == 5 and again.buckets == 8
+    assert all(again.rows_of("index_table_1", t["doc_id"]).count() == 1 for t in tables)
+    assert again.typed_table("index_table_1", tables[0]["doc_id"]).count() == 1
+    with pytest.raises(ValueError):
+        again.rows_of("index_table_1")
+
+
+def test_every_document_is_recorded(spark, tmp_path):
+    from doctables.plans.ingest import new_documents
+    from doctables.sources.extract import extract_files, file_documents, scan_directory
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "good.html").write_text(SAMPLE_PAGE)
+    (folder / "none.html").write_text("<p>no table</p>")
+    (folder / "broken.xlsx").write_bytes(b"no workbook")
+    cat = c.Catalog(spark, str(tmp_path / "cat"), buckets=2)
+    files = scan_directory(spark, str(folder))
+    ingest(extract_files(file_documents(files)), cat, stamp(), "1", scanned=files)
+    outcome = {r["source_file"].split("/")[-1]: (r["status"], r["total_tables"]) for r in cat.documents().collect()}
+    assert outcome == {"good.html": ("processed", 2), "none.html": ("no tables", 0), "broken.xlsx": ("failed", 0)}
+    assert cat.sessions().count() == 3 and not (tmp_path / "cat" / "extracted").exists()
+    assert new_documents(scan_directory(spark, str(folder)), cat.documents()).count() == 0
+    (folder / "more.html").write_text(SAMPLE_PAGE)
+    assert new_documents(scan_directory(spark, str(folder)), cat.documents()).count() == 1
 
 
 def test_backup_and_clear(spark, stored, tmp_path):
@@ -242,7 +285,7 @@ def test_a_dominating_table_is_spread_over_files(spark, tmp_path, monkeypatch):
             F.col("id").alias("row_index"), F.lit('{"a": 1}').alias("row_data"), stamp().alias("created_at"),
         )
         tables = rows.groupBy("table_id").agg(F.count("*").alias("rows")).selectExpr(
-            "table_id", "'d' doc_id", "'s' source_file", "'html' table_type", "rows", "1L columns", "array('a') column_names",
+            "table_id", "table_id doc_id", "'s' source_file", "'html' table_type", "rows", "1L columns", "array('a') column_names",
             "map('a', 'integer') column_types", "map('a', 'int64') storage_types", "'' html_content", "'' description",
             "'' session_id", "timestamp'2024-01-01' created_at",
         )
