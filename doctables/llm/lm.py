@@ -13,6 +13,7 @@ are exact: those of frequent words go with the tasks in a table of bounded size,
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -38,7 +39,8 @@ LEVELS = np.asarray(sorted({math.ceil(1.5 ** k) for k in range(64)} | {1, 2, 3,
 LEVEL_VALUES = np.concatenate([[0.0], np.sqrt(LEVELS[:-1] * (LEVELS[1:] - 1.0)), [float(LEVELS[-1])]])
 MU = 1000.0
 #: Words whose counts go with the tasks: at most so many, the most frequent ones (12 bytes each).
-FREQUENT = 1 << 21
+FREQUENT = 1 << 18
+CACHED_WORDS = 600_000
 END_HASH = 1  # no hash of a word, those are over 2**63
 TASK_TOKENS = 2_000_000
 BATCH_TEXTS = 1000
@@ -46,36 +48,62 @@ WORDS, PAIRS, TOTALS = 0, 1, 2  # kinds of blocks
 TOTAL_MARK = np.uint64((1 << 24) - 1)
 
 
-def hashed_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all texts, each ended by END_HASH; tokens per text)."""
-    split = [t.lower().split() for t in texts]
-    known = worker_store("lm_word_hashes")
-    if len(known) > 600_000:
-        known.clear()
-    new = set().union(*split).difference(known) if split else set()
-    known.update((w, hash_word(w) | 1 << 63) for w in new)
-    out, lengths = [], np.asarray([len(w) + 1 for w in split], dtype=np.int64)
-    for words in split:
-        out += map(known.__getitem__, words)
-        out.append(END_HASH)
-    for word in [w for w in new if len(w) > 40]:
-        del known[word]
-    return np.asarray(out, dtype=np.uint64), lengths
-
-
-def history_of(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each token the 40-bit hash of the one before; before a text's first stands the end of a text."""
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    if len(h):
-        before[np.cumsum(lengths)[:-1]] = END_HASH
-        before[0] = END_HASH
-    return mix(before * MIX + np.uint64(3)) >> np.uint64(24)
-
-
-def pair_keys(h: np.ndarray, history: np.ndarray) -> np.ndarray:
+class Words:
+    """The words a Python worker has met, numbered, with arrays of what is known of each. Bounded: it
+    starts again when it is full."""
+
+    def __init__(self, facts=None):
+        self.facts = facts  # of new word hashes: more arrays, in the order of the hashes
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.add([END_HASH])
+
+    def add(self, hashes: list[int]) -> None:
+        h = np.asarray(hashes, dtype=np.uint64)
+        arrays = [h, mix(h * MIX + np.uint64(3)) >> np.uint64(24), mix(h + np.uint64(5)) % TOTAL_MARK]
+        arrays += self.facts(*arrays[:2]) if self.facts else []
+        # Number 0 is the end of a text; it has no entry in ``number``.
+        self.arrays = arrays if not self.number else [np.concatenate([x, y]) for x, y in zip(self.arrays, arrays)]
+
+    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers of all texts, each ended by 0; tokens per text)."""
+        if len(self.number) > CACHED_WORDS:
+            self.clear()
+        split = [t.lower().split() for t in texts]
+        new = list(set().union(*split).difference(self.number)) if split else []
+        if new:
+            first = len(self.arrays[0])
+            hashes = [hash_word(w) | 1 << 63 for w in new]
+            if not self.number:
+                self.number[b""] = 0  # marks that the arrays are begun
+            self.add(hashes)
+            self.number.update(zip(new, range(first, first + len(new))))
+        lengths = np.asarray([len(w) + 1 for w in split], dtype=np.int64)
+        out = np.zeros(int(lengths.sum()), dtype=np.int32)
+        at, number = 0, self.number
+        for words in split:
+            n = len(words)
+            out[at:at + n] = np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=n)
+            at += n + 1
+        return out, lengths
+
+
+def before(numbers: np.ndarray) -> np.ndarray:
+    """The number before each token; before the first token of a text stands the end of a text."""
+    return np.concatenate([np.zeros(1, dtype=numbers.dtype), numbers[:-1]]) if len(numbers) else numbers
+
+
+def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Bigrams: 40 bits of the history and 24 of the word, below the mark of the history's total."""
-    return (history << np.uint64(24)) | (mix(h + np.uint64(5)) % TOTAL_MARK)
+    return (history << np.uint64(24)) | word
+
+
+def counted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.diff(np.append(starts, len(keys)))
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +121,7 @@ def range_of(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def packed(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """(range, kind, block) rows: keys and counts of each range."""
-    part = range_of(keys, bits)
+    part = range_of(keys, bits).astype(np.uint16)  # at most 16 bits: sorted by radix
     order = np.argsort(part, kind="stable")
     keys, counts, part = keys[order], counts[order].astype("<u8"), part[order]
     edges = np.searchsorted(part, np.arange((1 << bits) + 1))
@@ -122,21 +150,28 @@ def training_blocks(texts: DataFrame, bits: int) -> DataFrame:
     """Counts of words and bigrams of the training texts (one binary column), in packed blocks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = worker_store("lm_words")
+        met = store.setdefault("training", Words())
         words: list[np.ndarray] = []
         pairs: list[np.ndarray] = []
+        gc.disable()  # long lists and no cycles
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, held in ((WORDS, words), (PAIRS, pairs)):
-                keys = np.concatenate(held) if held else np.zeros(0, np.uint64)
-                held.clear()
-                yield packed(kind, *summed(keys, np.ones(len(keys), dtype=np.int64)), bits)
+            keys = np.concatenate(words) if words else np.zeros((2, 0), np.uint64).T
+            yield packed(WORDS, *summed(keys[:, 0].copy(), keys[:, 1].astype(np.int64)), bits)
+            yield packed(PAIRS, *counted_keys(np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)), bits)
+            words.clear()
+            pairs.clear()
 
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_TEXTS):
-                h, lengths = hashed_texts([x.as_py() for x in batch.column(0).slice(start, BATCH_TEXTS)])
-                words.append(h)
-                pairs.append(pair_keys(h, history_of(h, lengths)))
-                if sum(map(len, words)) >= TASK_TOKENS:
+                numbers, _ = met.numbers([x.as_py() for x in batch.column(0).slice(start, BATCH_TEXTS)])
+                hashes, history, word = met.arrays[:3]
+                counts = np.bincount(numbers, minlength=len(hashes))
+                some = np.flatnonzero(counts)
+                words.append(np.stack([hashes[some], counts[some].astype(np.uint64)], axis=1))
+                pairs.append(pair_keys(history[before(numbers)], word[numbers]))
+                if sum(map(len, pairs)) >= TASK_TOKENS:
                     yield from flush()
         yield from flush()
 
@@ -152,6 +187,11 @@ def probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return a, mix(a) | np.uint64(1)
 
 
+def place(a: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
+    """A bit number under ``size`` (below 2**32) from the upper half of a hash."""
+    return ((a >> np.uint64(32)) * size) >> np.uint64(32)
+
+
 def filter_part(keys: np.ndarray, counts: np.ndarray) -> bytes:
     level = levels_of(counts)
     size = max(64, -(-int(level.sum()) * BITS // 64) * 64)
@@ -159,7 +199,7 @@ def filter_part(keys: np.ndarray, counts: np.ndarray) -> bytes:
     for j in range(1, int(level.max(initial=0)) + 1):
         a, b = probes(keys[level >= j], j)
         for _ in range(HASHES):
-            out[(a % np.uint64(size)).astype(np.int64)] = True
+            out[place(a, np.uint64(size)).astype(np.int64)] = True
             a = a + b
     return np.packbits(out, bitorder="little").tobytes()
 
@@ -167,11 +207,13 @@ def filter_part(keys: np.ndarray, counts: np.ndarray) -> bytes:
 class Filter:
     """The whole filter: the parts of all ranges."""
 
-    def __init__(self, parts: list[bytes]):
-        self.range_bits = len(parts).bit_length() - 1
-        sizes = np.asarray([8 * len(p) for p in parts], dtype=np.uint64)
-        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
-        self.bits = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    def __init__(self, parts: list[bytes] | bytes, sizes: list[int] | None = None):
+        """From the parts, or from all of them in one piece and their lengths in bytes."""
+        lengths = [len(p) for p in parts] if sizes is None else sizes
+        self.range_bits = len(lengths).bit_length() - 1
+        self.sizes = np.asarray(lengths, dtype=np.uint64) * np.uint64(8)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bits = np.frombuffer(b"".join(parts) if sizes is None else parts, dtype=np.uint8)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The middle count of each key's level, by probing level after level; 0 for none."""
@@ -185,7 +227,7 @@ class Filter:
             a, b = probes(keys[alive], j)
             hit = np.arange(len(alive))
             for _ in range(HASHES):
-                at = start[hit] + a[hit] % size[hit]
+                at = start[hit] + place(a[hit], size[hit])
                 bit = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
                 hit = hit[bit.astype(bool)]
                 a = a + b
@@ -279,7 +321,7 @@ def scores(docs: DataFrame, training: DataFrame, text: str = "text", doc_id: str
     body = lambda df: F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("_text")
     parts, words, total, vocabulary = train(training.select(body(training)), folder)
     hashes, counts, least = frequent_words(words, frequent)
-    model = spark.sparkContext.broadcast((parts, hashes, counts))
+    model = spark.sparkContext.broadcast((b"".join(parts), [len(p) for p in parts], hashes, counts))
     denominator = float(total + vocabulary + 1)
     id_type = docs.schema[doc_id].dataType
     rare = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("pair", T.DoubleType()), T.StructField("total", T.DoubleType())]))
@@ -292,20 +334,29 @@ def scores(docs: DataFrame, training: DataFrame, text: str = "text", doc_id: str
         store = worker_store("lm_models")
         if name not in store:
             store.clear()
-            p, h, c = model.value
-            store[name] = (Filter(p), h, c)
-        bloom, known_hashes, known_counts = store[name]
+            bits, sizes, known_hashes, known_counts = model.value
+            bloom = Filter(bits, sizes)
+
+            def facts(h: np.ndarray, history: np.ndarray) -> list[np.ndarray]:
+                """Count (0: not among the frequent) and total of what follows, of new words."""
+                if not len(known_hashes):
+                    return [np.zeros(len(h), dtype=np.int64), bloom.counts((history << np.uint64(24)) | TOTAL_MARK)]
+                at = np.minimum(np.searchsorted(known_hashes, h), len(known_hashes) - 1)
+                return [np.where(known_hashes[at] == h, known_counts[at], 0), bloom.counts((history << np.uint64(24)) | TOTAL_MARK)]
+
+            store[name] = (bloom, Words(facts))
+        bloom, met = store[name]
+        gc.disable()  # long lists and no cycles
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH_TEXTS):
                 batch = whole.slice(start, BATCH_TEXTS)
-                h, lengths = hashed_texts([x.as_py() for x in batch.column(1)])
-                history = history_of(h, lengths)
-                words_, which = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(known_hashes, words_), max(len(known_hashes) - 1, 0))
-                c = np.where(known_hashes[at] == words_, known_counts[at], 0)[which] if len(known_hashes) else np.zeros(len(h), dtype=np.int64)
-                before, which = np.unique(history, return_inverse=True)
-                follows = bloom.counts((before << np.uint64(24)) | TOTAL_MARK)[which]
-                pair = np.where(follows > 0, bloom.counts(pair_keys(h, history)), 0.0)
+                numbers, lengths = met.numbers([x.as_py() for x in batch.column(1)])
+                hashes_, history, word, count, total_ = met.arrays
+                earlier = before(numbers)
+                h, c, follows = hashes_[numbers], count[numbers], total_[earlier]
+                pair = np.zeros(len(h))
+                some = np.flatnonzero(follows > 0)
+                pair[some] = bloom.counts(pair_keys(history[earlier[some]], word[numbers[some]]))
                 is_known = c > 0
                 unigram = (c + 1) / denominator
                 base = np.where(is_known, np.log10(unigram), 0.0)
