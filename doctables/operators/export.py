@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
+from pyspark.sql.window import Window as W
 
 from ..session import checkpoint_root
 
@@ -34,10 +35,20 @@ def _written(result: DataFrame, write) -> int:
     return seen.get["n"]
 
 
+def flat(result: DataFrame) -> DataFrame:
+    """Lists, maps and structs as JSON text, bytes as base64: what text formats can hold."""
+    def one(name: str, kind: str) -> Column:
+        if kind.startswith(("array<", "map<", "struct<")):
+            return F.to_json(F.col(f"`{name}`")).alias(name)
+        return F.base64(F.col(f"`{name}`")).alias(name) if kind == "binary" else F.col(f"`{name}`")
+
+    return result.select(*[one(name, kind) for name, kind in result.dtypes])
+
+
 def export_csv(result: DataFrame, path: str, query: str | None = None,
                exported_at: str | None = None) -> str:
     """CSV with a header of the sorted column names."""
-    ordered = result.select(*sorted(result.columns))
+    ordered = flat(result).select(*sorted(result.columns))
     n = _written(
         ordered,
         lambda df: df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path),
@@ -57,28 +68,20 @@ def export_json(result: DataFrame, path: str, query: str | None = None,
     return path
 
 
-def number_rows(result: DataFrame, order_by: list[str]) -> DataFrame:
-    """Add ``row_no`` 1..n in a total order, without bringing the rows into one task.
+def number_rows(result: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+    """Add ``row_no`` 1..n in a total order, or in the order the result has if none is given, without
+    bringing the rows into one task.
 
-    The sorted rows are checkpointed, which fixes their partitions; a row's number is its place
-    in its partition plus the row counts of the partitions before (one row per partition)."""
+    The rows are checkpointed, which fixes their partitions; a row's number is its place
+    in its partition plus a running sum of the row counts of the partitions (one row per partition)."""
     checkpoint_root(result.sparkSession)
     placed = (
-        result.orderBy(*order_by).checkpoint()
+        (result.orderBy(*order_by) if order_by else result).checkpoint()
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftrightunsigned("_at", 33))
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    everything = F.array_sort(F.collect_list(F.struct("_part", "_n")))
-    before = F.aggregate(
-        F.filter(F.col("_sizes"), lambda s: s["_part"] < F.col("_part")),
-        F.lit(0).cast("bigint"),
-        lambda total, s: total + s["_n"],
-    )
-    parts = sizes.agg(everything.alias("_sizes"))  # bounded by the number of partitions
-    offsets = sizes.select("_part").withColumn("_sizes", parts.scalar()).select(
-        "_part", before.alias("_before")
-    )
+    offsets = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
     return (
         placed.join(offsets, "_part")
         .withColumn("row_no", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
@@ -90,10 +93,10 @@ def _cell_text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("None"))
 
 
-def text_lines(result: DataFrame, order_by: list[str]) -> DataFrame:
+def text_lines(result: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Lines of the text form as ``(line_no, line)``: header, rule, padded rows, a rule after
     every ten rows. Column widths come from one aggregation and enter as constants."""
-    return _lines(number_rows(result, order_by), result.columns)
+    return _lines(number_rows(flat(result), order_by), result.columns)
 
 
 def _lines(numbered: DataFrame, columns: list[str]) -> DataFrame:
@@ -134,8 +137,9 @@ def _lines(numbered: DataFrame, columns: list[str]) -> DataFrame:
 
 def export_txt(result: DataFrame, path: str, query: str | None = None,
                exported_at: str | None = None, order_by: list[str] | None = None) -> str:
-    """Fixed-width text, in part files that follow each other in line order."""
-    numbered = number_rows(result, order_by or result.columns)  # the result is computed once
+    """Fixed-width text, in part files that follow each other in line order; rows keep the order of the
+    result unless ``order_by`` gives another."""
+    numbered = number_rows(flat(result), order_by)  # the result is computed once
     n = numbered.count()
     rule = "=" * 60
     banner = [rule, "QUERY RESULTS", rule]

@@ -70,18 +70,48 @@ def text_lines(spark, sf):
     return x.text_lines(result, ["p_partkey"])
 
 
-@query("x4_export_choice", "SELECT 'csv' AS format, true AS written UNION ALL SELECT 'json', true UNION ALL SELECT 'txt', true UNION ALL SELECT 'empty', false UNION ALL SELECT 'xml', false")
+@query("x3_given_order", """
+SELECT row_number() OVER (ORDER BY p_partkey DESC) + 2 + (row_number() OVER (ORDER BY p_partkey DESC) - 1) // 10 AS line_no, p_partkey FROM part""")
+def given_order(spark, sf):
+    """A text export keeps the order of an ordered result."""
+    result = fx.read(spark, sf, "part").select("p_partkey", "p_name").orderBy(F.desc("p_partkey"))
+    key = F.expr("try_cast(trim(split(line, ' [|] ')[0]) AS bigint)")
+    return x.text_lines(result).select("line_no", key.alias("p_partkey")).filter("p_partkey IS NOT NULL")
+
+
+@query("x4_export_choice", """
+SELECT f AS format, count(*) AS n, sum(s_suppkey)::BIGINT AS keys FROM supplier, (VALUES ('csv'), ('json'), ('txt')) v(f) GROUP BY f""")
 def export_choice(spark, sf):
-    """Formats by name in any case; an unknown one is refused; nothing is written for no rows."""
+    """Formats by name in any case, read back; an unknown one is refused, nothing is written for no rows."""
     folder = shared_folder(spark, "x4")
     result = _result(spark, sf)
-    written = {f: bool(x.export(result, folder, f.upper(), "r")) for f in x.FORMATS}
-    written["empty"] = bool(x.export(result.filter("s_suppkey < 0"), folder, "csv", "none"))
+    paths = {f: x.export(result, folder, f.upper(), "r") for f in x.FORMATS}
+    assert x.export(result.filter("s_suppkey < 0"), folder, "csv", "none") == ""
     try:
         x.export(result, folder, "xml")
+        raise AssertionError("an unknown format was written")
     except ValueError:
-        written["xml"] = False
-    return spark.createDataFrame(list(written.items()), "format string, written boolean")
+        pass
+    keys = {
+        "csv": spark.read.option("header", True).option("escape", '"').csv(paths["csv"]).select(F.col("s_suppkey").cast("bigint").alias("k")),
+        "json": spark.read.schema("s_suppkey bigint").json(paths["json"]).select(F.col("s_suppkey").alias("k")),
+        "txt": spark.read.text(paths["txt"]).select(F.expr("try_cast(trim(split(value, ' [|] ')[0]) AS bigint)").alias("k")).filter("k IS NOT NULL"),
+    }
+    out = [df.agg(F.count("k").alias("n"), F.sum("k").alias("keys")).select(F.lit(f).alias("format"), "n", "keys") for f, df in keys.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("x5_catalog_export", "WITH " + fx.CUSTOMER_SQL + """
+SELECT table_id, '["' || array_to_string(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'], '","') || '"]' AS column_names FROM shape""")
+def catalog_export(spark, sf):
+    """All columns of the catalog's tables as CSV; lists and maps become JSON text."""
+    from ..plans.catalog import Catalog
+
+    root = shared_folder(spark, "x5c")
+    catalog = Catalog(spark, root + "/catalog", buckets=8)
+    catalog.append(fx.catalog_tables(spark, sf), fx.catalog_rows(spark, sf))
+    done = x.run_and_save(catalog, "SELECT * FROM tables", root, "csv", "all")
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(done["export_path"]).select("table_id", "column_names")
 
 
 @query("x5_run_and_save", "WITH " + fx.CUSTOMER_SQL + """
