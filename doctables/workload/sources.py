@@ -394,6 +394,34 @@ def one_sheet(spark, sf):
     )
 
 
+@query("s16_built_pages", """
+SELECT c_custkey, '# ' || c_name || chr(10) || chr(10) || 'Segment ' || c_mktsegment || ' & more' || chr(10) || chr(10) || '- nation ' || c_nationkey || chr(10)
+  || '- key ' || c_custkey || chr(10) || chr(10) || '| k | v |' || chr(10) || '|---|---|' || chr(10) || '| nation | ' || c_nationkey || ' |' || chr(10) || chr(10)
+  || '## End' || chr(10) || chr(10) || 'Bye.' AS text FROM customer""")
+def built_pages(spark, sf):
+    """The whole markdown of pages with headings, paragraphs, a list, a table, scripts and hidden parts."""
+    page = F.concat(
+        F.lit("<html><head><title>x</title><script>'<p>no</p>'</script></head><body><h1>"), "c_name", F.lit("</h1><p>Segment\n <b>"), "c_mktsegment",
+        F.lit("</b> &amp; more</p><ul><li>nation "), fx.text("c_nationkey"), F.lit("</li><li>key "), fx.text("c_custkey"),
+        F.lit("</ul><table data-x=a<b><tr><th>k</th><th>v</th></tr><tr><td width=5\">nation</td><td><div style='display:none'><div>x</div>y</div>"),
+        fx.text("c_nationkey"), F.lit("</td></tr></table><h2>End</h2><p>Bye.</body></html>"))
+    documents = fx.read(spark, sf, "customer").select(fx.text("c_custkey").alias("doc_id"), F.lit("built.html").alias("source_file"), page.alias("html"))
+    return pages_to_markdown(documents).select(F.col("doc_id").cast("bigint").alias("c_custkey"), "text")
+
+
+@query("s4_odd_markup", """
+SELECT s_suppkey, 'k' || s_suppkey AS a, s_name AS b, CAST(s_nationkey AS VARCHAR) AS c FROM supplier""")
+def odd_markup(spark, sf):
+    """Cells behind stray quotes, apostrophes, angle brackets in values, hidden and unclosed elements."""
+    page = F.concat(
+        F.lit("<table data-x=a<b><tr><td width=5\">k"), fx.text("s_suppkey"), F.lit("<td title=it's>"), "s_name",
+        F.lit("<td><div style=\"display:none\"><div>x</div>y</div>"), fx.text("s_nationkey"))
+    documents = fx.read(spark, sf, "supplier").select(fx.text("s_suppkey").alias("doc_id"), F.lit("odd.html").alias("source_file"), page.alias("html"))
+    row = F.get("body", F.lit(0))
+    return extract_pages(documents).select(
+        F.col("doc_id").cast("bigint").alias("s_suppkey"), *[F.get(row, F.lit(i)).alias(n) for i, n in enumerate("abc")])
+
+
 @query("s16_markdown_counts", """
 SELECT page_id, CAST(len(regexp_extract_all(html, '<h1')) AS INTEGER) AS headings, CAST(len(regexp_extract_all(html, '<li')) AS INTEGER) AS items,
   false AS scripts FROM pages""")
