@@ -110,7 +110,7 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumn("base_failed", failed).withColumns(features)
 
 
-def grouped(df: DataFrame, lang: str, source: str, least: int) -> DataFrame:
+def grouped(df: DataFrame, folder: str, lang: str, source: str, least: int) -> DataFrame:
     """``df`` with its group: language and source, or a wider one where too few rows pass the base rules."""
     narrow = F.concat(F.lit("2"), F.to_json(F.struct(F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))))
     middle = F.concat(F.lit("1"), F.to_json(F.struct(F.col(lang).cast("string").alias("lang"))))
@@ -118,7 +118,8 @@ def grouped(df: DataFrame, lang: str, source: str, least: int) -> DataFrame:
     cells = df.groupBy("_cell", "_lang").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("_n"))
     rest = cells.where(F.col("_n") < least).groupBy("_lang").agg(F.sum("_n").alias("_rest"))
     named = cells.join(rest, "_lang", "left").select("_cell", F.when(F.col("_n") >= least, F.col("_cell")).when(F.col("_rest") >= least, F.col("_lang")).otherwise("0").alias("group"))
-    return df.join(named, "_cell").drop("_cell", "_lang")
+    # Tables of one row per group are stored, so that their size is known and no row moves to join a small one.
+    return df.join(written(named, folder, "groups"), "_cell").drop("_cell", "_lang")
 
 
 def factored(moments: DataFrame, names: list[str], scale: float) -> DataFrame:
@@ -162,7 +163,7 @@ def moments(rows: DataFrame, names: list[str]) -> DataFrame:
 def mcd(rows: DataFrame, folder: str, names: list[str], h: float = H, steps: int = STEPS) -> DataFrame:
     """The reweighted estimate of every group of ``rows`` (group and the features): m_i and l_i_j."""
     p = len(names)
-    middle = rows.groupBy("group").agg(*[F.percentile_approx(n, 0.5, 10_000).alias(f"m_{i}") for i, n in enumerate(names)])
+    middle = written(rows.groupBy("group").agg(*[F.percentile_approx(n, 0.5, 10_000).alias(f"m_{i}") for i, n in enumerate(names)]), folder, "middle")
     apart = rows.join(middle, "group").groupBy("group").agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)],
         *[F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"a_{i}") for i, n in enumerate(names)])
@@ -173,7 +174,7 @@ def mcd(rows: DataFrame, folder: str, names: list[str], h: float = H, steps: int
     consistent = h / chi2_cdf(chi2_quantile(h, p), p + 2)
     for step in range(steps):
         near = with_distance(rows, parameters, names)
-        edge = near.groupBy("group").agg(F.percentile_approx("d2", h, 10_000).alias("edge"))
+        edge = written(near.groupBy("group").agg(F.percentile_approx("d2", h, 10_000).alias("edge")), folder, f"edge-{step}")
         inside = near.join(edge, "group").where(F.col("d2") <= F.col("edge"))
         parameters = written(factored(moments(inside, names), names, consistent), folder, f"step-{step}")
     edge = 0.975
@@ -193,7 +194,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     names = list(FEATURES)
     stats = statistics(docs.select(*[F.col(c).alias(f"_k_{c}") for c in kept], F.col(lang).alias("_l"), F.col(source).alias("_s"), F.col(text).alias("text")))
     # Stored before it is grouped: the counts per group and the rows read the vectors, not the texts again.
-    rows = grouped(written(vectors(stats), folder, "vectors"), "_l", "_s", least)
+    rows = grouped(written(vectors(stats), folder, "vectors"), folder, "_l", "_s", least)
     rows = written(rows, folder, "grouped")
     parameters = mcd(rows.where(~F.col("base_failed")).select("group", *names), folder, names)
     limit = chi2_quantile(1 - tail, len(names))
