@@ -31,7 +31,7 @@ TABLES, PARTS, CODE = 32, 2, 256
 #: share one with probability over 0.995; two unrelated ones with probability 0.0002. With many more
 #: vectors, more code words and a higher threshold keep the caps as full as they are.
 THRESHOLD = 4.0
-MEMBERS = 512
+MEMBERS = 256
 SEED = 20_160_401
 
 
