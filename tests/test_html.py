@@ -41,6 +41,12 @@ def test_sample_page():
         ("<p>x<TABLE><TR><TD>1<TD>2", [], [["1", "2"]]),
         # attribute values may hold angle brackets
         ("<table data-x='a>b'><tr><td title=\"</td>\">1<td>2</table>", [], [["1", "2"]]),
+        # quotes count only behind "="; unquoted values run to a blank or ">"
+        ("<table data-x=a<b><tr><td width=5\">A</td><td width=\"6\">B</td><tr><td title=it's>C</td><td>D</table>", [], [["A", "B"], ["C", "D"]]),
+        # hidden elements end at the closing tag of their depth
+        ("<table><tr><td><div style='display:none'><div>x</div>y</div>z<td>2</table>", [], [["z", "2"]]),
+        # a very wide span keeps all rows
+        ("<table><tr><td colspan=2000000000>a<tr><td>b</table>", [], [["a"] * 1000, ["b"] + [""] * 999]),
         # blank rows of a one-column table are skipped
         ("<table><tr><th>a<tr><td>1<tr><td> <tr><td>2</table>", [["a"]], [["1"], ["2"]]),
     ],
@@ -83,3 +89,11 @@ def test_markdown():
     assert "\n|---|---|---|---|---|\n| Steve | 25 |" in text
     page = "<ul><li>one<li>two</ul><h2>A<br>B</h2><style>p{}</style>tail<script>x</script>"
     assert page_to_markdown(page) == "- one\n- two\n\n## A\nB\n\ntail"
+
+
+def test_unclosed_tables_are_scanned_once():
+    for n in (100, 1600):
+        page = "<table><tr><td>x y" * n
+        found = list(parse_html(page))
+        assert len(found) == n and sum(len(t.html) for t in found) == len(page)
+        assert all(t.body == [["x y"]] for t in found)
