@@ -18,7 +18,7 @@ _OPAQUE = r"!--.*?(?:-->|\Z)|(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)"
 _TOKEN = re.compile(
     rf"<(?:(/?)(table|thead|tbody|tfoot|tr|td|th)(?=[\s/>])({_ATTRS})>|{_OPAQUE})", re.I | re.S
 )
-_ELEMENT = re.compile(rf"<(?:(/?)([a-z][^\s/>]*+)({_ATTRS})>|{_OPAQUE})", re.I | re.S)
+_ELEMENT = re.compile(rf"<(?:{_OPAQUE}|(/?)([a-z][^\s/>]*+)({_ATTRS})>)", re.I | re.S)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BREAK = re.compile(r"<br\b[^>]*>", re.I)
 _TAG = re.compile(rf"</?[a-zA-Z!]{_ATTRS}>", re.S)
