@@ -224,6 +224,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = TABLES,
         F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"))
 
 
-@query("op1_spherical_caps")
+@query("op1_spherical_caps", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v WHERE len(e) > 0 AND list_dot_product(e, e) > 0),
+link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON len(x.e) = len(y.e) AND x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.e, y.e) / (x.s * y.s) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, link.b FROM reach r JOIN link ON link.a = r.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)""")
 def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
