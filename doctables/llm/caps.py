@@ -32,6 +32,8 @@ TABLES, PARTS, CODE = 32, 2, 256
 #: vectors, more code words and a higher threshold keep the caps as full as they are.
 THRESHOLD = 4.0
 MEMBERS = 256
+#: Rows of small filters that one task compares at a time, and pairs of them at once.
+TOGETHER, PAIRS = 2048, 200_000
 SEED = 20_160_401
 
 
@@ -131,43 +133,23 @@ def filtered(vectors: DataFrame, tables: int, parts: int, words: int, threshold:
 
 
 def compared(cosine: float):
-    """Function of one block pair of a filter: (a, null, links to count) and (a, b, 0) for spanning edges."""
+    """Function of the rows of many filters, or of one pair of blocks of a large one: (key, null, links to
+    count) and (key, key, 0) for the edges that span what is linked."""
 
     def work(rows: pa.Table) -> pa.Table:
-        keys = rows.column("key").to_pylist()
-        this, left, right = (int(rows.column(c)[0].as_py()) for c in ("filter", "left", "right"))
-        block = rows.column("block").to_numpy()
-        x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in rows.column("embedding")])
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        weight = rows.column("n").to_numpy()
-        if left == right:
-            a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-        else:
-            i, j = np.flatnonzero(block == left), np.flatnonzero(block == right)
-            a, b = np.nonzero(x[i] @ x[j].T >= cosine)
-            a, b = i[a], j[b]
-        # Count a pair here only if no filter with a smaller number has both.
-        lists = [f.values.to_numpy() for f in rows.column("filters")]
-        smaller = [f[f < this] for f in lists]
-        width = max(map(len, smaller), default=0)
-        padded = np.full((len(smaller), width), -1, dtype=np.int64)
-        for k, f in enumerate(smaller):
-            padded[k, :len(f)] = f
-        links = np.zeros(len(keys), dtype=np.int64)
-        keep_a, keep_b = [], []
-        for at in range(0, len(a), 4096):
-            p, q = a[at:at + 4096], b[at:at + 4096]
-            met = np.zeros(len(p), dtype=bool)
-            for column in range(width):
-                f = padded[p, column]
-                met |= (f >= 0) & (padded[q] == f[:, None]).any(axis=1)
-            p, q = p[~met], q[~met]
-            np.add.at(links, p, weight[q])
-            np.add.at(links, q, weight[p])
-            keep_a.append(p)
-            keep_b.append(q)
-        root = list(range(len(keys)))
+        names, key = np.unique(np.asarray(rows.column("key").to_pylist(), dtype=object), return_inverse=True)
+        part = {c: rows.column(c).to_numpy() for c in ("filter", "left", "right", "block", "dimension", "n")}
+        order = np.lexsort((part["right"], part["left"], part["filter"], part["dimension"]))
+        key, part = key[order], {c: x[order] for c, x in part.items()}
+        x = padded([rows.column("embedding")[int(i)].values for i in order], np.float64, 0.0)
+        x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        lists = padded([rows.column("filters")[int(i)].values for i in order], np.int64, -1)
+        begins = np.flatnonzero(np.r_[True, np.any([p[1:] != p[:-1] for p in (part["dimension"], part["filter"], part["left"], part["right"])], axis=0)])
+        sizes = np.diff(np.append(begins, len(key)))
+        later = np.repeat(begins + sizes, sizes) - np.arange(len(key)) - 1  # rows of the same unit behind each
+        links = np.zeros(len(names), dtype=np.int64)
+        root = list(range(len(names)))
 
         def find(k: int) -> int:
             while root[k] != k:
@@ -175,21 +157,52 @@ def compared(cosine: float):
                 k = root[k]
             return k
 
-        edges = []
-        for p, q in zip(np.concatenate(keep_a or [a]).tolist(), np.concatenate(keep_b or [b]).tolist()):
-            u, v = find(p), find(q)
-            if u != v:
-                root[max(u, v)] = min(u, v)
-                edges.append((p, q))
+        edges: list[tuple[int, int]] = []
+        done = np.cumsum(later)
+        start = 0
+        while start < len(key):  # some hundred thousand pairs at a time
+            stop = max(start + 1, int(np.searchsorted(done, done[start] - later[start] + PAIRS, side="right")))
+            a, place = expanded(later[start:stop])
+            a = a + start
+            b = a + 1 + place
+            apart = (part["left"][a] == part["right"][a]) | (part["block"][a] != part["block"][b])
+            a, b = a[apart], b[apart]
+            near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+            a, b = a[near], b[near]
+            for at in range(0, len(a), 4096):
+                p, q = a[at:at + 4096], b[at:at + 4096]
+                # A pair counts here only if no filter with a smaller number has both.
+                met = np.zeros(len(p), dtype=bool)
+                for column in range(lists.shape[1]):
+                    f = lists[p, column]
+                    met |= (f >= 0) & (f < part["filter"][p]) & (lists[q] == f[:, None]).any(axis=1)
+                p, q = p[~met], q[~met]
+                np.add.at(links, key[p], part["n"][q])
+                np.add.at(links, key[q], part["n"][p])
+                for u, v in zip(key[p].tolist(), key[q].tolist()):
+                    i, j = find(u), find(v)
+                    if i != j:
+                        root[max(i, j)] = min(i, j)
+                        edges.append((u, v))
+            start = stop
         some = np.flatnonzero(links).tolist()
         return pa.table({
-            "a": pa.array([keys[k] for k in some] + [keys[p] for p, _ in edges], pa.binary()),
-            "b": pa.array([None] * len(some) + [keys[q] for _, q in edges], pa.binary()),
+            "a": pa.array([names[k] for k in some] + [names[u] for u, _ in edges], pa.binary()),
+            "b": pa.array([None] * len(some) + [names[v] for _, v in edges], pa.binary()),
             "n": pa.array([int(links[k]) for k in some] + [0] * len(edges), pa.int64())})
 
     return work
 
 
+def padded(lists: list, kind: type, fill: float) -> np.ndarray:
+    """Lists as the rows of a matrix."""
+    arrays = [v.to_numpy(zero_copy_only=False) for v in lists]
+    out = np.full((len(arrays), max(map(len, arrays), default=0)), fill, dtype=kind)
+    for i, v in enumerate(arrays):
+        out[i, :len(v)] = v
+    return out
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = TABLES, parts: int = PARTS, words: int = CODE, threshold: float = THRESHOLD,
                  vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors``.
@@ -205,14 +218,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = TABLES,
     nodes = written(
         rows.join(classes, ["key", "vec_id"]).dropDuplicates(["key"]).select("key", "n", "dimension", "filters", "embedding"), folder, "nodes")
     members = nodes.select("key", "dimension", F.explode("filters").alias("filter"))
-    sizes = members.groupBy("dimension", "filter").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = written(members.groupBy("dimension", "filter").agg(F.count("*").alias("members")).where("members > 1"), folder, "sizes")
+    together = -(-(sizes.agg(F.sum("members")).first()[0] or 1) // TOGETHER)
     dealt = members.join(sizes, ["dimension", "filter"]).withColumn("blocks", F.ceil(F.col("members") / MEMBERS)).withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    meeting = dealt.select("key", "dimension", "filter", "block", other).select(
-        "key", "dimension", "filter", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    # Filters of one block are dealt together by a hash; a pair of blocks of a larger one is a group of its own.
+    small = F.col("blocks") == 1
+    meeting = dealt.select("*", other).select(
+        "key", "dimension", "filter", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
+        F.when(small, F.pmod(F.xxhash64("dimension", "filter"), F.lit(together))).otherwise(-1 - F.col("filter")).alias("group"))
     full = meeting.join(nodes.drop("dimension"), "key")
-    found = written(full.groupBy("dimension", "filter", "left", "right").applyInArrow(compared(cosine), "a binary, b binary, n long"), folder, "found")
+    found = written(full.groupBy("group", "left", "right").applyInArrow(compared(cosine), "a binary, b binary, n long"), folder, "found")
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"), folder)
     placed = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
