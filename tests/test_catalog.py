@@ -283,7 +283,7 @@ def test_a_dominating_table_is_spread_over_files(spark, tmp_path, monkeypatch):
         rows = spark.range(20_000).select(
             F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 50)).alias("table_id"),
             F.col("id").alias("row_index"), F.lit('{"a": 1}').alias("row_data"), stamp().alias("created_at"),
-        )
+        ).withColumn("doc_id", F.col("table_id")).withColumn("ordinal", F.lit(1))
         tables = rows.groupBy("table_id").agg(F.count("*").alias("rows")).selectExpr(
             "table_id", "table_id doc_id", "'s' source_file", "'html' table_type", "rows", "1L columns", "array('a') column_names",
             "map('a', 'integer') column_types", "map('a', 'int64') storage_types", "'' html_content", "'' description",
