@@ -2,14 +2,18 @@
 
 The filter (after Talbot and Osborne, "Smoothed Bloom filter language models", 2007) holds for every bigram the
 quantised logarithm of its training count: levels 1, 2, .. up to its own are each inserted as (bigram, level). A
-query probes level after level until one is missing, so it never gets less than the true level. The totals of
-what follows a word are held in the same way. Counts are summed by hash range: training tasks send one packed
-block of counts per range, each range adds its blocks and later writes its own part of the filter, and the parts together
-are broadcast. Ranges are taken by a hash of the whole bigram, so a frequent word's bigrams are spread over all of them.
+query probes level after level until one is missing, so it never gets less than the true level. Every bigram of the
+training texts is in it, also one seen once, and it grows with them. Counts are summed by hash range: training tasks
+send one packed block of counts per range, each range adds its blocks and writes its own part of the model, a part of
+the filter and the counts of its words. Ranges are taken by a hash of the whole bigram, so a frequent word's bigrams are
+spread over all of them.
+
+No task holds the model. Texts are scored in chunks: a chunk sends each range, by a shuffle, the different
+bigrams and words it wants to know of, and the range answers with levels and counts. This is the same at every size.
 
 The model is a bigram with Dirichlet smoothing over add-one unigrams,
-p(w | v) = (c(v, w) + MU * p(w)) / (c(v, *) + MU), with c(v, w) and c(v, *) from the filter. Unigram counts
-are exact: those of frequent words go with the tasks in a table of bounded size, the others are joined."""
+p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU), with c(v, w) from the filter. Counts of words are exact; every word
+is followed by one other or the end of its text, so c(v) is also the sum of c(v, w) over w."""
 
 from __future__ import annotations
 
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,47 +34,47 @@ from .registry import query
 
 #: Bits of the filter per inserted (n-gram, level), and hash functions.
 BITS, HASHES = 9, 4
-#: Bound of the filter, whatever the corpus: 64 MB. Where the bigrams need more, those with the least counts are left to
-#: the unigrams, by one least count for all, found from the counts of counts.
-MOST_BITS = 1 << 29
-#: Bigrams seen less often are left to the unigrams in any case.
-LEAST_COUNT = 2
 #: Least count of each level; a level stands for the middle of its counts.
 LEVELS = np.asarray(sorted({math.ceil(1.5 ** k) for k in range(64)} | {1, 2, 3, 4}), dtype=np.int64)
 LEVEL_VALUES = np.concatenate([[0.0], np.sqrt(LEVELS[:-1] * (LEVELS[1:] - 1.0)), [float(LEVELS[-1])]])
 MU = 1000.0
-#: Words whose counts go with the tasks: at most so many, the most frequent ones (12 bytes each).
-FREQUENT = 1 << 18
 CACHED_WORDS = 600_000
 END_HASH = 1  # no hash of a word, those are over 2**63
-TASK_TOKENS = 2_000_000
+#: Tokens that a training task counts together, and that a chunk of documents to score has.
+TASK_TOKENS, CHUNK_TOKENS = 2_000_000, 1_000_000
 BATCH_TEXTS = 1000
-WORDS, PAIRS, TOTALS = 0, 1, 2  # kinds of blocks
-TOTAL_MARK = np.uint64((1 << 24) - 1)
+WORDS, PAIRS = 0, 1  # kinds of blocks
+
+
+def halves(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a word of each hash brings into a bigram as its history (40 bits) and as its word (24 bits)."""
+    return mix(hashes * MIX + np.uint64(3)) >> np.uint64(24), mix(hashes + np.uint64(5)) >> np.uint64(40)
 
 
 class Words:
     """The words a Python worker has met, numbered, with arrays of what is known of each. Bounded: it
     starts again when it is full."""
 
-    def __init__(self, facts=None):
-        self.facts = facts  # of new word hashes: more arrays, in the order of the hashes
+    def __init__(self):
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.add([END_HASH])
 
+    def full(self) -> bool:
+        """Whether the next call of ``numbers`` starts again."""
+        return len(self.number) > CACHED_WORDS
+
     def add(self, hashes: list[int]) -> None:
         h = np.asarray(hashes, dtype=np.uint64)
-        arrays = [h, mix(h * MIX + np.uint64(3)) >> np.uint64(24), mix(h + np.uint64(5)) % TOTAL_MARK]
-        arrays += self.facts(*arrays[:2]) if self.facts else []
+        arrays = [h, *halves(h)]
         # Number 0 is the end of a text; it has no entry in ``number``.
         self.arrays = arrays if not self.number else [np.concatenate([x, y]) for x, y in zip(self.arrays, arrays)]
 
     def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers of all texts, each ended by 0; tokens per text)."""
-        if len(self.number) > CACHED_WORDS:
+        if self.full():
             self.clear()
         split = [t.lower().split() for t in texts]
         new = list(set().union(*split).difference(self.number)) if split else []
@@ -96,7 +101,7 @@ def before(numbers: np.ndarray) -> np.ndarray:
 
 
 def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Bigrams: 40 bits of the history and 24 of the word, below the mark of the history's total."""
+    """Bigrams: 40 bits of the history and 24 of the word."""
     return (history << np.uint64(24)) | word
 
 
@@ -150,8 +155,7 @@ def training_blocks(texts: DataFrame, bits: int) -> DataFrame:
     """Counts of words and bigrams of the training texts (one binary column), in packed blocks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = worker_store("lm_words")
-        met = store.setdefault("training", Words())
+        met = worker_store("lm_words").setdefault("met", Words())
         words: list[np.ndarray] = []
         pairs: list[np.ndarray] = []
         gc.disable()  # long lists and no cycles
@@ -166,7 +170,7 @@ def training_blocks(texts: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_TEXTS):
                 numbers, _ = met.numbers([x.as_py() for x in batch.column(0).slice(start, BATCH_TEXTS)])
-                hashes, history, word = met.arrays[:3]
+                hashes, history, word = met.arrays
                 counts = np.bincount(numbers, minlength=len(hashes))
                 some = np.flatnonzero(counts)
                 words.append(np.stack([hashes[some], counts[some].astype(np.uint64)], axis=1))
@@ -205,7 +209,7 @@ def filter_part(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class Filter:
-    """The whole filter: the parts of all ranges."""
+    """A filter of the parts of all ranges, or of the part of one."""
 
     def __init__(self, parts: list[bytes] | bytes, sizes: list[int] | None = None):
         """From the parts, or from all of them in one piece and their lengths in bytes."""
@@ -216,7 +220,11 @@ class Filter:
         self.bits = np.frombuffer(b"".join(parts) if sizes is None else parts, dtype=np.uint8)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle count of each key's level, by probing level after level; 0 for none."""
+        """The middle count of each key's level; 0 for none."""
+        return LEVEL_VALUES[self.levels(keys)]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's level, by probing level after level; 0 for none."""
         found = np.zeros(len(keys), dtype=np.int64)
         part = range_of(keys, self.range_bits)
         alive = np.flatnonzero(self.sizes[part] > 0)
@@ -233,154 +241,165 @@ class Filter:
                 a = a + b
             alive = alive[hit]
             found[alive] = j
-        return LEVEL_VALUES[found]
+        return found
 
 
-def train(texts: DataFrame, folder: str) -> tuple[list[bytes], DataFrame, int, int]:
-    """(filter parts, (hash, count) of every training word, N, V) from one binary column of texts."""
-    spark = texts.sparkSession
-    bits = max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+def train(texts: DataFrame, folder: str) -> tuple[DataFrame, int, int, int]:
+    """(the model, N, V, bits of a range) from one binary column of texts. The model has a row per range: its number, hashes
+    and counts of its words as one block, and the part of the filter with all of its bigrams."""
+    bits = max(6, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     bits = max(6, min(bits, 16))
 
     def add(key, rows):
-        """One range: word counts stay, bigrams under LEAST_COUNT go, the rest is counted by level."""
         kind = rows.column("kind").to_numpy()
         w, c = unpacked(rows.column("block").filter(pa.array(kind == WORDS)))
         k, n = unpacked(rows.column("block").filter(pa.array(kind == PAIRS)))
-        k, n = k[n >= LEAST_COUNT], n[n >= LEAST_COUNT]
-        level = levels_of(n)
-        out = [pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([i], pa.int32()), pa.array([b"\x08" + x.tobytes() + y.astype("<u8").tobytes()], pa.binary())],
-                                          names=["range", "kind", "block"]) for i, x, y in ((WORDS, w, c), (PAIRS, k, n))]
-        made = pa.Table.from_batches(out)
-        return made.append_column("needs", pa.array([None, np.bincount(level, weights=level, minlength=len(LEVELS) + 1).astype(np.int64).tolist()], pa.list_(pa.int64()))).append_column(
-            "n_words", pa.array([int(len(w)), 0], pa.int64())).append_column("n_tokens", pa.array([int(c.sum()), 0], pa.int64()))
-
-    schema = "range int, kind int, block binary, needs array<long>, n_words long, n_tokens long"
-    counted = written(training_blocks(texts, bits).groupBy("range").applyInArrow(add, schema), folder, "counts")
-    total, vocabulary = counted.agg(F.sum("n_tokens"), F.sum("n_words")).first()
-    needs = np.zeros(len(LEVELS) + 1)
-    for level, n in counted.select(F.posexplode("needs").alias("level", "n")).groupBy("level").agg(F.sum("n")).collect():
-        needs[level] = n
-    # A history's total takes about as many insertions as one of its bigrams; half of the bits are kept for totals.
-    above = np.cumsum(needs[::-1])[::-1] * BITS * 2
-    least = int(LEVELS[max(int(levels_of(np.asarray([LEAST_COUNT]))[0]), int(np.argmax(above <= MOST_BITS))) - 1]) if (above <= MOST_BITS).any() else int(LEVELS[-1])
-    pairs = counted.where(F.col("kind") == PAIRS)
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                k, n = unpacked(batch.column("block").slice(i, 1))
-                keep = n >= least
-                yield packed(TOTALS, *summed(k[keep] | TOTAL_MARK, n[keep]), bits)
+        return pa.table({
+            "range": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([b"\x08" + w.tobytes() + c.astype("<u8").tobytes()], pa.binary()),
+            "filter": pa.array([filter_part(k, n)], pa.binary()), "n_words": pa.array([len(w)], pa.int64()), "n_tokens": pa.array([int(c.sum())], pa.int64())})
 
-    both = pairs.select("range", "kind", "block").unionByName(pairs.select("block").mapInArrow(totals, "range int, kind int, block binary"))
+    schema = "range int, words binary, filter binary, n_words long, n_tokens long"
+    model = written(training_blocks(texts, bits).groupBy("range").applyInArrow(add, schema), folder, "model")
+    total, vocabulary = model.agg(F.sum("n_tokens"), F.sum("n_words")).first()
+    return model.select("range", "words", "filter"), int(total or 0), int(vocabulary or 0), bits
 
-    def part(key, rows):
-        kind = rows.column("kind").to_numpy()
-        k, n = unpacked(rows.column("block").filter(pa.array(kind == PAIRS)))
-        t, m = unpacked(rows.column("block").filter(pa.array(kind == TOTALS)))
-        k, n = k[n >= least], n[n >= least]
-        return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([filter_part(np.concatenate([k, t]), np.concatenate([n, m]))], pa.binary())})
 
-    parts = [b""] * (1 << bits)
-    for r, data in both.groupBy("range").applyInArrow(part, "range int, part binary").toLocalIterator():
-        parts[r] = bytes(data)
+def chunks(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, binary text) in chunks of about CHUNK_TOKENS tokens: a number, ids and lengths of the documents, the
+    hashes of the chunk's words (the end of a text first) and its tokens as numbers of these."""
+    schema = T.StructType([
+        T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("lengths", T.BinaryType()),
+        T.StructField("hashes", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = worker_store("lm_words").setdefault("met", Words())
+        made = TaskContext.get().partitionId() << 32
+        ids: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
+        numbers: list[np.ndarray] = []
+        gc.disable()  # long lists and no cycles
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            if not ids:
+                return
+            whole = np.concatenate(numbers)
+            used = np.bincount(whole, minlength=len(met.arrays[0])) > 0
+            used[0] = True
+            place = (np.cumsum(used) - 1).astype("<i4")
+            held = pa.concat_arrays(ids)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), pa.array([np.concatenate(lengths).astype("<i8").tobytes()], pa.binary()),
+                pa.array([met.arrays[0][used].astype("<u8").tobytes()], pa.binary()), pa.array([place[whole].tobytes()], pa.binary())], names=schema.names)
+            made += 1
+            for held in (ids, lengths, numbers):
+                held.clear()
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts = unpacked(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["hash", "c"])
-
-    words = counted.where((F.col("kind") == WORDS) & (F.length("block") > 1)).select("block").mapInArrow(rows_of, "hash long, c long")
-    return parts, words, int(total or 0), int(vocabulary or 0)
-
-
-def frequent_words(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes and counts of the words seen at least ``least`` times, and that: the least count that
-    leaves at most ``most`` words, from the counts of counts."""
-    by_count = words.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).count().orderBy(F.desc("c"))
-    held, least = 0, (1 << 16) + 1
-    for c, n in by_count.toLocalIterator():
-        if held + n > most:
-            break
-        held, least = held + n, c
-    found = words.where(F.col("c") >= least).toArrow()
-    keys, counts = found.column("hash").to_numpy().view(np.uint64), found.column("c").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order], least
+            for start in range(0, batch.num_rows, BATCH_TEXTS):
+                some = batch.slice(start, BATCH_TEXTS)
+                if met.full():  # numbers of words hold until then
+                    yield from flush()
+                number, length = met.numbers([x.as_py() for x in some.column(1)])
+                ids.append(some.column(0))
+                lengths.append(length)
+                numbers.append(number)
+                if sum(map(len, numbers)) >= CHUNK_TOKENS:
+                    yield from flush()
+        yield from flush()
+
+    return docs.mapInArrow(work, schema)
+
+
+def wanted(hashes: np.ndarray, codes: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the words and of the bigrams of a chunk: (keys, their order by range, first place of each range in that order).
+
+    A bigram's code is the number of its history times the number of words, plus that of its word."""
+    history, word = halves(hashes)
+    out = []
+    for keys in (hashes, pair_keys(history[codes // len(hashes)], word[codes % len(hashes)])):
+        part = range_of(keys, bits).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        out.append((keys, order, np.searchsorted(part[order], np.arange((1 << bits) + 1))))
+    return out
+
+
+def codes_of(tokens: np.ndarray, n_words: int) -> np.ndarray:
+    return before(tokens).astype(np.int64) * n_words + tokens
+
 
+def questions(held: DataFrame, bits: int) -> DataFrame:
+    """(range, chunk, keys of words, keys of bigrams): what each chunk asks of each range."""
 
-def scores(docs: DataFrame, training: DataFrame, text: str = "text", doc_id: str = "doc_id", mu: float = MU, frequent: int = FREQUENT) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes = np.frombuffer(batch.column(1)[i].as_py(), dtype="<u8")
+                codes = np.unique(codes_of(np.frombuffer(batch.column(2)[i].as_py(), dtype="<i4"), len(hashes)))
+                (w, by_w, at_w), (p, by_p, at_p) = wanted(hashes, codes, bits)
+                w, p = w[by_w], p[by_p]
+                some = [r for r in range(1 << bits) if at_w[r + 1] > at_w[r] or at_p[r + 1] > at_p[r]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some, pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(some), pa.int64()),
+                    pa.array([w[at_w[r]:at_w[r + 1]].tobytes() for r in some], pa.binary()),
+                    pa.array([p[at_p[r]:at_p[r + 1]].tobytes() for r in some], pa.binary())], names=["range", "chunk", "words", "pairs"])
+
+    return held.select("chunk", "hashes", "tokens").mapInArrow(work, "range int, chunk long, words binary, pairs binary")
+
+
+def answered(key, model: pa.Table, asked: pa.Table) -> pa.Table:
+    """(chunk, range, counts of words, levels of bigrams) by the part of the model of one range."""
+    worker_store("lm_words").clear()  # texts are read by now
+    edges, keys = [], []
+    for column in ("words", "pairs"):
+        blocks = asked.column(column).to_pylist()
+        edges.append(np.append(0, np.cumsum([len(b) // 8 for b in blocks])).astype(np.int64))
+        keys.append(np.frombuffer(b"".join(blocks), dtype="<u8"))
+    counts, levels = np.zeros(len(keys[0]), dtype="<i8"), np.zeros(len(keys[1]), dtype=np.uint8)
+    if model.num_rows:
+        known, c = unpacked(model.column("words"))
+        if len(known):
+            at = np.minimum(np.searchsorted(known, keys[0]), len(known) - 1)
+            counts = np.where(known[at] == keys[0], c[at], 0).astype("<i8")
+        levels = Filter([model.column("filter")[0].as_py()]).levels(keys[1]).astype(np.uint8)
+    cut = lambda values, at: pa.array([values[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
+    return pa.table({
+        "chunk": asked.column("chunk"), "range": pa.array([key[0].as_py()] * asked.num_rows, pa.int32()), "words": cut(counts, edges[0]), "pairs": cut(levels, edges[1])})
+
+
+def scores(docs: DataFrame, training: DataFrame, text: str = "text", doc_id: str = "doc_id", mu: float = MU) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every whole text of ``docs``, by a model of
     the texts of ``training`` (null texts count as empty: one end token).
 
     base_score sums log10 of add-one unigram probabilities, score those of the smoothed bigrams. Repeated rows are
     scored each; with no training rows, every token has count 0. Words are told apart by 64-bit hashes."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(docs.sparkSession)
     body = lambda df: F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("_text")
-    parts, words, total, vocabulary = train(training.select(body(training)), folder)
-    hashes, counts, least = frequent_words(words, frequent)
-    model = spark.sparkContext.broadcast((b"".join(parts), [len(p) for p in parts], hashes, counts))
+    model, total, vocabulary, bits = train(training.select(body(training)), folder)
     denominator = float(total + vocabulary + 1)
-    id_type = docs.schema[doc_id].dataType
-    rare = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("pair", T.DoubleType()), T.StructField("total", T.DoubleType())]))
-    schema = T.StructType([
-        T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
-        T.StructField("base", T.DoubleType()), T.StructField("smooth", T.DoubleType()), T.StructField("rare", rare)])
-    name = folder
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = worker_store("lm_models")
-        if name not in store:
-            store.clear()
-            bits, sizes, known_hashes, known_counts = model.value
-            bloom = Filter(bits, sizes)
-
-            def facts(h: np.ndarray, history: np.ndarray) -> list[np.ndarray]:
-                """Count (0: not among the frequent) and total of what follows, of new words."""
-                if not len(known_hashes):
-                    return [np.zeros(len(h), dtype=np.int64), bloom.counts((history << np.uint64(24)) | TOTAL_MARK)]
-                at = np.minimum(np.searchsorted(known_hashes, h), len(known_hashes) - 1)
-                return [np.where(known_hashes[at] == h, known_counts[at], 0), bloom.counts((history << np.uint64(24)) | TOTAL_MARK)]
-
-            store[name] = (bloom, Words(facts))
-        bloom, met = store[name]
-        gc.disable()  # long lists and no cycles
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH_TEXTS):
-                batch = whole.slice(start, BATCH_TEXTS)
-                numbers, lengths = met.numbers([x.as_py() for x in batch.column(1)])
-                hashes_, history, word, count, total_ = met.arrays
-                earlier = before(numbers)
-                h, c, follows = hashes_[numbers], count[numbers], total_[earlier]
-                pair = np.zeros(len(h))
-                some = np.flatnonzero(follows > 0)
-                pair[some] = bloom.counts(pair_keys(history[earlier[some]], word[numbers[some]]))
-                is_known = c > 0
-                unigram = (c + 1) / denominator
-                base = np.where(is_known, np.log10(unigram), 0.0)
-                smooth = np.where(is_known, np.log10((pair + mu * unigram) / (follows + mu)), 0.0)
-                ends = np.cumsum(lengths)
-                begins = ends - lengths
-                sums = [np.add.reduceat(x, begins) if len(begins) else x[:0] for x in (is_known.astype(np.int64), base, smooth)]
-                open_ = np.flatnonzero(~is_known)
-                offsets = np.searchsorted(open_, np.append(begins, len(h)))
-                items = pa.StructArray.from_arrays(
-                    [pa.array(h[open_].view(np.int64)), pa.array(pair[open_]), pa.array(follows[open_])], names=["hash", "pair", "total"])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(lengths), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)], names=schema.names)
-
-    scored = written(
-        docs.select(F.col(doc_id).alias("doc_id"), body(docs)).mapInArrow(work, schema).withColumn("_row", F.monotonically_increasing_id()), folder, "scored")
-    opened = scored.select("_row", F.explode("rare").alias("x")).select("_row", "x.*")
-    joined = opened.join(words.where(F.col("c") < least), "hash", "left").withColumn("p", (F.coalesce("c", F.lit(0)) + 1) / F.lit(denominator))
-    rest = joined.groupBy("_row").agg(
-        F.count("c").alias("known_2"), F.sum(F.log10("p")).alias("base_2"), F.sum(F.log10((F.col("pair") + mu * F.col("p")) / (F.col("total") + mu))).alias("smooth_2"))
-    out = scored.drop("rare").join(rest, "_row", "left")
-    return out.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("known_2", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_2", F.lit(0.0))).alias("base_score"), (F.col("smooth") + F.coalesce("smooth_2", F.lit(0.0))).alias("score"))
+    held = written(chunks(docs.select(F.col(doc_id).alias("doc_id"), body(docs))), folder, "chunks")
+    answers = model.groupBy("range").cogroup(questions(held, bits).groupBy("range")).applyInArrow(answered, "chunk long, range int, words binary, pairs binary")
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+                           T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+
+    def finish(key, chunk: pa.Table, found: pa.Table) -> pa.Table:
+        lengths, hashes, tokens = (np.frombuffer(chunk.column(c)[0].as_py(), dtype=t) for c, t in (("lengths", "<i8"), ("hashes", "<u8"), ("tokens", "<i4")))
+        codes, place = np.unique(codes_of(tokens, len(hashes)), return_inverse=True)
+        found = found.sort_by("range")
+        count, level = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(codes), dtype=np.uint8)
+        for column, values, kind, (_, order, _) in zip(("words", "pairs"), (count, level), ("<i8", np.uint8), wanted(hashes, codes, bits)):
+            values[order] = np.frombuffer(b"".join(found.column(column).to_pylist()), dtype=kind)
+        v, w = codes // len(hashes), codes % len(hashes)
+        # A bigram is seen at most as often as either word.
+        pair = np.minimum(LEVEL_VALUES[level], np.minimum(count[v], count[w]))
+        unigram = (count + 1) / denominator
+        smooth = np.log10((pair + mu * unigram[w]) / (count[v] + mu))
+        begins = np.cumsum(lengths) - lengths
+        sums = [np.add.reduceat(x, begins) for x in ((count > 0).astype(np.int64)[tokens], np.log10(unigram)[tokens], smooth[place])]
+        return pa.Table.from_arrays([chunk.column("ids").combine_chunks().flatten(), pa.array(lengths), *map(pa.array, sums)], names=schema.names)
+
+    out = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 @query("op8_bloom_lm")

@@ -186,6 +186,26 @@ def test_filter_never_gives_less():
     assert (bloom.counts(random.integers(0, 2 ** 63, 20_000).astype(np.uint64)) > 0).mean() < 0.06
 
 
+def test_language_model_keeps_every_bigram(spark):
+    """Scores by exact counts, with most bigrams seen once; the filter grows with them."""
+    random = np.random.default_rng(6)
+    texts = [[f"w{k}" for k in random.integers(0, 150, 60)] for _ in range(150)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    words, pairs = {}, {}
+    for t in texts:
+        for v, w in zip([None, *t], [*t, None]):
+            words[w] = words.get(w, 0) + 1
+            pairs[v, w] = pairs.get((v, w), 0) + 1
+    assert np.mean([n == 1 for n in pairs.values()]) > 0.7
+    p = {w: (n + 1) / (sum(words.values()) + len(words) + 1) for w, n in words.items()}
+    for r in lm.scores(df, df, mu=2.0).collect():
+        t = texts[r.doc_id]
+        exact = sum(math.log10((pairs[v, w] + 2 * p[w]) / (words[v] + 2)) for v, w in zip([None, *t], [*t, None]))
+        assert math.isclose(r.score, exact, rel_tol=0.02)
+    bits = [8 * sum(len(x["filter"]) for x in lm.train(df.limit(n).select(F.col("text").cast("binary")), shared_folder(spark))[0].collect()) for n in (20, 150)]
+    assert bits[1] >= lm.BITS * len(pairs) and bits[1] > 3 * bits[0]
+
+
 def test_languages(docs, empty):
     model = langid.train(docs)
     assert set(model) == {"en", "fr", "xx"} and len({len(x) for x in model.values()}) == 1
