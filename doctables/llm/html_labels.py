@@ -50,4 +50,10 @@ BLOCK_PAGES = (
     f"""<html><body><p><a href="/">Home</a> | <a href="/n">All the news of the day</a></p><h1>@@Letters</h1><p>@@{_MID}</p><p>@@{_MID}</p><p>@@{_LONG}</p>
     <p class="copyright">{_MID}</p><nav>{_MID}</nav><footer><p>{_LONG}</p></footer></body></html>""",
     f"""<html><body><h1>@@One</h1><p>@@{_SHORT}</p><p>@@{_SHORT}</p><p>@@{_MID}</p><p><a href="/more">{_MID}</a></p></body></html>""",
+    # Names with a part that says main, beside text that nothing marks.
+    f"""<html><head><link id="main-css" rel="stylesheet"><script id="main-js">x</script></head><body><div><a href="/">Home</a> <a href="/n">News</a></div>
+    <h1 class="entry-title">@@The ford</h1><div><p>@@{_LONG}</p><p>@@{_MID}</p><p>@@{_LONG}</p></div><ul><li><a href="/2">{_MID}</a></li></ul>
+    <div><a href="/imprint">Imprint</a></div></body></html>""",
+    f"""<html><body><div><a href="/">Start page of the paper</a></div><h1>@@The weir</h1><div><p>@@{_LONG}</p><div class="text-center"><p>@@{_SHORT}</p></div><p>@@{_LONG}</p>
+    <p>@@{_MID}</p></div><div><a href="/t">Terms of use and more</a></div></body></html>""",
 )

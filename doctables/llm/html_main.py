@@ -57,10 +57,13 @@ COMMENT_NAMES = frozenset("comment comments reply ad ads advert promo sponsored
 HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 WHITE = re.compile(r"\s+")
 
-#: place: 0 in what stands around an article, 2 in a marked main part, 1 where the page marks neither.
+#: Share of a page's words, without links and what stands around an article, that its marked main parts must have to be
+#: one: of those marked by an element or a whole name, and of those marked by a part of a name only.
+WHOLE_SHARE, PART_SHARE = 0.1, 0.4
+#: place: 0 in what stands around an article, 2 in a marked main part, 1 in neither. page_marked: whether the page has a marked one.
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-    "place", "in_text_tag", "in_list", "in_table")
+    "place", "in_text_tag", "in_list", "in_table", "page_marked")
 
 
 class Element:
@@ -81,17 +84,18 @@ class Element:
                     hidden = True
         parts = [p for t in tokens if (p := NAME_PART.findall(t)) and p[0] not in BESIDE]
         # A name as a whole says more than a part of one.
-        main = not MAIN_NAMES.isdisjoint(tokens)
+        whole = main = not MAIN_NAMES.isdisjoint(tokens)
         frame = not FRAME_NAMES.isdisjoint(tokens) or not main and any(not FRAME_NAMES.isdisjoint(p) for p in parts)
         main = not frame and (main or any(not MAIN_NAMES.isdisjoint(p) for p in parts))
         if tag in ("body", "html"):  # their names say nothing of a part of the page
             frame = main = False
         if tag in ("article", "main"):
             frame = not COMMENT_NAMES.isdisjoint(tokens)
-            main = not frame
+            whole = main = not frame
         frame = frame or tag in FRAME_TAGS or tag == "header" and not (up and up.main)
         self.frame = frame or bool(up and up.frame)
-        self.main = (main and not self.frame) or bool(up and up.main)
+        # 2 by an element or a whole name, 1 by a part of a name.
+        self.main = max((2 if whole else 1) if main and not self.frame else 0, up.main if up else 0)
         self.hidden = hidden or tag in HIDDEN_TAGS or bool(up and up.hidden)
         self.text = tag in TEXT_TAGS or bool(up and up.text and tag not in ("li", "td", "div"))
         self.list = tag == "li" or bool(up and up.list)
@@ -106,7 +110,7 @@ def blocks_of(page: str) -> tuple[list[str], list[list[float]]]:
     parts: list[str] = []
     linked = 0
     holder: Element | None = None
-    has_main = False
+    marks: list[int] = []
     stack: list[Element] = [Element("html", None, "")]
     open_tags: dict[str, int] = {}
 
@@ -117,7 +121,8 @@ def blocks_of(page: str) -> tuple[list[str], list[list[float]]]:
             if text and holder is not None:
                 words = text.count(" ") + 1
                 texts.append(text)
-                rows.append([words, min(1.0, linked / words), 0, 0, 0, 0, 0 if holder.frame else 2 if holder.main else 1, holder.text, holder.list, holder.table])
+                rows.append([words, min(1.0, linked / words), 0, 0, 0, 0, 0 if holder.frame else 1, holder.text, holder.list, holder.table, False])
+                marks.append(0 if holder.frame else holder.main)
             parts.clear()
         linked, holder = 0, None
 
@@ -177,7 +182,6 @@ def blocks_of(page: str) -> tuple[list[str], list[list[float]]]:
         if tag == "body":  # ends an open head
             close("head")
         element = Element(tag, stack[-1], found[3])
-        has_main = has_main or element.main
         if tag in VOID or found[3].endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
@@ -186,13 +190,21 @@ def blocks_of(page: str) -> tuple[list[str], list[list[float]]]:
         stack.append(element)
         open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
-    for i, row in enumerate(rows):
+    words = [0.0, 0.0, 0.0]  # by mark, without links
+    for row, mark in zip(rows, marks):
+        if row[6]:
+            words[mark] += row[0] * (1 - row[1])
+    # A name such as text-center or post-date somewhere on a page marks no main part.
+    least = 1 if words[1] + words[2] >= PART_SHARE * sum(words) else 2 if words[2] >= WHOLE_SHARE * sum(words) else 3
+    page_marked = any(mark >= least for mark in marks)
+    for i, (row, mark) in enumerate(zip(rows, marks)):
+        if mark >= least:
+            row[6] = 2
+        row[10] = page_marked
         if i:
             row[2], row[3] = rows[i - 1][0], rows[i - 1][1]
         if i + 1 < len(rows):
             row[4], row[5] = rows[i + 1][0], rows[i + 1][1]
-        if has_main and row[6] == 1:  # a page that marks its main part has the rest elsewhere
-            row[6] = 0
     return texts, rows
 
 

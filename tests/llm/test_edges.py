@@ -272,6 +272,22 @@ def test_main_text(pages):
     assert say("<article><p>a <b title='x>y'>b</b></p><div style='display:none'>z<div>y</div></div><p>c") == "a b\nc"
 
 
+@pytest.mark.parametrize("head, title, middle", [
+    ("<link id='main-css' rel=stylesheet>", "<h1>", ""), ("<script id='main-js'>x</script>", "<h1>", ""), ("", "<h1 class='entry-title'>", ""),
+    ("", "<h1>", "<div class='text-center'><p>Not one of the boats that lay at the quay was lost.</p></div>"),
+    ("", "<h1>", "<p><span class='post-date'>Printed on the second day of May in the old hall.</span></p>"), ("<div class=content hidden>x y</div>", "<h1>", ""),
+])
+def test_names_beside_unmarked_text(head, title, middle):
+    """Parts of names on a page whose paragraphs nothing marks: all paragraphs stay, and links around go."""
+    import re
+
+    paragraphs = [" ".join(f"The {n} boat came home with {k} nets full of herring." for k in range(9)) for n in ("first", "second", "third")]
+    story = f"<div>{''.join(f'<p>{x}</p>' for x in paragraphs[:2])}{middle}<p>{paragraphs[2]}</p></div>"
+    page = f"<html><head></head><body>{head}<div><a href=/>Home</a> <a href=/n>News</a></div>{title}Boats</h1>{story}<div><a href=/i>Imprint</a></div></body></html>"
+    between = [re.sub("<[^>]*>", "", middle)] if middle else []
+    assert html_main.main_text(page, html_main.train()) == "\n".join(["Boats", *paragraphs[:2], *between, paragraphs[2]])
+
+
 def test_pages_are_scanned_in_linear_time():
     import time
 
