@@ -30,9 +30,10 @@ H, STEPS = 0.75, 3
 #: Smaller groups are estimated with the other small ones of their language, those with all others.
 LEAST_ROWS = 120
 #: Rejected is what a multivariate normal would exceed with this probability, in a vector with at least the resolution.
-TAIL = 1e-9
-#: Features and the least spread each is taken to have: differences below are no sign of quality.
-FEATURES = {"log_word_length": 0.06, "log_words": 0.6, "symbol_angle": 0.03, "dup_line_angle": 0.25, "repeat_angle": 0.15, "upper_angle": 0.06}
+TAIL = 1e-6
+#: Features and the least spread each is taken to have: differences below are no sign of quality. Each is small enough for
+#: the feature alone to pass the limit within its range: repeated lines from 58 %, repeated words from 40 % on at the least.
+FEATURES = {"log_word_length": 0.06, "log_words": 0.6, "symbol_angle": 0.03, "dup_line_angle": 0.14, "repeat_angle": 0.11, "upper_angle": 0.06}
 
 
 def chi2_cdf(x: float, k: int) -> float:

@@ -147,6 +147,24 @@ def test_outliers(docs, empty):
     assert outliers.judged(empty).count() == 0
 
 
+def test_one_bad_feature_is_enough(spark):
+    random = np.random.default_rng(7)
+    word = lambda: "".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    words = lambda n: [word() for _ in range(n)]
+    lines = lambda w: "\n".join(" ".join(w[k:k + 10]) for k in range(0, len(w), 10))
+    clean = [lines(words(int(random.integers(80, 140)))) for _ in range(300)]
+    same = words(22)
+    bad = {
+        "lines": "\n".join(f"{' '.join(words(6))}\n{x}" for x in ["okokok\nsososo"] * 12),
+        "words": lines([*words(10), *same, *words(20), *same, *words(20)]), "symbols": lines([w if k % 4 else "$" + w[1:] for k, w in enumerate(words(100))]).replace("$", "$$"),
+        "upper": lines([w.upper() if k % 2 else w for k, w in enumerate(words(100))]), "length": lines(words(20_000)), "word length": lines([w * 3 for w in words(100)])}
+    rows = [(str(i), t, "en", "a") for i, t in enumerate(clean)] + [(k, t, "en", "a") for k, t in bad.items()]
+    got = {r.doc_id: r for r in outliers.judged(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()}
+    assert all(got[str(i)].kept for i in range(300))
+    assert not any(got[k].base_failed for k in bad) and [k for k in bad if got[k].kept] == []
+    assert got["lines"].n_repeat_words == got["words"].n_dup_lines == 0
+
+
 def test_mcd_against_numpy(spark):
     """Planted outliers are far, the rest is as near as numpy's distances to the clean rows say."""
     random = np.random.default_rng(4)
