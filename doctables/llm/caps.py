@@ -31,6 +31,9 @@ TABLES, PARTS, CODE = 32, 2, 256
 #: share one with probability over 0.995; two unrelated ones with probability 0.0002. With many more
 #: vectors, more code words and a higher threshold keep the caps as full as they are.
 THRESHOLD = 4.0
+#: Caps must find this share of the links at the least cosine. Where they do not (on SAMPLE drawn pairs of that cosine), the threshold is
+#: lowered by STEP; where a vector would lie in more than MOST_CAPS then, or has under LEAST_DIMENSION components, all are compared.
+RECALL, SAMPLE, STEP, MOST_CAPS, LEAST_DIMENSION = 0.99, 4000, 0.25, 400, 16
 MEMBERS = 256
 #: Rows of small filters that one task compares at a time, and pairs of them at once.
 TOGETHER, PAIRS = 2048, 200_000
@@ -93,7 +96,32 @@ def caps(units: np.ndarray, tables: int, parts: int, words: int, threshold: floa
     return np.split(name[order], np.cumsum(np.bincount(row, minlength=n))[:-1])
 
 
-def filtered(vectors: DataFrame, tables: int, parts: int, words: int, threshold: float) -> DataFrame:
+def threshold_for(dimension: int, cosine: float, tables: int, parts: int, words: int, most: float) -> float | None:
+    """The highest threshold from ``most`` down whose caps find RECALL of the pairs of this cosine, measured on drawn ones of a fixed
+    seed; None where all vectors of the dimension are to be compared."""
+    store = worker_store("cap_thresholds")
+    key = (dimension, cosine, tables, parts, words, most)
+    if key not in store:
+        store[key] = None
+        threshold = most
+        random = np.random.default_rng([SEED, dimension])
+        x, y = random.standard_normal((2, SAMPLE, dimension))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+        y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+        while dimension >= max(LEAST_DIMENSION, 2 * parts) and threshold > 0:
+            few = caps(x[:200], tables, parts, words, threshold)
+            if np.mean([len(f) for f in few]) > MOST_CAPS:
+                break
+            found = [caps(z, tables, parts, words, threshold) for z in (x, y)]
+            if np.mean([len(np.intersect1d(a, b, assume_unique=True)) > 0 for a, b in zip(*found)]) >= RECALL:
+                store[key] = threshold
+                break
+            threshold -= STEP
+    return store[key]
+
+
+def filtered(vectors: DataFrame, cosine: float, tables: int, parts: int, words: int, threshold: float) -> DataFrame:
     """vec_id, key (a digest of the vector; null where it takes no part), dimension, filters, embedding."""
     schema = T.StructType([
         T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("key", T.BinaryType()), T.StructField("dimension", T.IntegerType()),
@@ -121,8 +149,13 @@ def filtered(vectors: DataFrame, tables: int, parts: int, words: int, threshold:
                     dimensions[i] = len(v)
                     v = v / scale
                     by_dimension.setdefault(len(v), []).append((i, v / np.linalg.norm(v)))
-                for some in by_dimension.values():
-                    for (i, _), found in zip(some, caps(np.stack([u for _, u in some]), tables, parts, words, threshold), strict=True):
+                for dimension, some in by_dimension.items():
+                    least = threshold_for(dimension, cosine, tables, parts, words, threshold)
+                    if least is None:  # one filter for all of them
+                        for i, _ in some:
+                            filters[i] = np.zeros(1, dtype=np.int64)
+                        continue
+                    for (i, _), found in zip(some, caps(np.stack([u for _, u in some]), tables, parts, words, least), strict=True):
                         filters[i] = found
                 embedding = pa.array([x.as_py() if k is not None else None for x, k in zip(column, keys)], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([
@@ -207,13 +240,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = TABLES,
                  vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors``.
 
-    Links are pairs of rows with cosine >= ``cosine`` that share a filter; recall falls with rising ``threshold``, cost
-    rises as it falls. Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
+    Links are pairs of rows with cosine >= ``cosine`` that share a filter; ``threshold`` is lowered for dimensions where its caps
+    would find under RECALL of them, and vectors of a dimension too small for caps are all compared. Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
     id, link with nothing; vectors of different dimensions never link. Equal vectors link with each other. n_links counts
     rows, component_id is the smallest id reachable over links."""
     folder = shared_folder(vectors.sparkSession)
     named = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
-    rows = written(filtered(named, tables, parts, words, threshold), folder, "filtered")
+    rows = written(filtered(named, cosine, tables, parts, words, threshold), folder, "filtered")
     classes = written(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), folder, "classes")
     nodes = written(
         rows.join(classes, ["key", "vec_id"]).dropDuplicates(["key"]).select("key", "n", "dimension", "filters", "embedding"), folder, "nodes")

@@ -349,6 +349,22 @@ def test_planted_links_are_found(spark):
     assert (got <= wanted).all() and got[:800].sum() >= 0.97 * wanted[:800].sum() and got[800:].sum() >= 0.99 * wanted[800:].sum()
 
 
+@pytest.mark.parametrize("dimension", [1, 2, 8, 16, 24, 32, 48, 64])
+def test_links_at_the_least_cosine(spark, dimension):
+    random = np.random.default_rng(dimension)
+    n = 300 if dimension > 8 else 30
+    x, y = random.standard_normal((2, n, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+    y = x * 3 if dimension == 1 else 0.950001 * x + math.sqrt(1 - 0.950001 ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    both = np.concatenate([x, y])
+    unit = both / np.linalg.norm(both, axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= 0.95).sum() - 2 * n
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    found = caps.near_vectors(df).agg(F.sum("n_links")).first()[0]
+    assert 0.97 * wanted <= found <= wanted and (dimension > 8 or found == wanted)
+
+
 def test_pipeline_stages_take_odd_rows(spark, docs, empty):
     import corpus_pipeline
 
