@@ -6,115 +6,170 @@ the corpus) goes to the driver. There all patterns of up to three pieces that fi
 sequence are enumerated, their repeat counts fitted to the histogram by non-negative least
 squares, rounded, and what they leave is packed best-fit. The plan is a list of (pattern,
 repeats), so its size depends on the sequence length only. Pieces are numbered within their
-length by a range sort, and each finds its place in the plan by that number."""
+length as they are written, and each finds its place in the plan by that number."""
 
 from __future__ import annotations
 
 import bisect
-import gc
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
+from .blocks import by_bytes, one_array, row_sums
 from .common import shared_folder, table, worker_store, written
 from .registry import query
 
 CAPACITY = 2048
 END_ID = 0
-BATCH_CHARS = 1 << 21
-CACHED_WORDS = 1_200_000
-CACHED_CHARS = 40
+BLOCK_BYTES = 4 << 20
+KNOWN_WORDS = 250_000
+KNOWN_CHARS = 40
+CALL_TEXTS = 8192
+CALL_CHARS = 1 << 18
 NNLS_STEPS = 60
 #: Unicode's white space, and ASCII signs that a byte-level pre-tokenizer splits from a letter before them.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 TAIL = ".,;:!?#$%&*()"
+#: Fixed value: how a byte-level model writes a space.
+SPACE_SIGN = "\u0120"
 
 
 class IdCoder:
-    """Token ids of whole texts with a byte-level BPE tokenizer, as little-endian 32-bit words.
+    """Token ids of whole texts with a byte-level BPE tokenizer, as little-endian 32-bit numbers.
 
     Such a tokenizer starts a token at a single space before a word, and around a line feed between
-    words; so a text is looked up word by word, and only words not yet seen are encoded. A text
-    with longer white space between words, or with a special string, is encoded as it is."""
+    words; so texts are cut there, a block's different words are looked up, and only those not yet known are
+    encoded. A text with longer white space between words, or with a special string, is encoded as it is.
+
+    Words up to ``KNOWN_CHARS`` long stay known. After ``KNOWN_WORDS`` a new generation of them begins, which takes from the one
+    before what is met again; older ones are forgotten."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are busy with other tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.markers = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.plain: dict[str, bytes] = {}  # texts as such
-        self.spaced: dict[str, bytes | None] = {}  # what follows a space, with that space; None where it can't stand alone
+        # A word of letters is one piece for the model, which is asked directly where nothing else changes it.
+        bare = self.tokenizer.normalizer is None and [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(" Ab")] == [SPACE_SIGN + "Ab"]
+        self.model = self.tokenizer.model if bare else None
+        self.known: dict[str, bytes | None] = {}  # what follows a space, with that space; None where it can't stand alone
+        self.before: dict[str, bytes | None] = {}
+
+    def of_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters behind a space."""
+        if self.model is None:
+            return self.encode([" " + w for w in words])
+        tokenize, cut = self.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        return [array("I", [t.id for t in tokenize(SPACE_SIGN + w)] if w.isascii() else
+                      [t.id for piece, _ in cut(" " + w) for t in tokenize(piece)]).tobytes() for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def learn(self, words: set[str]) -> None:
-        """Fill ``spaced`` for ``words``; one that starts with a line feed has no space before it. Signs
-        behind a letter are encoded apart from it."""
-        plain, spaced = self.plain, self.spaced
-        stems: set[str] = set()  # after a space
-        bare: set[str] = set()
-        made: list[tuple[str, str, list[str]]] = []
+        return [array("I", e.ids).tobytes() for some in by_chars(texts) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Add ``words``. Signs behind a letter make tokens of their own: words that differ in these only are encoded once."""
+        known = self.known
+        made: list[tuple[str, str, str]] = []  # word, the letters in it, signs behind them
+        letters: dict[str, None] = {}
+        bare: dict[str, bytes] = {"": b"", "\n": b""}  # texts as such
         for word in words:
             if word.isalpha():
-                stems.add(word)
-                continue
-            line = word[1:] if word[:1] == "\n" else word
-            if not line or line[0] in SPACES:
-                spaced[word] = None
+                letters[word] = None
                 continue
-            stem = line.rstrip(TAIL)
-            rest = [line[len(stem):]] if stem and len(stem) < len(line) and stem[-1].isalpha() else []
-            stem = stem if rest else line
-            if line is word:
-                stems.add(stem)
+            stem = word.rstrip(TAIL)
+            core = stem[1:] if stem[:1] == "\n" else stem
+            if core.isalpha() and len(core) <= KNOWN_CHARS:
+                signs = word[len(stem):]
+                made.append((word, core, signs))
+                bare[signs] = b""
+                letters[core] = None
+            elif stands_not_alone(word):
+                known[word] = None
             else:
-                rest, stem = ["\n", stem, *rest], ""
-            bare.update(rest)
-            made.append((word, stem, rest))
-        new = list(stems.difference(spaced))
-        spaced.update(zip(new, self.encode([" " + x for x in new]), strict=True))
-        new = list(bare.difference(plain))
-        plain.update(zip(new, self.encode(new), strict=True))
-        for word, stem, rest in made:
-            spaced[word] = (spaced[stem] if stem else b"") + b"".join([plain[x] for x in rest])
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of a batch of whole texts."""
-        plain, spaced = self.plain, self.spaced
-        if len(plain) + len(spaced) > CACHED_WORDS:
-            plain.clear()
-            spaced.clear()
-        split = [text.replace("\n", " \n").split(" ") for text in texts]
-        new = set().union(*[words[1:] for words in split]).difference(spaced)
-        if new:
-            self.learn(new)
-        out: list[bytes] = []
-        whole = []
-        for i, (text, words, start) in enumerate(zip(texts, split, self.encode([words[0] for words in split]), strict=True)):
-            ids = [spaced[w] for w in words[1:]]
-            if None in ids or " \n" in text or any(m in text for m in self.markers):
-                whole.append(i)
-                out.append(b"")
+                bare[word if word[0] == "\n" else " " + word] = b""
+                made.append((word, "", ""))
+        new = [w for w in letters if w not in known]
+        known.update(zip(new, self.of_letters(new), strict=True))
+        for word, core, signs in made:
+            if core and word[0] == "\n":
+                bare[core] = b""
+        bare = dict(zip(bare, self.encode(list(bare)), strict=True))
+        for word, core, signs in made:
+            if not core:
+                known[word] = bare[word if word[0] == "\n" else " " + word]
+            elif word[0] == "\n":
+                known[word] = bare["\n"] + bare[core] + bare[signs]
             else:
-                out.append(start + b"".join(ids))
-        for i, ids in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
+                known[word] = known[core] + bare[signs]
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a block."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        starts = split.offsets.to_numpy().astype(np.int64)
+        words = split.flatten()
+        first = words.take(pa.array(starts[:-1]))
+        inner = np.ones(len(words), dtype=bool)
+        inner[starts[:-1]] = False
+        coded = words.filter(pa.array(inner)).dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        found = [known.get(w, False) for w in different]
+        at = [i for i, x in enumerate(found) if x is False]
+        known.update((w, before[w]) for i in at if (w := different[i]) in before)
+        self.learn([w for i in at if (w := different[i]) not in known])
+        for i in at:
+            found[i] = known[different[i]]
+            if len(different[i]) > KNOWN_CHARS:
+                del known[different[i]]
+        odd = np.asarray([x is None for x in found], dtype=bool)
+        found = [x or b"" for x in found]
+        place = coded.indices.to_numpy()
+        ends = starts - np.arange(len(starts))  # each text's first word stands apart
+        whole = row_sums(odd[place], ends) > 0
+        for marker in (" \n", *self.markers):
+            whole |= pc.match_substring(texts, marker).to_numpy(zero_copy_only=False)
+        out = [start + b"".join([found[k] for k in place[a:b].tolist()]) for start, a, b in zip(self.encode(first.to_pylist()), ends[:-1], ends[1:], strict=True)]
+        rest = np.flatnonzero(whole)
+        for i, ids in zip(rest.tolist(), self.encode(texts.take(pa.array(rest)).to_pylist()), strict=True):
             out[i] = ids
-        for word in new:
-            if len(word) > CACHED_CHARS:
-                del spaced[word]
         return out
 
 
+def stands_not_alone(word: str) -> bool:
+    """Nothing, or more white space, follows the space or line feed."""
+    line = word[1:] if word[:1] == "\n" else word
+    return not line or line[0] in SPACES
+
+
+def by_chars(texts: list[str]) -> Iterator[list[str]]:
+    """Lists of at most ``CALL_TEXTS`` texts and about ``CALL_CHARS`` characters: an encoding takes many times the room of its text."""
+    some: list[str] = []
+    size = 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size >= CALL_CHARS or len(some) >= CALL_TEXTS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def worker_coder(path: str) -> IdCoder:
     store = worker_store("id_coders")
     if path not in store:
@@ -130,48 +185,41 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, keep_ids: bool = False,
                  text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids on request).
+    """The pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids on request), and the place of
+    each among the pieces of its length that its task makes: part (the task) and nth, from 0.
 
     A null or empty text is just the end id; with ``end_id=None`` it has no piece."""
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
-        T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
+        T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("part", T.LongType()), T.StructField("nth", T.LongType()),
     ] + ([T.StructField("ids", T.BinaryType())] if keep_ids else []))
     end = b"" if end_id is None else np.asarray([end_id], dtype="<u4").tobytes()
 
-    def groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-        start, held, texts = 0, 0, []
-        for i, value in enumerate(column):
-            texts.append(value.as_py())
-            held += len(texts[-1])
-            if held >= BATCH_CHARS:
-                yield start, texts
-                start, held, texts = i + 1, 0, []
-        yield start, texts
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_coder(tokenizer)
-        gc.disable()  # many small lists and no cycles: collecting them again and again costs more than the work
-        for batch in batches:
-            for first, texts in groups(batch.column(1)):
-                rows, piece, start, length, crc, kept = [], [], [], [], [], []
-                for i, ids in enumerate(coder.ids(texts), first):
-                    ids += end
-                    for k, (s, n) in enumerate(cuts(len(ids) // 4, capacity) if ids else []):
-                        part = ids[4 * s:4 * (s + n)]
-                        rows.append(i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(n)
-                        crc.append(zlib.crc32(part))
-                        if keep_ids:
-                            kept.append(part)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(kept, pa.binary())] if keep_ids else []),
-                ], names=schema.names)
-
-    return docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(cut, schema)
+        coder, part = worker_coder(tokenizer), TaskContext.get().partitionId()
+        made = [0] * (capacity + 1)
+        for block in by_bytes(batches, "_text", BLOCK_BYTES):
+            rows, piece, start, length, crc, nth, kept = [], [], [], [], [], [], []
+            for i, found in enumerate(coder.ids(one_array(block.column("_text")))):
+                ids = found + end
+                for k, (s, n) in enumerate(cuts(len(ids) // 4, capacity) if ids else []):
+                    data = ids[4 * s:4 * (s + n)]
+                    rows.append(i)
+                    piece.append(k)
+                    start.append(s)
+                    length.append(n)
+                    crc.append(zlib.crc32(data))
+                    nth.append(made[n])
+                    made[n] += 1
+                    if keep_ids:
+                        kept.append(data)
+            yield pa.RecordBatch.from_arrays([
+                one_array(block.column("doc_id")).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(nth, pa.int64()),
+                *([pa.array(kept, pa.binary())] if keep_ids else []),
+            ], names=schema.names)
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(cut, schema)
 
 
 def fitted_patterns(counts: np.ndarray, steps: int = NNLS_STEPS) -> tuple[np.ndarray, np.ndarray]:
@@ -287,39 +335,27 @@ def slots(made: list[tuple[tuple[int, ...], int]], capacity: int) -> tuple[np.nd
     return tuple(np.asarray(x, dtype=np.int64)[order] for x in (keys, first, sequences, offsets))
 
 
-def pack(pieces: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (with doc_id, piece and length, stored so that a rerun reads the same) and the
-    sequence_id and offset of each.
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` (of ``token_pieces``, stored so that a rerun reads the same) with the sequence_id and offset of each.
 
-    The driver holds the histogram, the plan and one count per (partition, length) that occurs, at
-    most partitions plus lengths, since the range sort keeps a length together; rows of one length are
-    spread over as many partitions as they need. Equal rows take any of their places."""
+    The driver holds the histogram and the plan, whose size depends on the capacity only. A piece's number among all of its
+    length is its place in its part and the pieces of that length in the parts before: one small row per length and part, summed
+    along the parts of a length and joined back. Equal rows take any of their places."""
     spark = pieces.sparkSession
+    runs = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for n, count in pieces.groupBy("length").count().collect():
+    for n, count in runs.groupBy("length").agg(F.sum("n")).collect():
         counts[n] = count
     place = spark.sparkContext.broadcast(slots(plan(counts), capacity))
-    numbered = written(
-        pieces.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
-        .withColumn("_at", F.monotonically_increasing_id()), folder, "numbered")
-    runs = numbered.groupBy((F.col("_at").bitwiseAND(F.lit(~((1 << 33) - 1)))).alias("part"), "length").agg(F.min("_at").alias("at"), F.count("*").alias("n"))
-    shifts: dict[tuple[int, int], int] = {}
-    seen = np.zeros(capacity + 1, dtype=np.int64)
-    for part, n, at, count in sorted(map(tuple, runs.collect())):
-        shifts[part >> 33, n] = int(seen[n]) - at
-        seen[n] += count
-    shift = spark.sparkContext.broadcast(shifts)
-    kept = [c for c in numbered.columns if c != "_at"]
-    schema = T.StructType([numbered.schema[c] for c in kept] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    before = runs.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    kept = [c for c in pieces.columns if c not in ("part", "nth")]
+    numbered = pieces.join(before, ["length", "part"]).select(*kept, (F.col("before") + F.col("nth")).alias("number"))
+    schema = T.StructType([pieces.schema[c] for c in kept] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first, sequences, offsets = place.value
         for batch in batches:
-            at, length = batch.column("_at").to_numpy(), batch.column("length").to_numpy()
-            # Rows of one partition and length share a shift.
-            groups, inverse = np.unique((at >> 33) * (capacity + 1) + length, return_inverse=True)
-            moves = np.asarray([shift.value[divmod(int(g), capacity + 1)] for g in groups], dtype=np.int64)
-            number = at + moves[inverse] if len(groups) else at
+            number, length = batch.column("number").to_numpy(), batch.column("length").to_numpy()
             found = np.searchsorted(keys, (length << 40) + number, side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(sequences[found] + number - first[found]), pa.array(offsets[found])],
@@ -334,7 +370,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
 
     Null texts count as empty, repeated rows are packed each, an empty table gives no row."""
     folder = shared_folder(docs.sparkSession)
-    return pack(written(token_pieces(docs, tokenizer, capacity, end_id, keep_ids), folder, "pieces"), folder, capacity)
+    return pack(written(token_pieces(docs, tokenizer, capacity, end_id, keep_ids), folder, "pieces"), capacity)
 
 
 @query("op6_pattern_packing")
