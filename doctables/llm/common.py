@@ -47,5 +47,13 @@ def worker_store(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with signs behind it until none of ``columns`` is called so, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import crc_of_id, table, worker_store
+from .common import crc_of_id, fresh, table, worker_store
 from .registry import query
 
 UNKNOWN = "und"
@@ -121,17 +121,18 @@ def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", margi
     kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("lang_rejected", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    whole = fresh("_text", kept)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = dictionaries(shared.value, level)
         for batch in batches:
-            found = [judge(x.as_py(), compressors, margin) for x in batch.column("_text")]
+            found = [judge(x.as_py(), compressors, margin) for x in batch.column(whole)]
             yield pa.RecordBatch.from_arrays([
                 *batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
                 pa.array([x[2] for x in found], pa.bool_()),
             ], names=schema.names)
 
-    return docs.select(*kept, F.col(text).cast("string").alias("_text")).mapInArrow(work, schema)
+    return docs.select(*kept, F.col(text).cast("string").alias(whole)).mapInArrow(work, schema)
 
 
 @query("op10_compression_language")

@@ -143,20 +143,21 @@ def draw(units: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
 
     ``unit`` orders the units of a source at random but always alike. Equal units are interchangeable."""
     spark = units.sparkSession
-    schema = "source_no long, unit long, doc_id {}, copy long, size long, p double".format(units.schema["doc_id"].dataType.simpleString())
+    columns = ["source_no", "unit", "doc_id", "content", "copy", "size", "p"]
+    schema = "source_no long, unit long, doc_id {}, content long, copy long, size long, p double".format(units.schema["doc_id"].dataType.simpleString())
 
     def flight(last: bool):
         def work(rows: pa.Table) -> pa.Table:
-            rows = rows.sort_by([("unit", "ascending"), ("doc_id", "ascending"), ("copy", "ascending"), ("size", "ascending")])
+            rows = rows.sort_by([(c, "ascending") for c in ("unit", "doc_id", "content", "copy", "size")])
             size = rows.column("size").to_numpy().astype(np.float64)
             start = rows.column("p").to_numpy()
             p = fly(start, size)
             if last:
                 p = land(p, size, start)
-            return rows.set_column(rows.column_names.index("p"), "p", pa.array(p)).select(["source_no", "unit", "doc_id", "copy", "size", "p"])
+            return rows.set_column(rows.column_names.index("p"), "p", pa.array(p)).select(columns)
         return work
 
-    level, done, units = 0, [], units.select("source_no", "unit", "doc_id", "copy", "size", "p")
+    level, done, units = 0, [], units.select(columns)
     while True:
         counts = units.groupBy("source_no").agg(F.ceil(F.count("*") / block).alias("blocks"))
         most = counts.agg(F.max("blocks")).first()[0] or 1
@@ -175,35 +176,47 @@ def draw(units: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
     return out.withColumn("extra", F.round("p").cast("long"))
 
 
+def content_of(text: Column, source: Column) -> Column:
+    """A hash of text and source, with null and empty told apart."""
+    return F.xxhash64(text.isNull(), F.coalesce(text, F.lit("")), source.isNull(), F.coalesce(source, F.lit("")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK,
         text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, copy, source, size, source_size, target, times, taken for every row of ``docs``.
+    """doc_id, content, copy, source, size, source_size, target, times, taken for every row of ``docs``.
 
     ``size`` counts words, ``times`` how often the mix takes the document (at most ``most``), taken =
-    times * size. The draw depends on ids and sizes only, so reruns agree; ``copy`` tells rows that share an
-    id (any order, by size). Null texts and texts without a word have size 0, a null source is a source of its
-    own, an empty table gives no row."""
+    times * size. The draw depends on ids, texts and sizes only, so reruns agree. ``content`` (a hash of text and source) and
+    ``copy`` (1, 2, ...) tell rows that share an id or have none: equal rows are counted, then numbered. Null texts and texts
+    without a word have size 0, a null source is a source of its own, an empty table gives no row."""
     folder = shared_folder(docs.sparkSession)
-    measured = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    sizes = written(measured.withColumn("copy", F.row_number().over(W.partitionBy("doc_id").orderBy("source", "size")).cast("long")), folder, "sizes")
+    measured = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
+        content_of(F.col(text), F.col(source).cast("string")).alias("content"))
+    counted = measured.groupBy("doc_id", "content", "source", "size").agg(F.count("*").alias("rows"))
+    sizes = written(counted.select("doc_id", "content", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")), folder, "sizes")
     targets = source_targets(sizes, folder, weights, share, most)
     targets = written(
         targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), folder, "targets")
     rated = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     whole = F.floor(F.col("rate") + 1e-12)
-    drawn = draw(rated.select("source_no", F.xxhash64("doc_id", "copy").alias("unit"), "doc_id", "copy", "size", (F.col("rate") - whole).alias("p")), folder, block)
+    unit = F.when(F.col("doc_id").isNull(), F.xxhash64("content", "copy")).otherwise(F.xxhash64("doc_id", "copy"))
+    drawn = draw(rated.select("source_no", unit.alias("unit"), "doc_id", "content", "copy", "size", (F.col("rate") - whole).alias("p")), folder, block)
     times = F.floor(F.col("rate") + 1e-12) + F.col("extra")
     return drawn.join(targets, "source_no").select(
-        "doc_id", "copy", "source", "size", "source_size", "target", times.cast("long").alias("times"), (times * F.col("size")).cast("long").alias("taken"))
+        "doc_id", "content", "copy", "source", "size", "source_size", "target", times.cast("long").alias("times"), (times * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: each as often as its ``times`` says."""
-    taken = mix(docs, weights, share, most).where("times > 0").select("doc_id", "copy", "times")
-    order = W.partitionBy("doc_id").orderBy(F.col("source").cast("string"), word_count(F.col("text")))
-    numbered = docs.withColumn("_copy", F.row_number().over(order).cast("long"))
-    found = numbered.join(taken, numbered["doc_id"].eqNullSafe(taken["doc_id"]) & (numbered["_copy"] == taken["copy"]))
-    return found.select(*[numbered[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("_time")).drop("_time")
+    """The rows of ``docs`` as the mix takes them: each as often as its ``times`` says, with all columns, whatever their names.
+
+    Rows are numbered among those with the same id, text and source only."""
+    taken = mix(docs, weights, share, most).where("times > 0").select(F.struct("doc_id", "content", "copy").alias("unit"), "times")
+    content = content_of(F.col("text"), F.col("source").cast("string"))
+    held = docs.select(F.struct(*docs.columns).alias("held"), F.col("doc_id").alias("id"), content.alias("content"))
+    held = held.withColumn("copy", F.row_number().over(W.partitionBy("id", "content").orderBy("content")).cast("long"))
+    held = held.select("held", F.struct(F.col("id").alias("doc_id"), "content", "copy").alias("unit"))
+    return held.join(taken, "unit").select("held", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("held.*")
 
 
 @query("op4_cube_mixing")

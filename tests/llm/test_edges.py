@@ -376,3 +376,28 @@ def test_pipeline_stages_take_odd_rows(spark, docs, empty):
         assert stage(spark, empty, "").count() == 0
     kept = corpus_pipeline.near_dedup(spark, docs, "").toPandas()
     assert sorted(kept.doc_id.dropna()) == [1, 3, 4, 5, 6, 7, 9, 10]
+    assert sorted(kept[kept.doc_id.isna()].text) == ["  two   words \n\n\n here "]
+
+
+def test_pipeline_stages_take_any_names(spark, docs):
+    import corpus_pipeline
+
+    names = ["times", "copy", "_copy", "_text", "_row", "held", "unit", "content", "key", "nth", "hash", "kept_key", "_h", "label"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, "")
+        assert got.columns == wide.columns, name
+        assert all(row[n] == f"{n}{'' if row.doc_id is None else row.doc_id}" for row in got.collect() for n in names), name
+    assert corpus_pipeline.best_fit_packing(spark, wide, "").count() > 0
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{a}{i}" for i in range(60)) for a in "abcdef"]
+    rows = [(k // 2 if k < 4 else None, text, "en", "s", 0) for k, text in enumerate(texts)] + [(None, texts[4], "en", "s", 0), (9, texts[5], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r.text for r in got) == sorted(texts) and {r.doc_id for r in got if r.text == texts[5]} == {9}
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").groupBy("text").count().collect()
+    assert len(mixed) == 6 and sum(r["count"] for r in mixed) == 12
