@@ -33,13 +33,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by 5-word shingles at 0.8 or more.
-
-    Rows that share an id count as one document; those without an id as one per text."""
-    keepers = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("_same"))
-    one = marked.withColumn("_n", F.row_number().over(W.partitionBy("_doc", "_same").orderBy(F.xxhash64(F.col("_row.text"))))).where("_n = 1")
-    return one.join(keepers, F.col("_doc") == F.col("_id"), "left").where("_doc is null or _id is not null").select("_row.*")
+    """One document, that with the smallest id (null last), of each group linked by 5-word shingles at 0.8 or more.
+
+    A document is an id with a text: rows that share an id with other texts are documents of their own, rows
+    equal in both are one. The window keeps one row per document before it deals them out."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").isNull(), F.coalesce("text", F.lit(""))).alias("hash"))
+    found = minhash.near_duplicates(docs.select(key.alias("key"), F.col("text").alias("body")), shingle=5, percent=80, text="body", doc_id="key")
+    keepers = found.where("kept").select(F.col("doc_id").alias("kept_key")).distinct()
+    held = docs.select(F.struct(*docs.columns).alias("held"), key.alias("key"))
+    one = held.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("held.source")))).where("nth = 1")
+    return one.join(keepers, F.col("key") == F.col("kept_key"), "left_semi").select("held.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
