@@ -27,31 +27,31 @@ def pages(spark, *names):
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     cat = c.Catalog(spark, str(tmp_path_factory.mktemp("cat")), buckets=4)
-    ingest(extract_pages(pages(spark, "game", "copy")), cat, stamp(), "run")
+    ingest(extract_pages(pages(spark, "guide", "copy")), cat, stamp(), "run")
     return cat
 
 
 def test_sample_questions(stored):
     rows = stored.table_data()
-    assert jsonrows.rows_where_text(rows, "Player Name", "Alex").count() == 2
-    assert jsonrows.rows_where_number(rows, "Level", low=20).count() == 4
-    assert jsonrows.rows_where_equal(rows, "Health", 20).count() == 2
-    low = jsonrows.rows_where_number(rows.filter("table_id = 'game_table_1'"), "Level", high=18)
-    assert [r["Player Name"] for r in jsonrows.project_fields(low, ["Player Name"]).collect()] == ["Alex"]
-    assert jsonrows.average_where(rows, "Value", "Type", "Tool").first()[0] == 250.0
+    assert jsonrows.rows_where_text(rows, "Light", "Tern Rock").count() == 2
+    assert jsonrows.rows_where_number(rows, "Steps", low=100).count() == 4
+    assert jsonrows.rows_where_equal(rows, "Year", 1902).count() == 4
+    low = jsonrows.rows_where_number(rows.filter("table_id = 'guide_table_1'"), "Steps", high=58)
+    assert [r["Range km"] for r in jsonrows.project_fields(low, ["Range km"]).collect()] == ["12.5"]
+    assert jsonrows.average_where(rows, "Fare", "Route", "Inner bay").first()[0] == 825.0
 
 
 def test_sql_as_written_for_a_json_store(stored):
     def ask(text, **parameters):
         return sorted(tuple(r) for r in stored.sql(text, parameters).collect())
 
-    assert ask("SELECT count(*) FROM table_data WHERE table_id = 'game_table_1';") == [(3,)]
+    assert ask("SELECT count(*) FROM table_data WHERE table_id = 'guide_table_1';") == [(4,)]
     assert ask(
-        """SELECT json_extract(row_data, '$."Player Name"') FROM table_data
-           WHERE table_id = :id AND cast_integer(json_extract(row_data, '$."Level"')) <= 18""", id="game_table_1"
-    ) == [("Alex",)]
-    assert ask("SELECT AVG(cast_real(json_extract(row_data, '$.Value'))) FROM table_data WHERE json_extract(row_data, '$.Type') = 'Tool'") == [(250.0,)]
-    assert ask("SELECT table_id FROM tables WHERE source_file LIKE '%game%' AND rows > 3 ORDER BY rows LIMIT 5;") == [("game_table_2",)]
+        """SELECT json_extract(row_data, '$."Range km"') FROM table_data
+           WHERE table_id = :id AND cast_integer(json_extract(row_data, '$."Steps"')) <= 58""", id="guide_table_1"
+    ) == [("12.5",)]
+    assert ask("SELECT AVG(cast_real(json_extract(row_data, '$.Fare'))) FROM table_data WHERE json_extract(row_data, '$.Route') = 'Inner bay'") == [(825.0,)]
+    assert ask("SELECT table_id FROM tables WHERE source_file LIKE '%guide%' AND rows > 3 ORDER BY rows LIMIT 5;") == [("guide_table_1",)]
     assert ask("WITH s AS (SELECT * FROM processing_sessions) SELECT sum(total_tables) FROM s") == [(4,)]
     for text in ("DELETE FROM tables", "drop table tables", "", "WITH a AS (SELECT 1 x) INSERT OVERWRITE DIRECTORY '/tmp/none' USING csv SELECT * FROM a"):
         with pytest.raises(ValueError):
@@ -60,25 +60,25 @@ def test_sql_as_written_for_a_json_store(stored):
 
 def test_search(stored):
     t = stored.tables()
-    assert c.search(t, "GAME").count() == 2
-    assert c.search(t, "game_table_", ["table_id"], literal=True).count() == 2
-    assert c.search(t, "g_me").count() == 2 and c.search(t, "g_me", literal=True).count() == 0
-    assert c.search(t, "game", []).count() == 0 and c.search(t, "game", ["rows"]).count() == 0
+    assert c.search(t, "GUIDE").count() == 2
+    assert c.search(t, "guide_table_", ["table_id"], literal=True).count() == 2
+    assert c.search(t, "g_ide").count() == 2 and c.search(t, "g_ide", literal=True).count() == 0
+    assert c.search(t, "guide", []).count() == 0 and c.search(t, "guide", ["rows"]).count() == 0
 
 
 def test_rows_and_typed_table(stored):
-    assert [r["_row_index"] for r in c.table_rows(stored.rows_of("game_table_2"), "game_table_2", 2, 1).collect()] == [1, 2]
-    assert c.table_rows(stored.table_data(), "game_table_2", offset=3).count() == 1
+    assert [r["_row_index"] for r in c.table_rows(stored.rows_of("guide_table_2"), "guide_table_2", 2, 1).collect()] == [1, 2]
+    assert c.table_rows(stored.table_data(), "guide_table_2", offset=2).count() == 1
     bad = stored.table_data().limit(1).withColumn("row_data", F.lit("{broken"))
     assert c.table_rows(bad, bad.first()["table_id"]).count() == 0
-    typed = stored.typed_table("game_table_1")
-    assert dict(typed.dtypes)["Experience"] == "bigint"
-    assert [r["Experience"] for r in typed.orderBy("row_index").collect()] == [15420, 8750, 999999]
+    typed = stored.typed_table("guide_table_1")
+    assert dict(typed.dtypes)["Visitors"] == "bigint"
+    assert [r["Visitors"] for r in typed.orderBy("row_index").collect()] == [48310, 7045, 120900, 960]
     assert stored.typed_table("unknown").count() == 0
 
 
 def test_reads_prune_to_one_bucket(stored):
-    plan = stored.rows_of("game_table_1")._jdf.queryExecution().executedPlan().toString()
+    plan = stored.rows_of("guide_table_1")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = ", plan) and "Join" not in plan
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(doc_id,", plan)
 
@@ -91,7 +91,7 @@ def test_versions(spark, tmp_path):
     assert (first, second) == (0, 1)
     counts = {r["table_id"]: r["n"] for r in cat.table_data().groupBy("table_id").agg(F.count("*").alias("n")).collect()}
     # the new version of the document has one table with one row, and replaces both old ones
-    assert counts == {"a_table_1": 1, "b_table_1": 3, "b_table_2": 4}
+    assert counts == {"a_table_1": 1, "b_table_1": 4, "b_table_2": 3}
     assert cat.rows_of("a_table_1").count() == 1
     # the same batch again changes nothing
     ingest(extract_pages(again), cat, stamp(), "2", ingest_seq=1)
@@ -159,23 +159,23 @@ def test_backup_and_clear(spark, stored, tmp_path):
 def test_other_formats(spark, tmp_path, fmt):
     cat = c.Catalog(spark, str(tmp_path), format=fmt, buckets=2)
     ingest(extract_pages(pages(spark, "x")), cat, stamp(), "1")
-    assert cat.table_data().count() == 7 and cat.tables().first()["column_types"]["Level"] == "integer"
+    assert cat.table_data().count() == 7 and cat.tables().first()["column_types"]["Steps"] == "integer"
 
 
 def test_describe_keeps_going(spark):
     def generate(prompts):
-        if any("Item Name" in p for p in prompts) and len(prompts) == 1:
+        if any("Ferry" in p for p in prompts) and len(prompts) == 1:
             raise RuntimeError("no reply")
         if len(prompts) > 1:
             raise RuntimeError("one by one, please")
-        return [" Players. "]
+        return [" Lights. "]
 
     records = schema_records(profiled_tables(extract_pages(pages(spark, "g"))).coalesce(1))
-    done = describe.describe_with(describe.description_prompts(records, "game"), generate)
+    done = describe.describe_with(describe.description_prompts(records, "harbour"), generate)
     got = {r["ordinal"]: (r["description"], r["status"]) for r in describe.fill_failed_descriptions(done).collect()}
     assert got == {
-        1: ("Players.", "success"),
-        2: ("Table 2: A table with 4 rows and 5 columns. Failed to generate detailed description.", "error"),
+        1: ("Lights.", "success"),
+        2: ("Table 2: A table with 3 rows and 4 columns. Failed to generate detailed description.", "error"),
     }
 
 

@@ -41,7 +41,7 @@ BOOK = workbook(
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("docs")
-    (root / "game.html").write_text(SAMPLE_PAGE)
+    (root / "guide.html").write_text(SAMPLE_PAGE)
     (root / "UPPER.HTM").write_text("<p>no tables</p>")
     (root / "book.xlsx").write_bytes(BOOK)
     (root / "broken.xlsx").write_bytes(b"not a zip")
@@ -61,7 +61,7 @@ def stems(df):
 
 
 def test_scan(spark, folder):
-    assert stems(documents(spark, folder)) == ["UPPER.HTM", "book.xlsx", "broken.xlsx", "game.html", "old.xls"]
+    assert stems(documents(spark, folder)) == ["UPPER.HTM", "book.xlsx", "broken.xlsx", "guide.html", "old.xls"]
     assert "deep.html" in stems(documents(spark, folder, recursive=True))
     with pytest.raises(FileNotFoundError):
         scan_directory(spark, folder + "/missing")
@@ -74,21 +74,21 @@ def test_extraction_never_fails(spark, folder):
     out = {r["source_file"].rsplit("/", 1)[1]: r for r in outcomes(done).collect()}
     assert {k: (r["tables_found"], r["ok"]) for k, r in out.items()} == {
         "UPPER.HTM": (0, True), "book.xlsx": (2, True), "broken.xlsx": (0, False),
-        "game.html": (2, True), "old.xls": (0, False),
+        "guide.html": (2, True), "old.xls": (0, False),
     }
     assert "not a zip file" in out["broken.xlsx"]["error"]
     ids = {r["table_id"] for r in tables(done).collect()}
-    assert ids == {"game_table_1", "game_table_2", "book_Stock", "book_Other"}
+    assert ids == {"guide_table_1", "guide_table_2", "book_Stock", "book_Other"}
     assert cap_tables(done, 1).filter("ordinal > 0").count() == 2
 
 
 def test_sample_page_schema(spark, folder):
-    game = tables(extract_files(documents(spark, folder))).filter(F.col("table_id").startswith("game"))
-    done = profile_grids(name_columns(normalize_missing(game))).orderBy("ordinal").collect()
-    assert done[0]["labels"] == ["string", "integer", "integer", "integer", "string"]
-    assert done[1]["labels"] == ["string", "integer", "string", "string", "integer"]
-    assert done[0]["body"][0] == ["Steve", "25", "15420", "20", "Active"]
-    assert (done[0]["n_rows"], done[1]["n_cols"]) == (3, 5)
+    guide = tables(extract_files(documents(spark, folder))).filter(F.col("table_id").startswith("guide"))
+    done = profile_grids(name_columns(normalize_missing(guide))).orderBy("ordinal").collect()
+    assert done[0]["labels"] == ["string", "integer", "integer", "integer", "float", "boolean"]
+    assert done[1]["labels"] == ["string", "integer", "string", "integer"]
+    assert done[0]["body"][0] == ["Grey Point", "1874", "212", "48310", "31.5", "yes"]
+    assert (done[0]["n_rows"], done[1]["n_cols"]) == (4, 4)
 
 
 def test_workbook(spark, folder):
