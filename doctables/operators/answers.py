@@ -1,7 +1,8 @@
 """Question batches: the text a model is asked with, and the reading of its replies.
 
 The catalog has no bound, so its context is a set of ordered parts, stored once for all
-questions instead of once per question; only the five newest tables go into a prompt as text.
+questions instead of once per question; only the newest tables, five unless told otherwise, go into
+a prompt as text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from ..functions.text import strip
 EMPTY_CONTEXT = "No tables available in the database."
 CONTEXT_HEADER = "Available tables in the database:"
 CONTEXT_TABLES = 5
+QUOTED_CHARACTERS = 200
 
 # Words that decide a reply which is not JSON.
 POSITIVE_KEYWORDS = ["yes", "true", "fulfillable", "can be", "possible"]
@@ -90,24 +92,27 @@ def analysis_prompt_parts(questions: DataFrame, tables: DataFrame) -> DataFrame:
     return opening.unionByName(context).unionByName(asked)
 
 
-def newest_tables_text(tables: DataFrame) -> DataFrame:
-    """One row: the five newest tables with typed columns, for a prompt."""
-    newest = tables.orderBy(F.desc("created_at"), "table_id").limit(CONTEXT_TABLES)
+def _typed_block() -> Column:
     columns = F.transform(
         "column_names",
         lambda c: F.concat(
             c, F.lit(" ("), F.coalesce(F.element_at("column_types", c), F.lit("string")), F.lit(")")
         ),
     )
-    block = F.concat(
+    return F.concat(
         F.lit("- table_id: '"), F.col("table_id"), F.lit("'\n  source_file: '"),
         F.col("source_file"), F.lit("'\n  rows: "), F.col("rows").cast("string"),
         F.lit(", columns: "), F.col("columns").cast("string"),
         F.lit("\n  columns: "), F.array_join(columns, ", "),
     )
+
+
+def newest_tables_text(tables: DataFrame, most: int = CONTEXT_TABLES) -> DataFrame:
+    """One row: the ``most`` newest tables with typed columns, for a prompt."""
+    newest = tables.orderBy(F.desc("created_at"), "table_id").limit(most)
     ranked = newest.select(
         F.struct(
-            (-F.unix_micros("created_at")).alias("age"), F.col("table_id"), block.alias("text")
+            (-F.unix_micros("created_at")).alias("age"), F.col("table_id"), _typed_block().alias("text")
         ).alias("t")
     )
     texts = F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"])
@@ -118,21 +123,49 @@ def newest_tables_text(tables: DataFrame) -> DataFrame:
     )
 
 
-def sql_prompts(questions: DataFrame, tables: DataFrame, attempt: int = 1) -> DataFrame:
-    """A prompt per question that asks for one SQL query; later attempts carry guidance."""
+def _asked_for_sql(attempt: int) -> Column:
     retry = (
         f"Attempt {attempt}: the earlier queries failed. Check table and column names, quoting "
         "and letter case.\n"
         if attempt > 1
         else ""
     )
+    return F.concat(
+        F.lit('User Question: "'), F.col("question"),
+        F.lit(f'"\n{retry}Read fields of row_data as JSON, cast numbers, and return only the query.'),
+    )
+
+
+def sql_prompts(questions: DataFrame, tables: DataFrame, attempt: int = 1,
+                most_tables: int | None = CONTEXT_TABLES) -> DataFrame:
+    """A prompt per question that asks for one SQL query; later attempts carry guidance.
+
+    ``most_tables`` of the newest tables are in it as text. None is for all tables: as there can be any number
+    of them, the result is then in parts ``(question_id, part, table_id, text)`` as that of
+    ``analysis_prompt_parts``: an opening, a context part per table (both for all questions), a question."""
+    if most_tables is None:
+        none, nothing = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+        opening = tables.limit(1).agg(F.count(F.lit(1)).alias("_n")).select(
+            none.alias("question_id"), F.lit("opening").alias("part"), nothing.alias("table_id"),
+            F.concat(
+                F.lit("Write one SQL query that answers the question.\n\n"),
+                F.when(F.col("_n") == 0, "No tables available.").otherwise(STORED_SCHEMA_TEXT + "\n\nTables:"),
+            ).alias("text"),
+        )
+        context = tables.select(
+            none.alias("question_id"), F.lit("context").alias("part"), "table_id", _typed_block().alias("text")
+        )
+        asked = questions.select(
+            F.col("question_id").cast("bigint").alias("question_id"), F.lit("question").alias("part"),
+            nothing.alias("table_id"), _asked_for_sql(attempt).alias("text"),
+        )
+        return opening.unionByName(context).unionByName(asked)
     return questions.select(
         "question_id",
         F.concat(
             F.lit("Write one SQL query that answers the question.\n\n"),
-            newest_tables_text(tables).scalar(),
-            F.lit('\n\nUser Question: "'), F.col("question"),
-            F.lit(f'"\n{retry}Read fields of row_data as JSON, cast numbers, and return only the query.'),
+            newest_tables_text(tables, most_tables).scalar(),
+            F.lit("\n\n"), _asked_for_sql(attempt),
         ).alias("prompt"),
     )
 
@@ -156,23 +189,31 @@ def _keyword_reading(reply: Column) -> tuple[Column, Column]:
     return positive > negative, F.when(positive + negative > 0, 0.3).otherwise(0.1)
 
 
-def keyword_analysis(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """Verdict by keywords contained in the reply (as substrings)."""
+def _fallback_reason(reply: Column, quoted: int | None) -> Column:
+    return F.concat(
+        F.lit("Fallback analysis based on response keywords. Raw response: "),
+        reply if quoted is None else F.concat(F.substring(reply, 1, quoted), F.lit("...")),
+    )
+
+
+def keyword_analysis(replies: DataFrame, reply: str = "reply",
+                     quoted: int | None = QUOTED_CHARACTERS) -> DataFrame:
+    """Verdict by keywords contained in the reply (as substrings). The reason quotes the first ``quoted``
+    characters of the reply, or with None all of it."""
     verdict, confidence = _keyword_reading(F.col(reply))
     return replies.select(
         "*",
         verdict.alias("is_fulfillable"),
         confidence.alias("confidence"),
-        F.concat(
-            F.lit("Fallback analysis based on response keywords. Raw response: "),
-            F.substring(F.col(reply), 1, 200), F.lit("..."),
-        ).alias("reasoning"),
+        _fallback_reason(F.col(reply), quoted).alias("reasoning"),
         F.lit("Please try rephrasing your query for better analysis.").alias("suggested_approach"),
     )
 
 
-def parse_analysis(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """Feasibility replies as columns: JSON (fenced or not) with defaults, else by keywords."""
+def parse_analysis(replies: DataFrame, reply: str = "reply",
+                   quoted: int | None = QUOTED_CHARACTERS) -> DataFrame:
+    """Feasibility replies as columns: JSON (fenced or not) with defaults, else by keywords, with ``quoted``
+    characters of the reply (None: all) as the reason."""
     body = _unfence(F.col(reply), r"\A```json")
     staged = replies.withColumn("_body", body).withColumn(
         "_json", F.from_json("_body", REPLY_SCHEMA)
@@ -186,12 +227,7 @@ def parse_analysis(replies: DataFrame, reply: str = "reply") -> DataFrame:
         F.when(F.col("_ok"), F.coalesce(j["is_fulfillable"], F.lit(False))).otherwise(verdict).alias("is_fulfillable"),
         F.when(F.col("_ok"), F.coalesce(j["confidence"].try_cast("double"), F.lit(0.0))).otherwise(confidence).alias("confidence"),
         F.when(F.col("_ok"), F.coalesce(j["reasoning"], F.lit("No reasoning provided")))
-        .otherwise(
-            F.concat(
-                F.lit("Fallback analysis based on response keywords. Raw response: "),
-                F.substring("_body", 1, 200), F.lit("..."),
-            )
-        ).alias("reasoning"),
+        .otherwise(_fallback_reason(F.col("_body"), quoted)).alias("reasoning"),
         F.when(F.col("_ok"), F.coalesce(j["suggested_approach"], F.lit("No suggestions provided")))
         .otherwise(F.lit("Please try rephrasing your query for better analysis."))
         .alias("suggested_approach"),

@@ -19,15 +19,17 @@ def _shape(before: str, middle: str, after: str) -> Column:
     )
 
 
-def description_prompts(records: DataFrame, context_hint: str | None = None) -> DataFrame:
-    """A prompt per schema record: id, dimensions, names, types and up to three sample rows."""
+def description_prompts(records: DataFrame, context_hint: str | None = None,
+                        sample_rows: int | None = PROMPT_SAMPLE_ROWS) -> DataFrame:
+    """A prompt per schema record: id, dimensions, names, types and up to ``sample_rows`` of the rows
+    that the record holds as a sample (None: all of these, see ``schema_records``)."""
     hint = f" It was found in a {context_hint} document." if context_hint else ""
     types = F.transform(
         F.arrays_zip("columns", "labels"),
         lambda s: F.concat(F.lit("- "), s["columns"], F.lit(": "), s["labels"], F.lit("\n")),
     )
     samples = F.transform(
-        F.slice("sample", 1, PROMPT_SAMPLE_ROWS),
+        F.col("sample") if sample_rows is None else F.slice("sample", 1, sample_rows),
         lambda row, i: F.concat(F.lit("Row "), (i + 1).cast("string"), F.lit(": "), row, F.lit("\n")),
     )
     text = F.concat(
@@ -99,21 +101,22 @@ def describe_with(prompts: DataFrame, generate: Callable[[list[str]], list[str]]
     )
 
 
-def template_text() -> Column:
-    """A description without a generator: shape and the first five column names."""
+def template_text(most_columns: int | None = TEMPLATE_COLUMNS) -> Column:
+    """A description without a generator: shape and the first ``most_columns`` column names (None: all)."""
     columns = F.coalesce("columns", F.array().cast("array<string>"))
     return F.concat(
         F.lit("Table with "), F.coalesce("n_rows", F.lit(0)).cast("string"), F.lit(" rows and "),
         F.size(columns).cast("string"), F.lit(" columns. Columns: "),
-        F.array_join(F.slice(columns, 1, TEMPLATE_COLUMNS), ", "),
-        F.when(F.size(columns) > TEMPLATE_COLUMNS, "...").otherwise(""), F.lit("."),
+        F.array_join(columns if most_columns is None else F.slice(columns, 1, most_columns), ", "),
+        F.lit("") if most_columns is None else F.when(F.size(columns) > most_columns, "...").otherwise(""),
+        F.lit("."),
     )
 
 
-def template_descriptions(records: DataFrame) -> DataFrame:
+def template_descriptions(records: DataFrame, most_columns: int | None = TEMPLATE_COLUMNS) -> DataFrame:
     return records.select(
         "doc_id", "source_file", "ordinal", "table_id",
-        template_text().alias("description"), F.lit("success").alias("status"),
+        template_text(most_columns).alias("description"), F.lit("success").alias("status"),
     )
 
 

@@ -93,24 +93,21 @@ def _cell_text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("None"))
 
 
-def text_lines(result: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+def text_lines(result: DataFrame, order_by: list[str] | None = None,
+               max_width: int | None = MAX_TEXT_WIDTH) -> DataFrame:
     """Lines of the text form as ``(line_no, line)``: header, rule, padded rows, a rule after
-    every ten rows. Column widths come from one aggregation and enter as constants."""
-    return _lines(number_rows(flat(result), order_by), result.columns)
-
-
-def _lines(numbered: DataFrame, columns: list[str]) -> DataFrame:
-    widths = numbered.agg(
-        F.struct(
-            *[
-                F.least(
-                    F.lit(MAX_TEXT_WIDTH),
-                    F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(_cell_text(c))), F.lit(0))),
-                ).alias(c)
-                for c in columns
-            ]
-        ).alias("w")
-    )
+    every ten rows. Cells over ``max_width`` characters are cut; None cuts none. Column widths come
+    from one aggregation and enter as constants. Numbering writes the result once to the
+    checkpoint folder."""
+    return _lines(number_rows(flat(result), order_by), result.columns, max_width)
+
+
+def _lines(numbered: DataFrame, columns: list[str], max_width: int | None) -> DataFrame:
+    def width(c: str) -> Column:
+        longest = F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(_cell_text(c))), F.lit(0)))
+        return longest if max_width is None else F.least(F.lit(max_width), longest)
+
+    widths = numbered.agg(F.struct(*[width(c).alias(c) for c in columns]).alias("w"))
     w = widths.scalar()
     row = F.concat_ws(" | ", *[F.rpad(_cell_text(c), w[c], F.lit(" ")) for c in columns])
     header = F.concat_ws(" | ", *[F.rpad(F.lit(c), F.col("w")[c], F.lit(" ")) for c in columns])
@@ -136,9 +133,10 @@ def _lines(numbered: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def export_txt(result: DataFrame, path: str, query: str | None = None,
-               exported_at: str | None = None, order_by: list[str] | None = None) -> str:
+               exported_at: str | None = None, order_by: list[str] | None = None,
+               max_width: int | None = MAX_TEXT_WIDTH) -> str:
     """Fixed-width text, in part files that follow each other in line order; rows keep the order of the
-    result unless ``order_by`` gives another."""
+    result unless ``order_by`` gives another. ``max_width`` as in ``text_lines``."""
     numbered = number_rows(flat(result), order_by)  # the result is computed once
     n = numbered.count()
     rule = "=" * 60
@@ -150,7 +148,7 @@ def export_txt(result: DataFrame, path: str, query: str | None = None,
     top = spark.range(1).select(
         F.posexplode(F.array(*[F.lit(x) for x in banner])).alias("line_no", "line")
     ).select((F.col("line_no") - len(banner)).cast("bigint").alias("line_no"), "line")
-    lines = top.unionByName(_lines(numbered, result.columns))
+    lines = top.unionByName(_lines(numbered, result.columns, max_width))
     lines.orderBy("line_no").select("line").write.mode("overwrite").text(path)
     return path
 
@@ -170,14 +168,15 @@ def export(result: DataFrame, directory: str, format: str = "csv", filename: str
 
 
 def run_and_save(catalog, sql: str | None, directory: str, format: str = "csv",
-                 filename: str | None = None) -> dict:
-    """Run SQL over the catalog and save its rows; the reason when nothing is saved."""
+                 filename: str | None = None, **options) -> dict:
+    """Run SQL over the catalog and save its rows; the reason when nothing is saved. ``options`` are
+    those of the format's writer."""
     if not sql or sql == "IMPOSSIBLE":
         return {"success": False, "error": "Query cannot be answered with available data"}
     out: dict = {"success": False, "sql_query": sql}
     try:
         result = catalog.sql(sql)
-        path = export(result, directory, format, filename, sql)
+        path = export(result, directory, format, filename, sql, **options)
     except (AnalysisException, ValueError) as error:
         return {**out, "error": f"Export failed: {error}"}
     if not path:

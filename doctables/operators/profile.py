@@ -122,8 +122,8 @@ def row_objects(body: Column, keys: Column) -> Column:
     return F.transform(body, one)
 
 
-def schema_records(profiled: DataFrame) -> DataFrame:
-    """One schema record per table, good or failed."""
+def schema_records(profiled: DataFrame, sample_rows: int | None = SAMPLE_ROWS) -> DataFrame:
+    """One schema record per table, good or failed, with its first ``sample_rows`` rows (None: all)."""
     good = F.col("ok")
     return profiled.select(
         "doc_id",
@@ -140,7 +140,7 @@ def schema_records(profiled: DataFrame) -> DataFrame:
         "storage",
         F.when(good, F.map_from_arrays("columns", "labels")).alias("dtypes"),
         F.when(good, F.map_from_arrays("columns", "storage")).alias("storage_types"),
-        F.when(good, row_objects(F.slice("body", 1, SAMPLE_ROWS), json_keys())).alias("sample"),
+        F.when(good, row_objects(F.col("body") if sample_rows is None else F.slice("body", 1, sample_rows), json_keys())).alias("sample"),
         "ok",
         "error",
     )

@@ -57,6 +57,18 @@ def sql_prompts(spark, sf):
     return a.sql_prompts(_questions(spark, sf), fx.catalog_tables(spark, sf), attempt=2)
 
 
+@query("n3_sql_prompt_parts", "WITH " + fx.CUSTOMER_SQL + """
+SELECT NULL::BIGINT AS question_id, 'opening' AS part, NULL::VARCHAR AS table_id, 'Write one SQL query that answers the question.' || chr(10) || chr(10) || '""" + a.STORED_SCHEMA_TEXT + """'
+  || chr(10) || chr(10) || 'Tables:' AS text
+UNION ALL SELECT NULL, 'context', table_id, '- table_id: ''' || table_id || '''' || chr(10) || '  source_file: ''' || source_file || '''' || chr(10)
+  || '  rows: ' || n_rows || ', columns: ' || n_cols || chr(10) || '  columns: ' || typed_columns FROM shape JOIN listed USING (table_id)
+UNION ALL SELECT s_suppkey, 'question', NULL, 'User Question: "How many rows mention ' || s_name || '?"' || chr(10)
+  || 'Read fields of row_data as JSON, cast numbers, and return only the query.' FROM supplier""")
+def sql_prompt_parts(spark, sf):
+    """With all tables of the catalog, whatever their number: each stands once, for all questions."""
+    return a.sql_prompts(_questions(spark, sf), fx.catalog_tables(spark, sf), most_tables=None)
+
+
 @query("n4_parse_analysis", """
 SELECT event_id, event_id % 4 < 2 AS from_json, event_id % 4 IN (0, 2) AS is_fulfillable,
   CASE event_id % 4 WHEN 0 THEN CAST(CAST(round(value / 1000, 3) AS DECIMAL(10, 3)) AS DOUBLE) WHEN 1 THEN 0.0 ELSE 0.3 END AS confidence,
@@ -88,6 +100,22 @@ def keyword_analysis(spark, sf):
     return done.select("conv_id", "turn", "is_fulfillable", "confidence", "reasoning")
 
 
+@query("n5_whole_replies", f"""
+WITH h AS (SELECT doc_id, {_hits(a.POSITIVE_KEYWORDS)} AS p, {_hits(a.NEGATIVE_KEYWORDS)} AS n, text FROM documents)
+SELECT doc_id, p > n AS is_fulfillable, 'Fallback analysis based on response keywords. Raw response: ' || text AS reasoning FROM h""")
+def whole_replies(spark, sf):
+    """Long texts as replies, quoted in full."""
+    done = a.keyword_analysis(fx.read(spark, sf, "documents"), "text", quoted=None)
+    return done.select("doc_id", "is_fulfillable", "reasoning")
+
+
+@query("n4_whole_replies", """
+SELECT doc_id, false AS from_json, 'Fallback analysis based on response keywords. Raw response: On ' || text || ' end' AS reasoning FROM documents""")
+def parsed_whole_replies(spark, sf):
+    replies = fx.read(spark, sf, "documents").select("doc_id", F.concat(F.lit("On "), "text", F.lit(" end")).alias("reply"))
+    return a.parse_analysis(replies, quoted=None).select("doc_id", "from_json", "reasoning")
+
+
 @query("n6_extract_sql", """
 SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'SELECT ' || event_id || ';' WHEN 1 THEN 'select * from t where x = ''' || event_type || ''';'
   WHEN 2 THEN 'WITH a AS (SELECT 1)' || chr(10) || 'SELECT * FROM a;' WHEN 3 THEN NULL ELSE 'SELECTED ' || event_type || ';' END AS sql_query

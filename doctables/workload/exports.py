@@ -70,6 +70,31 @@ def text_lines(spark, sf):
     return x.text_lines(result, ["p_partkey"])
 
 
+@query("x3_whole_cells", """
+WITH d AS (
+  SELECT p_partkey, p_name, p_type || ' ' || repeat('long ', CAST(p_partkey % 13 AS INTEGER)) AS remark,
+    row_number() OVER (ORDER BY p_partkey) AS i FROM part),
+w AS (
+  SELECT greatest(9, max(length(CAST(p_partkey AS VARCHAR)))) AS w0,
+    greatest(6, max(length(p_name))) AS w1, greatest(6, max(length(remark))) AS w2 FROM d),
+body AS (
+  SELECT i + 2 + (i - 1) // 10 AS line_no, i,
+    substr(rpad(CAST(p_partkey AS VARCHAR), CAST(w0 AS INTEGER), ' '), 1, w0) || ' | ' || substr(rpad(p_name, CAST(w1 AS INTEGER), ' '), 1, w1)
+    || ' | ' || substr(rpad(remark, CAST(w2 AS INTEGER), ' '), 1, w2) AS line
+  FROM d, w)
+SELECT line_no, line FROM body
+UNION ALL SELECT line_no + 1, repeat('-', CAST(w0 + w1 + w2 + 6 AS INTEGER)) FROM body, w WHERE i % 10 = 0
+UNION ALL SELECT 2, repeat('-', CAST(w0 + w1 + w2 + 6 AS INTEGER)) FROM w
+UNION ALL SELECT 1, rpad('p_partkey', CAST(w0 AS INTEGER), ' ') || ' | ' || rpad('p_name', CAST(w1 AS INTEGER), ' ') || ' | ' || rpad('remark', CAST(w2 AS INTEGER), ' ') FROM w""")
+def whole_cells(spark, sf):
+    """The same lines with no cell cut."""
+    result = fx.read(spark, sf, "part").select(
+        "p_partkey", "p_name",
+        F.concat("p_type", F.lit(" "), F.repeat(F.lit("long "), (F.col("p_partkey") % 13).cast("int"))).alias("remark"),
+    )
+    return x.text_lines(result, ["p_partkey"], max_width=None)
+
+
 @query("x3_given_order", """
 SELECT row_number() OVER (ORDER BY p_partkey DESC) + 2 + (row_number() OVER (ORDER BY p_partkey DESC) - 1) // 10 AS line_no, p_partkey FROM part""")
 def given_order(spark, sf):

@@ -195,6 +195,22 @@ def description_prompts(spark, sf):
     )
 
 
+@query("d1_prompts_all_rows", "WITH " + fx.CUSTOMER_SQL + _SAMPLE_SQL + """,
+samples AS (
+  SELECT table_id, string_agg('Row ' || (row_index + 1) || ': {' || fields || '}' || chr(10), '' ORDER BY row_index) AS lines
+  FROM literal GROUP BY table_id)
+SELECT doc_id, table_id,
+  'Describe in two to four sentences what this table holds and what it is for.' || chr(10) || chr(10)
+  || 'Table ID: 1' || chr(10) || 'Dimensions: ' || n_rows || ' rows × ' || n_cols || ' columns' || chr(10)
+  || 'Column Names: ' || column_names || chr(10) || 'Column Types:' || chr(10) || type_lines
+  || 'Sample Data (first few rows):' || chr(10) || lines || chr(10) || 'Description:' AS prompt
+FROM shape JOIN listed USING (table_id) JOIN samples USING (table_id)""")
+def prompts_all_rows(spark, sf):
+    """Prompts that show every row of their table."""
+    records = profile.schema_records(fx.customer_profiled(spark, sf), sample_rows=None)
+    return describe.description_prompts(records, sample_rows=None).select("doc_id", "table_id", "prompt")
+
+
 def _echo(prompts):
     """A deterministic generator: some replies are blank and one batch entry raises."""
     out = []
@@ -221,6 +237,15 @@ def template_descriptions(spark, sf):
     return describe.template_descriptions(fx.customer_records(spark, sf))
 
 
+@query("d3_template_names", "WITH " + fx.CUSTOMER_SQL + """
+SELECT table_id, 'Table with ' || n_rows || ' rows and 5 columns. Columns: c_custkey, c_name....' AS two,
+  'Table with ' || n_rows || ' rows and 5 columns. Columns: ' || column_names || '.' AS every FROM shape JOIN listed USING (table_id)""")
+def template_names(spark, sf):
+    """Template descriptions with two names, and with all."""
+    records = fx.customer_records(spark, sf)
+    return records.select("table_id", describe.template_text(2).alias("two"), describe.template_text(None).alias("every"))
+
+
 @query("d4_failed_descriptions", "WITH " + fx.CUSTOMER_SQL + """
 SELECT table_id, CASE WHEN (blk * 20) % 3 = 0 THEN 'Table 1: A table with ' || n_rows || ' rows and 5 columns. Failed to generate detailed description.'
     ELSE n_rows || ' customers from key ' || (blk * 20) END AS description
