@@ -1,25 +1,28 @@
 """Content-addressed WARC archive.
 
-An archive is two tables in a shared folder: ``payloads`` holds each different payload once, under its
+An archive is two tables in a shared folder: ``payloads`` holds each different payload once, compressed, under its
 SHA-256; ``headers`` holds for every record its exact header block and the digest of its
-payload. Reading joins the two, checks each stored payload against its digest, and gives back the original
-records byte by byte. Only digests are grouped and shuffled, never payloads of equal
-records, so that a page with very many copies costs one stored payload and one small row a copy.
+payload. Reading joins the two, checks each payload against its digest, and gives back the original
+records byte by byte. Only digests are grouped, never payloads of equal records, so that a page with very many
+copies costs one stored payload and one small row a copy; what is shuffled of a payload is its compressed form.
 
 ``write_warc`` writes an archive's records as WARC 1.1 files, ``read_warc`` reads such files."""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import shared_folder, table
+from .common import shared_folder, table, written
 from .registry import query
 
 CRLF = "\r\n"
@@ -27,6 +30,9 @@ CRLF = "\r\n"
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
+LEVEL = 3
+#: Rows compressed or restored at a time.
+ROWS = 64
 
 
 def base32_of_hex(hex40: Column) -> Column:
@@ -42,11 +48,28 @@ def record_uuid(column: Column) -> Column:
                                            for x in ([F.lit("-")] if k else []) + [F.substring(h, s, n)]], F.lit(">"))
 
 
-def numbered_pages(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+def packed_pages(pages: DataFrame, folder: str, page_id: str, url: str, html: str) -> DataFrame:
+    """page_id, url, payload_key (SHA-256), payload_bytes, payload_digest (SHA-1) and the payload compressed, stored: each page
+    is measured once."""
+    schema = T.StructType([
+        T.StructField("page_id", pages.schema[page_id].dataType), T.StructField("url", T.StringType()), T.StructField("payload_key", T.StringType()),
+        T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("payload", T.BinaryType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                data = [x.as_py() for x in rows.column("payload")]
+                yield pa.RecordBatch.from_arrays([
+                    rows.column("page_id"), rows.column("url"), pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()),
+                    pa.array([len(x) for x in data], pa.int64()), pa.array([sha1_base32(x) for x in data], pa.string()),
+                    pa.array([pack.compress(x) for x in data], pa.binary())], names=schema.names)
+
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
-    return pages.select(
-        F.col(page_id).alias("page_id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]+", "%0A").alias("url"), payload.alias("payload"),
-    ).withColumn("payload_key", F.sha2("payload", 256))
+    clean = F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]+", "%0A")
+    rows = pages.select(F.col(page_id).alias("page_id"), clean.alias("url"), payload.alias("payload"))
+    return written(rows.mapInArrow(work, schema), folder, "pages")
 
 
 def archive(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html",
@@ -57,9 +80,8 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str = "p
     the others revisit it; records with smaller payloads are all responses. Null html and null url count
     as empty. Rows that repeat a page id with the same payload are records of their own, of which one is
     the response; a null id comes before all others. An empty table makes an empty archive."""
-    records = numbered_pages(pages, page_id, url, html)
-    facts = records.select(
-        "page_id", "url", "payload_key", F.length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"))
+    records = packed_pages(pages, folder, page_id, url, html)
+    facts = records.drop("payload")
     # Equal rows of one page get numbers; the response is number 1 of the page with the largest id.
     facts = facts.withColumn("copy", F.row_number().over(W.partitionBy("page_id", "payload_key").orderBy(F.col("url").desc())))
     largest = facts.groupBy("payload_key").agg(F.max("page_id").alias("first_id"))
@@ -85,23 +107,13 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str = "p
     # One row per different payload, found by its page's id: a join of small rows against the pages.
     keepers = facts.where(is_first).select(F.col("page_id").alias("_id"), F.col("payload_key").alias("_key")).distinct()
     stored = records.select("page_id", "payload_key", "payload")
-    stored.join(keepers, stored["page_id"].eqNullSafe(keepers["_id"]) & (stored["payload_key"] == keepers["_key"]), "left_semi").select(
-        "payload_key", "payload", F.col("page_id").alias("stored_by")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
+    once = stored.join(keepers, stored["page_id"].eqNullSafe(keepers["_id"]) & (stored["payload_key"] == keepers["_key"]), "left_semi")
+    # Rows that repeat an id with its payload are alike; one is stored.
+    once = once.withColumn("_n", F.row_number().over(W.partitionBy("payload_key").orderBy("page_id"))).where("_n = 1")
+    once.select("payload_key", "payload").write.mode("overwrite").parquet(f"{folder}/payloads")
     return folder
 
 
-def payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """payload_key, payload, payload_bytes and payload_digest (both of the bytes as read) of each different payload;
-    fails where stored bytes don't have their SHA-256."""
-    found = spark.read.parquet(f"{folder}/payloads")
-    bad = F.raise_error(F.concat(F.lit("stored payload does not match its digest "), "payload_key"))
-    checked = found.withColumn("payload_key", F.when(F.sha2("payload", 256) == F.col("payload_key"), F.col("payload_key")).otherwise(bad.cast("string")))
-    # Measured before any join: a reader that doesn't want the bytes shuffles only the measures.
-    checked = checked.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": base32_of_hex(F.sha1("payload"))})
-    # Rows that repeat an id with its payload are stored alike; one is read.
-    return checked.withColumn("_n", F.row_number().over(W.partitionBy("payload_key").orderBy("stored_by"))).where("_n = 1").drop("_n", "stored_by")
-
-
 def field(name: str, header: Column | str = "header") -> Column:
     """A header field of a record, or null."""
     text = (F.col(header) if isinstance(header, str) else header).cast("string")
@@ -109,18 +121,48 @@ def field(name: str, header: Column | str = "header") -> Column:
     return F.when(found != "", found)
 
 
+def restored(stored: bytes, key: str) -> bytes:
+    """A payload from its compressed form; fails where its bytes don't have their SHA-256."""
+    try:
+        data = zstandard.ZstdDecompressor().decompress(stored, allow_extra_data=False)
+    except zstandard.ZstdError:
+        data = None
+    if data is None or hashlib.sha256(data).hexdigest() != key:
+        raise ValueError(f"stored payload does not match its digest {key}")
+    return data
+
+
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    """The original records: page_id, record_id, header, payload (for a revisit: of the record it refers to) and the
-    payload's measures."""
-    return spark.read.parquet(f"{folder}/headers").join(payloads(spark, folder), "payload_key")
+    """The original records: page_id, record_id, payload_key, header, payload (for a revisit: of the record it refers to) and
+    that payload's payload_bytes and payload_digest. Headers meet their payloads by digest; damaged payloads fail."""
+    headers = spark.read.parquet(f"{folder}/headers")
+    kept = headers.columns
+    schema = T.StructType([
+        *headers.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                data = [restored(x.as_py(), key.as_py()) for x, key in zip(rows.column("payload"), rows.column("payload_key"), strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    *[rows.column(c) for c in kept], pa.array(data, pa.binary()), pa.array([len(x) for x in data], pa.int64()),
+                    pa.array([sha1_base32(x) for x in data], pa.string())], names=schema.names)
+
+    return headers.join(spark.read.parquet(f"{folder}/payloads"), "payload_key").select(*kept, "payload").mapInArrow(work, schema)
+
+
+def record_text() -> Column:
+    """A record as it stands in a file: header block and payload, none for a revisit."""
+    body = F.when(field("WARC-Type") == "revisit", F.lit("")).otherwise(F.col("payload").cast("string"))
+    return F.concat(F.col("header").cast("string"), body)
 
 
 def write_warc(spark: SparkSession, folder: str, target: str, compression: str = "none") -> None:
     """The archive's records as WARC files: header block, payload (none for a revisit), two line ends each.
 
     Spark's text writer puts the two line ends behind each record; the files can have any codec it knows."""
-    body = F.when(field("WARC-Type") == "revisit", F.lit("")).otherwise(F.col("payload").cast("string"))
-    records(spark, folder).select(F.concat(F.col("header").cast("string"), body).alias("value")).write.mode("overwrite").option(
+    records(spark, folder).select(record_text().alias("value")).write.mode("overwrite").option(
         "lineSep", CRLF + CRLF).option("compression", compression).text(target)
 
 
@@ -142,9 +184,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sha1_base32(payload: bytes) -> str:
-    """The same digest in plain Python, for checks."""
-    import base64
-
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
@@ -162,12 +201,25 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM w""")
 def op3_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column is read off the rebuilt records: type, length and digest off their bytes, a revisit's off the payload that
+    the join brings, both checked against what the header declares."""
     folder = archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), shared_folder(spark), min_bytes=0)
-    read = records(spark, folder).select(
-        "page_id", "record_id", "payload_bytes", "payload_digest",
-        field("WARC-Payload-Digest").alias("declared"), field("WARC-Type").alias("record_type"), field("WARC-Refers-To").alias("refers"))
-    bad = F.raise_error(F.concat(F.lit("payload digest differs in "), "record_id")).cast("string")
-    read = read.withColumn("payload_digest", F.when(F.concat(F.lit("sha1:"), "payload_digest") == F.col("declared"), F.col("payload_digest")).otherwise(bad))
+    # A record's text is cut again where its header says it ends.
+    read = records(spark, folder).select("page_id", "record_id", "payload", record_text().alias("record"))
+    head_end = F.locate(CRLF + CRLF, F.col("record")) + 3
+    header = F.substring(F.col("record"), F.lit(1), head_end)
+    body = F.substring(F.col("record"), head_end + 1, F.length("record")).cast("binary")
+    read = read.select(
+        "page_id", "record_id", field("WARC-Type", header).alias("record_type"), field("WARC-Refers-To", header).alias("refers"),
+        field("WARC-Payload-Digest", header).alias("declared"), field("Content-Length", header).cast("long").alias("length"),
+        body.alias("body"), "payload")
+    whole = F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(F.col("body"))
+    read = read.select(
+        "page_id", "record_id", "record_type", "refers", "declared", (F.length("body") == F.col("length")).alias("same_length"),
+        F.length(whole).cast("long").alias("payload_bytes"), base32_of_hex(F.sha1(whole)).alias("payload_digest"))
+    good = F.col("same_length") & (F.concat(F.lit("sha1:"), "payload_digest") == F.col("declared"))
+    bad = F.raise_error(F.concat(F.lit("record differs from its header: "), "record_id")).cast("string")
+    read = read.withColumn("payload_digest", F.when(good, F.col("payload_digest")).otherwise(bad))
     # A response that is referred to by its record id gives the id of its page.
     names = spark.read.parquet(f"{folder}/headers").where(field("WARC-Type") == "response").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
     return read.join(names, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
