@@ -19,6 +19,9 @@ RESULTS = {
     "op8": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op9": {"page_id", "url", "text", "n_chars"},
     "op10": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
+    "op12": {"doc_id", "n_features", "weight", "score", "rank"},
+    "op13": {"doc_id", "held_out", "score", "predicted"},
 }
 
 
@@ -45,7 +48,9 @@ def test_columns_and_rows(results, op, spark, sf):
     got = results(op)
     assert RESULTS[op] <= set(got.columns)
     source = {"op1": "embeddings", "op3": "pages", "op9": "pages"}.get(op, "documents")
-    if op != "op6":
+    if op == "op11":
+        assert len(got) == 600 * got.part.nunique()
+    elif op != "op6":
         assert len(got) == spark.read.parquet(f"{sf}/{source}.parquet").count()
 
 
