@@ -3,13 +3,14 @@
 The filter (after Talbot and Osborne, "Smoothed Bloom filter language models", 2007) holds for every bigram the
 quantised logarithm of its training count: levels 1, 2, .. up to its own are each inserted as (bigram, level). A
 query probes level after level until one is missing, so it never gets less than the true level. Every bigram of the
-training texts is in it, also one seen once, and it grows with them. Counts are summed by hash range: training tasks
-send one packed block of counts per range, each range adds its blocks and writes its own part of the model, a part of
-the filter and the counts of its words. Ranges are taken by a hash of the whole bigram, so a frequent word's bigrams are
-spread over all of them.
+training texts is in it, also one seen once, and it grows with them. Ranges are taken by a hash of the whole bigram, so a
+frequent word's bigrams are spread over all of them.
 
-No task holds the model. Texts are scored in chunks: a chunk sends each range, by a shuffle, the different
-bigrams and words it wants to know of, and the range answers with levels and counts. This is the same at every size.
+Texts are read once, in chunks of documents. A chunk sends each range, by a shuffle, the different bigrams and words it has
+and how often its training documents have them; the range adds these counts, builds its own part of the model (a part of the
+filter and the counts of its words), and answers each chunk with levels and counts. So the same block of keys is a
+contribution to the model and a question to it, and no task holds the model. The number of ranges follows the number of
+tokens. This is the same at every size.
 
 The model is a bigram with Dirichlet smoothing over add-one unigrams,
 p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU), with c(v, w) from the filter. Counts of words are exact; every word
@@ -17,7 +18,6 @@ is followed by one other or the end of its text, so c(v) is also the sum of c(v,
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import by_bytes, one_array
 from .common import crc_of_id, shared_folder, table, worker_store, written
+from .filter_audit import packed, unpacked
 from .minhash import MIX, hash_word, mix
 from .registry import query
 
@@ -40,10 +42,10 @@ LEVEL_VALUES = np.concatenate([[0.0], np.sqrt(LEVELS[:-1] * (LEVELS[1:] - 1.0)),
 MU = 1000.0
 CACHED_WORDS = 600_000
 END_HASH = 1  # no hash of a word, those are over 2**63
-#: Tokens that a training task counts together, and that a chunk of documents to score has.
-TASK_TOKENS, CHUNK_TOKENS = 2_000_000, 1_000_000
-BATCH_TEXTS = 1000
-WORDS, PAIRS = 0, 1  # kinds of blocks
+#: Tokens of a chunk of documents, and of all documents for each range.
+CHUNK_TOKENS, RANGE_TOKENS = 1_000_000, 2_000_000
+#: Bytes of text that are split into words at a time.
+BATCH_BYTES = 4 << 20
 
 
 def halves(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +107,6 @@ def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (history << np.uint64(24)) | word
 
 
-def counted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.diff(np.append(starts, len(keys)))
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
@@ -124,64 +120,6 @@ def range_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mix(keys + np.uint64(11)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
 
 
-def packed(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """(range, kind, block) rows: keys and counts of each range."""
-    part = range_of(keys, bits).astype(np.uint16)  # at most 16 bits: sorted by radix
-    order = np.argsort(part, kind="stable")
-    keys, counts, part = keys[order], counts[order].astype("<u8"), part[order]
-    edges = np.searchsorted(part, np.arange((1 << bits) + 1))
-    some = [r for r in range(1 << bits) if edges[r + 1] > edges[r]]
-    wide = counts.max(initial=0) >= 1 << 32
-    blocks = []
-    for r in some:
-        a, b = edges[r], edges[r + 1]
-        blocks.append((b"\x08" if wide else b"\x04") + keys[a:b].tobytes() + counts[a:b].astype("<u8" if wide else "<u4").tobytes())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(some, pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array(blocks, pa.binary())], names=["range", "kind", "block"])
-
-
-def unpacked(blocks: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for block in blocks:
-        data = block.as_py()
-        width = data[0]
-        n = (len(data) - 1) // (8 + width)
-        keys.append(np.frombuffer(data, dtype="<u8", count=n, offset=1))
-        counts.append(np.frombuffer(data, dtype=f"<u{width}", count=n, offset=1 + 8 * n).astype(np.int64))
-    return summed(np.concatenate(keys), np.concatenate(counts))
-
-
-def training_blocks(texts: DataFrame, bits: int) -> DataFrame:
-    """Counts of words and bigrams of the training texts (one binary column), in packed blocks."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = worker_store("lm_words").setdefault("met", Words())
-        words: list[np.ndarray] = []
-        pairs: list[np.ndarray] = []
-        gc.disable()  # long lists and no cycles
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate(words) if words else np.zeros((2, 0), np.uint64).T
-            yield packed(WORDS, *summed(keys[:, 0].copy(), keys[:, 1].astype(np.int64)), bits)
-            yield packed(PAIRS, *counted_keys(np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)), bits)
-            words.clear()
-            pairs.clear()
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_TEXTS):
-                numbers, _ = met.numbers([x.as_py() for x in batch.column(0).slice(start, BATCH_TEXTS)])
-                hashes, history, word = met.arrays
-                counts = np.bincount(numbers, minlength=len(hashes))
-                some = np.flatnonzero(counts)
-                words.append(np.stack([hashes[some], counts[some].astype(np.uint64)], axis=1))
-                pairs.append(pair_keys(history[before(numbers)], word[numbers]))
-                if sum(map(len, pairs)) >= TASK_TOKENS:
-                    yield from flush()
-        yield from flush()
-
-    return texts.mapInArrow(work, "range int, kind int, block binary")
-
-
 def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, counts, side="right").astype(np.int64)
 
@@ -244,32 +182,13 @@ class Filter:
         return found
 
 
-def train(texts: DataFrame, folder: str) -> tuple[DataFrame, int, int, int]:
-    """(the model, N, V, bits of a range) from one binary column of texts. The model has a row per range: its number, hashes
-    and counts of its words as one block, and the part of the filter with all of its bigrams."""
-    bits = max(6, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    bits = max(6, min(bits, 16))
-
-    def add(key, rows):
-        kind = rows.column("kind").to_numpy()
-        w, c = unpacked(rows.column("block").filter(pa.array(kind == WORDS)))
-        k, n = unpacked(rows.column("block").filter(pa.array(kind == PAIRS)))
-        return pa.table({
-            "range": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([b"\x08" + w.tobytes() + c.astype("<u8").tobytes()], pa.binary()),
-            "filter": pa.array([filter_part(k, n)], pa.binary()), "n_words": pa.array([len(w)], pa.int64()), "n_tokens": pa.array([int(c.sum())], pa.int64())})
-
-    schema = "range int, words binary, filter binary, n_words long, n_tokens long"
-    model = written(training_blocks(texts, bits).groupBy("range").applyInArrow(add, schema), folder, "model")
-    total, vocabulary = model.agg(F.sum("n_tokens"), F.sum("n_words")).first()
-    return model.select("range", "words", "filter"), int(total or 0), int(vocabulary or 0), bits
-
-
 def chunks(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, binary text) in chunks of about CHUNK_TOKENS tokens: a number, ids and lengths of the documents, the
-    hashes of the chunk's words (the end of a text first) and its tokens as numbers of these."""
+    """Documents (doc_id, binary text, scored, trains) in chunks of about CHUNK_TOKENS tokens: a number, ids, lengths and marks of
+    the documents, the hashes of the chunk's words (the end of a text first) and its tokens as numbers of these."""
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("lengths", T.BinaryType()),
-        T.StructField("hashes", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
+        T.StructField("scored", T.BinaryType()), T.StructField("trains", T.BinaryType()), T.StructField("hashes", T.BinaryType()),
+        T.StructField("tokens", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = worker_store("lm_words").setdefault("met", Words())
@@ -277,7 +196,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         ids: list[pa.Array] = []
         lengths: list[np.ndarray] = []
         numbers: list[np.ndarray] = []
-        gc.disable()  # long lists and no cycles
+        marks: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made
@@ -286,85 +205,142 @@ def chunks(docs: DataFrame) -> DataFrame:
             whole = np.concatenate(numbers)
             used = np.bincount(whole, minlength=len(met.arrays[0])) > 0
             used[0] = True
-            place = (np.cumsum(used) - 1).astype("<i4")
+            place = (np.cumsum(used) - 1).astype("<u4")
             held = pa.concat_arrays(ids)
+            one = lambda data: pa.array([data], pa.binary())
             yield pa.RecordBatch.from_arrays([
-                pa.array([made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), pa.array([np.concatenate(lengths).astype("<i8").tobytes()], pa.binary()),
-                pa.array([met.arrays[0][used].astype("<u8").tobytes()], pa.binary()), pa.array([place[whole].tobytes()], pa.binary())], names=schema.names)
+                pa.array([made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), one(np.concatenate(lengths).astype("<i8").tobytes()),
+                *[one(np.concatenate(x).astype(np.uint8).tobytes()) for x in zip(*marks)],
+                one(met.arrays[0][used].astype("<u8").tobytes()), one(packed(place[whole])), pa.array([len(whole)], pa.int64())], names=schema.names)
             made += 1
-            for held in (ids, lengths, numbers):
+            for held in (ids, lengths, numbers, marks):
                 held.clear()
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_TEXTS):
-                some = batch.slice(start, BATCH_TEXTS)
-                if met.full():  # numbers of words hold until then
-                    yield from flush()
-                number, length = met.numbers([x.as_py() for x in some.column(1)])
-                ids.append(some.column(0))
-                lengths.append(length)
-                numbers.append(number)
-                if sum(map(len, numbers)) >= CHUNK_TOKENS:
-                    yield from flush()
+        for rows in by_bytes(batches, "_text", BATCH_BYTES):
+            if met.full():  # numbers of words hold until then
+                yield from flush()
+            number, length = met.numbers([x.as_py() for x in rows.column("_text")])
+            ids.append(one_array(rows.column("doc_id")))
+            lengths.append(length)
+            numbers.append(number)
+            marks.append(tuple(one_array(rows.column(c)).to_numpy(zero_copy_only=False) for c in ("scored", "trains")))
+            if sum(map(len, numbers)) >= CHUNK_TOKENS:
+                yield from flush()
         yield from flush()
 
-    return docs.mapInArrow(work, schema)
+    return docs.select("doc_id", "_text", "scored", "trains").mapInArrow(work, schema)
 
 
-def wanted(hashes: np.ndarray, codes: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of the words and of the bigrams of a chunk: (keys, their order by range, first place of each range in that order).
+def wanted(hashes: np.ndarray, codes: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the words and of the bigrams of a chunk: (keys, their order by range, the ranges that have some, their first places in
+    that order and the end).
 
     A bigram's code is the number of its history times the number of words, plus that of its word."""
     history, word = halves(hashes)
     out = []
     for keys in (hashes, pair_keys(history[codes // len(hashes)], word[codes % len(hashes)])):
-        part = range_of(keys, bits).astype(np.uint16)
-        order = np.argsort(part, kind="stable")
-        out.append((keys, order, np.searchsorted(part[order], np.arange((1 << bits) + 1))))
+        part = range_of(keys, bits)
+        order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable")
+        some, first = np.unique(part[order], return_index=True)
+        out.append((keys, order, some, np.append(first, len(keys))))
     return out
 
 
-def codes_of(tokens: np.ndarray, n_words: int) -> np.ndarray:
-    return before(tokens).astype(np.int64) * n_words + tokens
+def small(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes as all of them need: 1, 4 or 8."""
+    most = int(counts.max(initial=0))
+    return counts.astype("<u1" if most < 1 << 8 else "<u4" if most < 1 << 32 else "<u8").tobytes()
+
 
+def unsmall(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{len(data) // n if n else 1}").astype(np.int64)
 
-def questions(held: DataFrame, bits: int) -> DataFrame:
-    """(range, chunk, keys of words, keys of bigrams): what each chunk asks of each range."""
+
+def blocks(held: DataFrame, bits: int) -> DataFrame:
+    """(range, chunk, words, word_counts, pairs, pair_counts): the keys of each chunk that a range has, and how often the chunk's training
+    documents have them. Rows of a chunk: one per range that has a key of it, so never more than keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                hashes = np.frombuffer(batch.column(1)[i].as_py(), dtype="<u8")
-                codes = np.unique(codes_of(np.frombuffer(batch.column(2)[i].as_py(), dtype="<i4"), len(hashes)))
-                (w, by_w, at_w), (p, by_p, at_p) = wanted(hashes, codes, bits)
-                w, p = w[by_w], p[by_p]
-                some = [r for r in range(1 << bits) if at_w[r + 1] > at_w[r] or at_p[r + 1] > at_p[r]]
+                lengths, hashes, trains = (np.frombuffer(batch.column(c)[i].as_py(), dtype=t) for c, t in (("lengths", "<i8"), ("hashes", "<u8"), ("trains", np.uint8)))
+                tokens = unpacked(batch.column("tokens")[i].as_py(), int(lengths.sum()))
+                learnt = np.repeat(trains, lengths).astype(bool)
+                codes, place = np.unique(codes_of(tokens, len(hashes)), return_inverse=True)
+                counts = np.bincount(tokens[learnt], minlength=len(hashes)), np.bincount(place[learnt], minlength=len(codes))
+                sent: dict[int, list[bytes]] = {}
+                for k, ((keys, order, some, edges), count) in enumerate(zip(wanted(hashes, codes, bits), counts)):
+                    keys, count = keys[order], count[order]
+                    for r, a, b in zip(some.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
+                        sent.setdefault(r, [b"", b"", b"", b""])[2 * k:2 * k + 2] = keys[a:b].tobytes(), small(count[a:b])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(some, pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(some), pa.int64()),
-                    pa.array([w[at_w[r]:at_w[r + 1]].tobytes() for r in some], pa.binary()),
-                    pa.array([p[at_p[r]:at_p[r + 1]].tobytes() for r in some], pa.binary())], names=["range", "chunk", "words", "pairs"])
+                    pa.array(list(sent), pa.int32()), pa.array([batch.column("chunk")[i].as_py()] * len(sent), pa.int64()),
+                    *[pa.array([x[k] for x in sent.values()], pa.binary()) for k in range(4)]], names=["range", "chunk", "words", "word_counts", "pairs", "pair_counts"])
+
+    return held.select("chunk", "lengths", "hashes", "trains", "tokens").mapInArrow(
+        work, "range int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
+def range_model(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Of all blocks of a range: the trained words, their counts, and the filter of its trained bigrams."""
+    out = []
+    for kind in ("word", "pair"):
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for data, count in zip(rows.column(f"{kind}s"), rows.column(f"{kind}_counts"), strict=True):
+            k = np.frombuffer(data.as_py(), dtype="<u8")
+            n = unsmall(count.as_py(), len(k))
+            keys.append(k[n > 0])
+            counts.append(n[n > 0])
+        out.append(summed(np.concatenate(keys), np.concatenate(counts)))
+    return *out[0], filter_part(*out[1])
+
+
+def range_bits(held: DataFrame) -> int:
+    tokens = held.agg(F.sum("n_tokens")).first()[0] or 0
+    return max(6, math.ceil(math.log2(max(1, tokens / RANGE_TOKENS))))
+
+
+def train(texts: DataFrame, folder: str) -> tuple[DataFrame, int, int, int]:
+    """(the model, N, V, bits of a range) from one binary column of texts. The model has a row per range: its number, hashes
+    and counts of its words as one block, and the part of the filter with all of its bigrams."""
+    docs = texts.select(F.lit(0).cast("long").alias("doc_id"), F.col(texts.columns[0]).alias("_text"), F.lit(False).alias("scored"), F.lit(True).alias("trains"))
+    held = written(chunks(docs), folder, "chunks")
+    bits = range_bits(held)
+
+    def add(key, rows):
+        words, counts, bloom = range_model(rows)
+        return pa.table({
+            "range": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([words.tobytes() + counts.astype("<u8").tobytes()], pa.binary()),
+            "filter": pa.array([bloom], pa.binary()), "n_words": pa.array([len(words)], pa.int64()), "n_tokens": pa.array([int(counts.sum())], pa.int64())})
 
-    return held.select("chunk", "hashes", "tokens").mapInArrow(work, "range int, chunk long, words binary, pairs binary")
+    schema = "range int, words binary, filter binary, n_words long, n_tokens long"
+    model = written(blocks(held, bits).groupBy("range").applyInArrow(add, schema), folder, "model")
+    total, vocabulary = model.agg(F.sum("n_tokens"), F.sum("n_words")).first()
+    return model.select("range", "words", "filter"), int(total or 0), int(vocabulary or 0), bits
 
 
-def answered(key, model: pa.Table, asked: pa.Table) -> pa.Table:
-    """(chunk, range, counts of words, levels of bigrams) by the part of the model of one range."""
+def codes_of(tokens: np.ndarray, n_words: int) -> np.ndarray:
+    return before(tokens).astype(np.int64) * n_words + tokens
+
+
+def answered(key, rows):
+    """(chunk, range, counts of words, levels of bigrams) by the part of the model of one range, for every chunk that asks; on one row
+    also how many words and tokens the range has learnt."""
     worker_store("lm_words").clear()  # texts are read by now
-    edges, keys = [], []
-    for column in ("words", "pairs"):
-        blocks = asked.column(column).to_pylist()
-        edges.append(np.append(0, np.cumsum([len(b) // 8 for b in blocks])).astype(np.int64))
-        keys.append(np.frombuffer(b"".join(blocks), dtype="<u8"))
-    counts, levels = np.zeros(len(keys[0]), dtype="<i8"), np.zeros(len(keys[1]), dtype=np.uint8)
-    if model.num_rows:
-        known, c = unpacked(model.column("words"))
-        if len(known):
-            at = np.minimum(np.searchsorted(known, keys[0]), len(known) - 1)
-            counts = np.where(known[at] == keys[0], c[at], 0).astype("<i8")
-        levels = Filter([model.column("filter")[0].as_py()]).levels(keys[1]).astype(np.uint8)
-    cut = lambda values, at: pa.array([values[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
+    known, c, bloom = range_model(rows)
+    part = Filter([bloom])
+    counts, levels = [], []
+    for words, pairs in zip(rows.column("words"), rows.column("pairs"), strict=True):
+        keys = np.frombuffer(words.as_py(), dtype="<u8")
+        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+        found = np.where(known[at] == keys, c[at], 0) if len(known) else np.zeros(len(keys), dtype=np.int64)
+        counts.append(small(found))
+        levels.append(part.levels(np.frombuffer(pairs.as_py(), dtype="<u8")).astype(np.uint8).tobytes())
+    n, first = rows.num_rows, np.arange(rows.num_rows) == 0
     return pa.table({
-        "chunk": asked.column("chunk"), "range": pa.array([key[0].as_py()] * asked.num_rows, pa.int32()), "words": cut(counts, edges[0]), "pairs": cut(levels, edges[1])})
+        "chunk": rows.column("chunk"), "range": pa.array([key[0].as_py()] * n, pa.int32()), "words": pa.array(counts, pa.binary()),
+        "asked": pa.array([len(w.as_py()) // 8 for w in rows.column("words")], pa.int64()), "pairs": pa.array(levels, pa.binary()),
+        "n_words": pa.array(first * len(known), pa.int64()), "n_tokens": pa.array(first * int(c.sum()), pa.int64())})
 
 
 def scores(docs: DataFrame, training: DataFrame, text: str = "text", doc_id: str = "doc_id", mu: float = MU) -> DataFrame:
@@ -373,22 +349,33 @@ def scores(docs: DataFrame, training: DataFrame, text: str = "text", doc_id: str
 
     base_score sums log10 of add-one unigram probabilities, score those of the smoothed bigrams. Repeated rows are
     scored each; with no training rows, every token has count 0. Words are told apart by 64-bit hashes."""
-    folder = shared_folder(docs.sparkSession)
-    body = lambda df: F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("_text")
-    model, total, vocabulary, bits = train(training.select(body(training)), folder)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.lit(True).alias("scored"), F.lit(False).alias("trains"))
+    learnt = training.select(F.lit(None).cast(docs.schema[doc_id].dataType).alias("doc_id"), F.col(text).alias("text"), F.lit(False).alias("scored"), F.lit(True).alias("trains"))
+    return scored_chunks(rows.unionByName(learnt), mu)
+
+
+def scored_chunks(rows: DataFrame, mu: float = MU) -> DataFrame:
+    """``scores`` of the rows (doc_id, text, scored, trains) that are marked as scored, by a model of those that train; a row can be both."""
+    folder = shared_folder(rows.sparkSession)
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    held = written(chunks(rows.select("doc_id", body.alias("_text"), "scored", "trains")), folder, "chunks")
+    bits = range_bits(held)
+    answers = written(blocks(held, bits).groupBy("range").applyInArrow(
+        answered, "chunk long, range int, words binary, asked long, pairs binary, n_words long, n_tokens long"), folder, "answers")
+    total, vocabulary = (int(x or 0) for x in answers.agg(F.sum("n_tokens"), F.sum("n_words")).first())
     denominator = float(total + vocabulary + 1)
-    held = written(chunks(docs.select(F.col(doc_id).alias("doc_id"), body(docs))), folder, "chunks")
-    answers = model.groupBy("range").cogroup(questions(held, bits).groupBy("range")).applyInArrow(answered, "chunk long, range int, words binary, pairs binary")
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def finish(key, chunk: pa.Table, found: pa.Table) -> pa.Table:
-        lengths, hashes, tokens = (np.frombuffer(chunk.column(c)[0].as_py(), dtype=t) for c, t in (("lengths", "<i8"), ("hashes", "<u8"), ("tokens", "<i4")))
+        lengths, hashes, scored = (np.frombuffer(chunk.column(c)[0].as_py(), dtype=t) for c, t in (("lengths", "<i8"), ("hashes", "<u8"), ("scored", np.uint8)))
+        tokens = unpacked(chunk.column("tokens")[0].as_py(), int(lengths.sum()))
         codes, place = np.unique(codes_of(tokens, len(hashes)), return_inverse=True)
         found = found.sort_by("range")
         count, level = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(codes), dtype=np.uint8)
-        for column, values, kind, (_, order, _) in zip(("words", "pairs"), (count, level), ("<i8", np.uint8), wanted(hashes, codes, bits)):
-            values[order] = np.frombuffer(b"".join(found.column(column).to_pylist()), dtype=kind)
+        (_, by_word, _, _), (_, by_pair, _, _) = wanted(hashes, codes, bits)
+        count[by_word] = np.concatenate([unsmall(x.as_py(), n.as_py()) for x, n in zip(found.column("words"), found.column("asked"), strict=True)])
+        level[by_pair] = np.frombuffer(b"".join(found.column("pairs").to_pylist()), dtype=np.uint8)
         v, w = codes // len(hashes), codes % len(hashes)
         # A bigram is seen at most as often as either word.
         pair = np.minimum(LEVEL_VALUES[level], np.minimum(count[v], count[w]))
@@ -396,15 +383,17 @@ def scores(docs: DataFrame, training: DataFrame, text: str = "text", doc_id: str
         smooth = np.log10((pair + mu * unigram[w]) / (count[v] + mu))
         begins = np.cumsum(lengths) - lengths
         sums = [np.add.reduceat(x, begins) for x in ((count > 0).astype(np.int64)[tokens], np.log10(unigram)[tokens], smooth[place])]
-        return pa.Table.from_arrays([chunk.column("ids").combine_chunks().flatten(), pa.array(lengths), *map(pa.array, sums)], names=schema.names)
+        result = pa.Table.from_arrays([chunk.column("ids").combine_chunks().flatten(), pa.array(lengths), *map(pa.array, sums)], names=schema.names)
+        return result.filter(pa.array(scored.astype(bool)))
 
-    out = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    out = held.select("chunk", "ids", "lengths", "scored", "hashes", "tokens").groupBy("chunk").cogroup(
+        answers.select("chunk", "range", "words", "asked", "pairs").groupBy("chunk")).applyInArrow(finish, schema)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 @query("op8_bloom_lm")
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_of_id() % 7 == 2
-    return scores(docs, docs.where(~held_out)).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scored_chunks(docs.select("*", F.lit(True).alias("scored"), (~held_out).alias("trains"))).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
