@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import shared_folder, table, written
+from .common import shared_folder, table
 from .registry import query
 
 CRLF = "\r\n"
@@ -48,28 +48,26 @@ def record_uuid(column: Column) -> Column:
                                            for x in ([F.lit("-")] if k else []) + [F.substring(h, s, n)]], F.lit(">"))
 
 
-def packed_pages(pages: DataFrame, folder: str, page_id: str, url: str, html: str) -> DataFrame:
-    """page_id, url, payload_key (SHA-256), payload_bytes, payload_digest (SHA-1) and the payload compressed, stored: each page
-    is measured once."""
-    schema = T.StructType([
-        T.StructField("page_id", pages.schema[page_id].dataType), T.StructField("url", T.StringType()), T.StructField("payload_key", T.StringType()),
-        T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("payload", T.BinaryType())])
+def numbered_pages(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+    payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
+    clean = F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]+", "%0A")
+    return pages.select(F.col(page_id).alias("page_id"), clean.alias("url"), payload.alias("payload")).withColumn("payload_key", F.sha2("payload", 256))
+
+
+def compressed(payloads: DataFrame) -> DataFrame:
+    """payload_key, page_id and the payload, compressed before it is shuffled."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(at, ROWS)
-                data = [x.as_py() for x in rows.column("payload")]
-                yield pa.RecordBatch.from_arrays([
-                    rows.column("page_id"), rows.column("url"), pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()),
-                    pa.array([len(x) for x in data], pa.int64()), pa.array([sha1_base32(x) for x in data], pa.string()),
-                    pa.array([pack.compress(x) for x in data], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("payload_key"), rows.column("page_id"), pa.array([pack.compress(x.as_py()) for x in rows.column("payload")], pa.binary())],
+                    names=["payload_key", "page_id", "payload"])
 
-    payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
-    clean = F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]+", "%0A")
-    rows = pages.select(F.col(page_id).alias("page_id"), clean.alias("url"), payload.alias("payload"))
-    return written(rows.mapInArrow(work, schema), folder, "pages")
+    rows = payloads.select("payload_key", "page_id", "payload")
+    return rows.mapInArrow(work, rows.schema)
 
 
 def archive(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html",
@@ -80,8 +78,9 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str = "p
     the others revisit it; records with smaller payloads are all responses. Null html and null url count
     as empty. Rows that repeat a page id with the same payload are records of their own, of which one is
     the response; a null id comes before all others. An empty table makes an empty archive."""
-    records = packed_pages(pages, folder, page_id, url, html)
-    facts = records.drop("payload")
+    records = numbered_pages(pages, page_id, url, html)
+    facts = records.select(
+        "page_id", "url", "payload_key", F.length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"))
     # Equal rows of one page get numbers; the response is number 1 of the page with the largest id.
     facts = facts.withColumn("copy", F.row_number().over(W.partitionBy("page_id", "payload_key").orderBy(F.col("url").desc())))
     largest = facts.groupBy("payload_key").agg(F.max("page_id").alias("first_id"))
@@ -104,12 +103,8 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str = "p
     facts.select(
         "page_id", name.alias("record_id"), "payload_key", header.cast("binary").alias("header"),
     ).write.mode("overwrite").parquet(f"{folder}/headers")
-    # One row per different payload, found by its page's id: a join of small rows against the pages.
-    keepers = facts.where(is_first).select(F.col("page_id").alias("_id"), F.col("payload_key").alias("_key")).distinct()
-    stored = records.select("page_id", "payload_key", "payload")
-    once = stored.join(keepers, stored["page_id"].eqNullSafe(keepers["_id"]) & (stored["payload_key"] == keepers["_key"]), "left_semi")
-    # Rows that repeat an id with its payload are alike; one is stored.
-    once = once.withColumn("_n", F.row_number().over(W.partitionBy("payload_key").orderBy("page_id"))).where("_n = 1")
+    # One row per different payload: copies go before anything is dealt out, in each task and then by digest.
+    once = compressed(records).withColumn("_n", F.row_number().over(W.partitionBy("payload_key").orderBy(F.col("page_id").desc()))).where("_n = 1")
     once.select("payload_key", "payload").write.mode("overwrite").parquet(f"{folder}/payloads")
     return folder
 
