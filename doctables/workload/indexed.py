@@ -1,4 +1,4 @@
-"""Search by trigrams, totals over several groupings, unions of tables, dates of any form, counts that follow a stream."""
+"""Search by trigrams, summaries kept per write, totals over several groupings, unions of tables, dates of any form, counts that follow a stream."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from ..operators.profile import unpivot_cells
 from ..operators.totals import estimate, field_totals, rollup_sets
 from ..operators.trigrams import TrigramIndex
 from ..operators.unions import union_tables
+from ..plans.catalog import superseded_versions
+from ..plans.summaries import StoredSummaries
 from ..streaming.changes import current_counts, follow_counts
 from . import fixtures as fx
 from .catalog import shared_folder
@@ -142,3 +144,50 @@ def stream_changes(spark, sf):
         F.col("user_id").alias("doc_id"), F.col("event_type").alias("source_file"), F.col("event_id").alias("version"), (F.col("event_id") % 7).alias("n"))
     follow_counts(versions, root + "/changes", root + "/checkpoint").awaitTermination()
     return current_counts(spark, root + "/changes")
+
+
+def _stored_summaries(spark, sf):
+    """Two writes: all customer tables, then every third one again with its first ten rows and another source; and what
+    the second has replaced."""
+    summaries = StoredSummaries(spark, shared_folder(spark, "summaries"))
+    tables, rows = fx.catalog_tables(spark, sf), fx.catalog_rows(spark, sf)
+    again = F.col("doc_id").cast("bigint") % 3 == 0
+    summaries.add(tables, rows, 0)
+    summaries.add(tables.filter(again).withColumns({"source_file": F.lit("crm/again.xlsx"), "table_type": F.lit("excel")}), rows.filter(again & (F.col("row_index") < 10)), 1)
+    documents = tables.select("doc_id", F.lit(0).cast("bigint").alias("ingest_seq"))
+    documents = documents.unionByName(documents.filter(again).withColumn("ingest_seq", F.lit(1).cast("bigint")))
+    return summaries, superseded_versions(documents)
+
+
+_REPLACED = _W + """,
+now AS (
+  SELECT table_id, CASE WHEN blk % 3 = 0 THEN 'crm/again.xlsx' ELSE source_file END AS source_file,
+    CASE WHEN blk % 3 = 0 THEN 'excel' ELSE 'html' END AS table_type, CASE WHEN blk % 3 = 0 THEN least(n_rows, 10) ELSE n_rows END AS actual_rows
+  FROM shape)
+"""
+
+
+@query("g8_kept_types", _REPLACED + "SELECT table_type, count(*) AS n FROM now GROUP BY 1")
+def kept_types(spark, sf):
+    summaries, gone = _stored_summaries(spark, sf)
+    return summaries.tables_by_type(gone)
+
+
+@query("g9_kept_summary", _REPLACED + """
+SELECT count(*) AS total_tables, CAST(sum(actual_rows) AS BIGINT) AS total_rows, count(DISTINCT source_file) AS unique_source_files FROM now""")
+def kept_summary(spark, sf):
+    summaries, gone = _stored_summaries(spark, sf)
+    return summaries.store_summary(gone)
+
+
+@query("g10_kept_rows", _REPLACED + "SELECT table_id, source_file, actual_rows FROM now")
+def kept_rows(spark, sf):
+    summaries, gone = _stored_summaries(spark, sf)
+    return summaries.actual_rows(gone).select("table_id", "source_file", "actual_rows")
+
+
+@query("g11_kept_sources", _REPLACED + """
+SELECT source_file, count(*) AS tables, CAST(sum(actual_rows) AS BIGINT) AS actual_rows FROM now GROUP BY 1""")
+def kept_sources(spark, sf):
+    summaries, gone = _stored_summaries(spark, sf)
+    return summaries.source_totals(gone)

@@ -11,7 +11,8 @@ from doctables.operators.dates import date_columns, dated_cells, with_dates
 from doctables.operators.totals import cube_sets, field_totals, merge_totals
 from doctables.operators.trigrams import TrigramIndex, literal_runs, term_grams
 from doctables.operators.unions import common_types, union_tables
-from doctables.plans.catalog import search, superseded_versions
+from doctables.plans.catalog import search, superseded_versions, without_versions
+from doctables.plans.summaries import StoredSummaries
 from doctables.streaming.changes import current_counts, follow_counts
 from doctables.workload import QUERIES
 from doctables.workload import fixtures as fx
@@ -184,3 +185,30 @@ def test_totals_expand_what_is_combined(spark, sf, name, aggregates):
     """The rows are combined below the expansion."""
     text = plan(QUERIES[name](spark, sf))
     assert text.index("Expand") < text.rindex("HashAggregate") < text.index("FileScan")
+
+
+def test_summaries_after_replacements(spark, tmp_path):
+    """Equal to the full scan after any writes; nothing of the stored rows is read."""
+    rng = random.Random(6)
+    summaries = StoredSummaries(spark, str(tmp_path))
+    none = spark.createDataFrame([], "doc_id string, ingest_seq long")
+    assert summaries.store_summary(none).first().asDict() == {"total_tables": 0, "total_rows": 0, "unique_source_files": 0}
+    tables, rows, documents = [], [], []
+    for seq in range(3):
+        for doc in rng.sample("abcdefgh", 5):
+            documents.append((doc, seq))
+            for ordinal in range(1, rng.randint(1, 3)):
+                tables.append((doc, ordinal, f"{doc}{ordinal}", rng.choice(["s", "t", None]), rng.choice(["html", "excel"]), seq))
+                rows += [(doc, ordinal, i, seq) for i in range(rng.randint(0, 4))]
+    t = spark.createDataFrame(tables, "doc_id string, ordinal int, table_id string, source_file string, table_type string, ingest_seq long")
+    r = spark.createDataFrame(rows, "doc_id string, ordinal int, row_index long, ingest_seq long")
+    for seq in (0, 1, 2, 1):  # one write is repeated
+        summaries.add(t.filter(f"ingest_seq = {seq}").drop("ingest_seq"), r.filter(f"ingest_seq = {seq}").drop("ingest_seq"), seq)
+    gone = superseded_versions(spark.createDataFrame(documents, "doc_id string, ingest_seq long"))
+    now, kept = without_versions(gone, t).collect(), without_versions(gone, r).collect()
+    assert sorted((x.doc_id, x.ordinal, x.actual_rows) for x in summaries.actual_rows(gone).collect()) == sorted(
+        (x.doc_id, x.ordinal, sum((y.doc_id, y.ordinal) == (x.doc_id, x.ordinal) for y in kept)) for x in now)
+    assert {x.table_type: x.n for x in summaries.tables_by_type(gone).collect()} == {k: sum(x.table_type == k for x in now) for k in {x.table_type for x in now}}
+    assert {x.source_file: x.tables for x in summaries.source_totals(gone).collect()} == {k: sum(x.source_file == k for x in now) for k in {x.source_file for x in now}}
+    assert tuple(summaries.store_summary(gone).first()) == (len(now), len(kept), len({x.source_file for x in now} - {None}))
+    assert "row_index" not in plan(summaries.store_summary(gone))
