@@ -15,8 +15,11 @@ from ..functions.types import VOTE_THRESHOLD
 # Names of months.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
+#: A month by its name or the start of it, of three letters at least.
+MONTH = "(?:" + "|".join(name[:3] + "".join(f"(?:{letter}" for letter in name[3:]) + ")?" * len(name[3:]) for name in MONTHS) + ")"
 # Year first, two places that may be day or month, a month by name in second or in first place.
-SHAPE = r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](\d{4}|\d{2})|\d{1,2}[- ][A-Za-z]{3,9}\.?,?[- ](\d{4}|\d{2})|[A-Za-z]{3,9}\.?[- ]\d{1,2},?[- ](\d{4}|\d{2}))$"
+SHAPE = (r"(?i)^(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|(?:\d{1,2}[-/.]\d{1,2}[-/.]|\d{1,2}[- ]" + MONTH + r"\.?,?[- ]|" + MONTH + r"\.?[- ]\d{1,2},?[- ])"
+         r"(?:\d{4}|\d{2}))$")
 PIVOT = "69"
 
 
@@ -25,11 +28,9 @@ def _year(y: Column) -> Column:
 
 
 def _month(word: Column) -> Column:
-    """The number of a month by its name or the start of it, of three letters at least; null for another word."""
-    names = F.create_map(*[x for i, name in enumerate(MONTHS, 1) for x in (F.lit(name[:3]), F.struct(F.lit(name).alias("name"), F.lit(str(i)).alias("number")))])
-    word = F.lower(word)
-    found = F.element_at(names, F.substring(word, 1, 3))
-    return F.when(F.startswith(found["name"], word), found["number"])
+    """The number of a month that has the shape of one; null for digits."""
+    at = F.instr(F.lit("".join(name[:3] for name in MONTHS)), F.substring(F.lower(word), 1, 3))
+    return F.when(at > 0, F.floor((at + 2) / 3)).cast("string")
 
 
 def readings(c: Column) -> Column:
