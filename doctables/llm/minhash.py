@@ -6,7 +6,9 @@ coordinate numbered by the round; a coordinate keeps the least (round, hash). So
 rounds each coordinate is filled, for any non-empty set, and the share of equal coordinates is
 concentrated around the Jaccard similarity as for T independent permutations; a set of n elements is done
 after about T log(T) / n rounds. Sketches are banded; documents that share a band are
-candidates, and all links among them are confirmed on the full sets."""
+candidates, and all links among them are confirmed on the full sets. The buckets of one band key that
+have the same least member form a group around it, so whoever shares a bucket is compared, and
+chains of weakly similar documents from bucket to bucket are not."""
 
 from __future__ import annotations
 
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +28,9 @@ from .registry import query
 
 #: At similarity 0.8, one of 32 bands of 5 rows meets with probability 1 - 3e-6; at 0.4 with 0.28, at 0.2 with 0.01.
 BANDS, ROWS = 32, 5
-#: Members of one candidate group that are compared with each other in one task.
-BLOCK = 256
+#: Members of one candidate group that are compared with each other in one task, and the bytes of their texts (a longer
+#: text is alone with the pivots).
+BLOCK, BLOCK_BYTES = 256, 1 << 25
 PIVOTS = 16
 CACHED_WORDS = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -188,35 +191,47 @@ def group_links(members: DataFrame, keys: list[str], shingle: int, percent: int)
     return members.groupBy(*keys).applyInArrow(work, "a binary, b binary")
 
 
+def candidate_groups(node_bands: DataFrame) -> DataFrame:
+    """(set_id, group, n_bytes) of the sets (set_id, n_bytes, key) that share a band key with another: a set is in
+    the group of the least set_id of each of its buckets, so two that share a bucket share a group."""
+    shared = node_bands.groupBy("key").agg(F.min("set_id").alias("group"), F.count("*").alias("n")).where("n > 1").select("key", "group")
+    return node_bands.join(shared, "key").select("set_id", "group", "n_bytes").distinct()
+
+
+def blocks_for(n: Column, n_bytes: Column) -> Column:
+    """How many blocks hold ``n`` members with ``n_bytes`` of text."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(n_bytes / BLOCK_BYTES))
+
+
 def confirmed_links(groups: DataFrame, texts: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
-    """Edges that span the true components inside candidate groups (set_id, group).
+    """Edges that span the true components of the members of each candidate group (set_id, group, n_bytes);
+    a set may be in several groups.
 
-    A group is dealt into blocks of about BLOCK members, and every block is compared in full, together
+    A group is dealt into blocks of about BLOCK members or BLOCK_BYTES, and every block is compared in full, together
     with a few pivots of its group. That settles groups of one block. Of a larger one, members outside
     its largest component so far meet all members, block by block, so no link between different
     components is lost; members of one component need no further comparison with each other."""
-    sizes = groups.groupBy("group").agg(F.count("*").alias("n"), F.min_by("set_id", F.xxhash64("set_id")).alias("pivot"))
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n"), blocks_for(F.count("*"), F.sum("n_bytes")).alias("blocks"))
     blocked = groups.join(sizes, "group").select(
-        "set_id", "group", F.ceil(F.col("n") / BLOCK).alias("blocks"),
-        F.pmod(F.xxhash64("set_id", F.lit(7)), F.ceil(F.col("n") / BLOCK)).alias("block"),
+        "set_id", "group", "n_bytes", "blocks", F.pmod(F.xxhash64("set_id", F.lit(7)), "blocks").alias("block"),
         (F.pmod(F.xxhash64("set_id", F.lit(11)), F.col("n")) < PIVOTS).alias("is_pivot"))
     blocked = written(blocked.join(texts, "set_id"), folder, "members")
     large = blocked.where("blocks > 1")
     pivots = large.where("is_pivot").select("set_id", "group", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("block").alias("home")).where("block <> home").drop("home")
     first = written(group_links(blocked.select("set_id", "group", "text", "block").unionByName(pivots), ["group", "block"], shingle, percent), folder, "links-1")
     # Larger groups: who is still outside the group's largest component meets every block.
-    roots = components(first.join(large.select(F.col("set_id").alias("a")).distinct(), "a", "left_semi"), folder, "large").withColumnsRenamed({"node": "set_id"})
+    roots = components(first, folder, "first").withColumnsRenamed({"node": "set_id"})
     placed = written(
-        large.select("set_id", "group", "blocks", "block").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), folder, "placed")
+        large.select("set_id", "group", "n_bytes", "blocks", "block").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), folder, "placed")
     by_root = placed.groupBy("group", "root").count()
     main = by_root.groupBy("group").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    outside = placed.join(main, "group").where("root <> main").select("set_id", "group", "blocks", "block")
-    n_out = outside.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("outs"))
+    outside = placed.join(main, "group").where("root <> main").select("set_id", "group", "n_bytes", "blocks", "block")
+    n_out = outside.groupBy("group").agg(blocks_for(F.count("*"), F.sum("n_bytes")).alias("outs"))
     dealt = outside.join(n_out, "group").withColumn("out", F.pmod(F.xxhash64("set_id", F.lit(13)), F.col("outs")))
     everywhere = dealt.select("set_id", "group", "out", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     met = placed.join(n_out, "group").select("set_id", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1)).alias("out"), "block")
-    meeting = everywhere.unionByName(met).join(large.select("set_id", "text"), "set_id")
-    return first.unionByName(group_links(meeting, ["group", "out", "block"], shingle, percent))
+    meeting = everywhere.unionByName(met).join(large.select("set_id", "group", "text"), ["set_id", "group"])
+    return roots.select(F.col("set_id").alias("a"), F.col("root").alias("b")).unionByName(group_links(meeting, ["group", "out", "block"], shingle, percent))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
@@ -229,21 +244,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     nothing. Rows with a null id take no part (their component is null and they are kept); rows that
     repeat an id share its component. Texts with equal sets are one node with any number of rows."""
     folder = shared_folder(docs.sparkSession)
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows_ = written(sketched(ids, shingle, bands, rows, "text", ["doc_id"]), folder, "sketches")
+    body = F.col(text).cast("binary")
+    ids = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash"), F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("n_bytes"))
+    rows_ = written(sketched(ids, shingle, bands, rows, "text", ["doc_id", "text_hash", "n_bytes"]), folder, "sketches")
     usable = F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()
-    # One node per shingle set; the bands are the same for all its rows.
-    classes = written(
-        rows_.where(usable).groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), folder, "classes")
-    node_bands = rows_.where(usable).join(classes, ["set_id", "doc_id"], "left_semi").select("set_id", F.explode("bands").alias("key")).distinct()
-    shared = node_bands.groupBy("key").agg(F.min("set_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    edges = node_bands.join(shared, "key").select(F.col("set_id").alias("a"), "b").where("a <> b").distinct()
-    groups = written(components(edges, folder, "candidates").withColumnsRenamed({"node": "set_id", "root": "group"}), folder, "groups")
-    one_text = classes.join(groups.select("set_id"), "set_id", "left_semi").join(
-        ids.where("doc_id is not null"), "doc_id").select("set_id", "text")
+    # One node per shingle set with one of its texts; the bands are the same for all its rows.
+    one = F.struct("doc_id", "text_hash", "n_bytes")
+    classes = written(rows_.where(usable).groupBy("set_id").agg(F.min(one).alias("one")).select("set_id", "one.*"), folder, "classes")
+    node_bands = rows_.where(usable).join(classes, ["set_id", "doc_id", "text_hash", "n_bytes"], "left_semi").select("set_id", "n_bytes", F.explode("bands").alias("key")).distinct()
+    groups = written(candidate_groups(node_bands), folder, "groups")
+    one_text = classes.join(groups.select("set_id").distinct(), "set_id", "left_semi").join(
+        ids.where("doc_id is not null").select("doc_id", "text_hash", "text"), ["doc_id", "text_hash"]).select("set_id", "text")
     links = confirmed_links(groups, one_text, folder, shingle, percent)
     roots = components(links, folder, "linked").withColumnsRenamed({"node": "set_id"})
-    placed = classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    placed = classes.select("set_id", "doc_id").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = placed.join(least, "root").select("set_id", "component_id")
     return rows_.select("doc_id", "n_shingles", F.when(usable, F.col("set_id")).alias("set_id")).join(component, "set_id", "left").select(

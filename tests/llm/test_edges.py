@@ -101,6 +101,33 @@ def test_group_of_many_near_copies(spark):
     assert [got[i] for i in range(700)] == wanted.tolist() and 1 < len(set(wanted)) < 600
 
 
+def test_chains_of_weak_pairs_are_not_compared_whole(spark):
+    """Texts of which only neighbours resemble each other, at one half: whoever is compared shares a bucket."""
+    def compared(n):
+        df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 31))) for i in range(n)], "doc_id long, text string")
+        bands = minhash.sketched(df, 2, minhash.BANDS, minhash.ROWS, "text", ["doc_id"])
+        nodes = bands.select("set_id", F.lit(100).cast("long").alias("n_bytes"), F.explode("bands").alias("key"))
+        groups = minhash.candidate_groups(nodes).groupBy("group").count()
+        return groups.agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+
+    few, many = compared(500), compared(1000)
+    assert 0 < many < 8 * 1000 and many < 2.5 * few
+
+
+def test_blocks_of_long_texts(spark, monkeypatch):
+    """Groups that bytes cut into several blocks give the same components."""
+    near = [(i, " ".join(f"v{k}" for k in range(200)) + f" end{i} of it" * (i % 3)) for i in range(40)]
+    far = [(100 + i, " ".join(f"v{k}" for k in range(120 + 3 * i))) for i in range(20)]
+    df = spark.createDataFrame(near + far, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(minhash, "PIVOTS", 1)
+    got = as_rows(minhash.near_duplicates(df, shingle=2), "doc_id", "component_id")
+    ids = [i for i, _ in near + far]
+    root = minhash.linked_roots(minhash.shingle_sets([t.encode() for _, t in near + far], 2), 80)
+    assert got == sorted(zip(ids, (ids[r] for r in root)), key=repr)
+
+
+
 def test_sketches_fill_and_estimate():
     random = np.random.default_rng(1)
     for n in (1, 3, 50, 4000):
