@@ -192,10 +192,10 @@ def group_links(members: DataFrame, keys: list[str], shingle: int, percent: int)
 
 
 def candidate_groups(node_bands: DataFrame) -> DataFrame:
-    """(set_id, group, n_bytes) of the sets (set_id, n_bytes, key) that share a band key with another: a set is in
+    """(set_id, group) of the sets (set_id, key) that share a band key with another: a set is in
     the group of the least set_id of each of its buckets, so two that share a bucket share a group."""
     shared = node_bands.groupBy("key").agg(F.min("set_id").alias("group"), F.count("*").alias("n")).where("n > 1").select("key", "group")
-    return node_bands.join(shared, "key").select("set_id", "group", "n_bytes").distinct()
+    return node_bands.join(shared, "key").select("set_id", "group").distinct()
 
 
 def blocks_for(n: Column, n_bytes: Column) -> Column:
@@ -249,13 +249,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     rows_ = written(sketched(ids, shingle, bands, rows, "text", ["doc_id", "text_hash", "n_bytes"]), folder, "sketches")
     usable = F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()
     # One node per shingle set with one of its texts; the bands are the same for all its rows.
-    one = F.struct("doc_id", "text_hash", "n_bytes")
-    classes = written(rows_.where(usable).groupBy("set_id").agg(F.min(one).alias("one")).select("set_id", "one.*"), folder, "classes")
-    node_bands = rows_.where(usable).join(classes, ["set_id", "doc_id", "text_hash", "n_bytes"], "left_semi").select("set_id", "n_bytes", F.explode("bands").alias("key")).distinct()
+    one = F.min(F.struct("doc_id", "text_hash", "n_bytes")).alias("one")
+    classes = written(rows_.where(usable).groupBy("set_id").agg(one, F.any_value("bands").alias("bands")).select("set_id", "one.*", "bands"), folder, "classes")
+    node_bands = classes.select("set_id", F.explode("bands").alias("key"))
     groups = written(candidate_groups(node_bands), folder, "groups")
-    one_text = classes.join(groups.select("set_id").distinct(), "set_id", "left_semi").join(
+    one_text = classes.drop("bands").join(groups.select("set_id").distinct(), "set_id", "left_semi").join(
         ids.where("doc_id is not null").select("doc_id", "text_hash", "text"), ["doc_id", "text_hash"]).select("set_id", "text")
-    links = confirmed_links(groups, one_text, folder, shingle, percent)
+    links = confirmed_links(groups.join(classes.select("set_id", "n_bytes"), "set_id"), one_text, folder, shingle, percent)
     roots = components(links, folder, "linked").withColumnsRenamed({"node": "set_id"})
     placed = classes.select("set_id", "doc_id").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
