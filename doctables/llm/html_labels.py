@@ -6,6 +6,18 @@ from __future__ import annotations
 _LONG = " ".join(["The river rose slowly through the night and by morning the lower meadows lay under water as far as the mill."] * 3)
 _MID = "Nobody in the village could remember a spring with so much rain."
 _SHORT = "They waited."
+_TALK = "When the snow on the hills melts early the wells of the valley fill and boats can pass under the old bridge".split()
+
+
+def _words(n: int) -> str:
+    return " ".join(_TALK[k % len(_TALK)] for k in range(n))
+
+
+def _unmarked(tag: str, lengths: tuple[int, ...], between: str = "", top: str = "", end: str = "") -> str:
+    """A page without a name, an article or a frame: paragraphs of ``lengths`` words in ``tag``, with ``between`` after each second one."""
+    story = "".join(f"<{tag}>@@{_words(n)}</{tag}>{between if k % 2 else ''}" for k, n in enumerate(lengths))
+    return f"""<html><body><div><a href="/">Home</a></div><div><a href="/n">News of the day</a></div><div><a href="/w">Weather</a> | <a href="/s">Sports</a></div>
+    {top}<h1>@@{_words(6)}</h1><div>{story}</div>{end}<div><a href="/a">About us</a></div><div><a href="/t">Terms of use and more</a></div></body></html>"""
 
 BLOCK_PAGES = (
     # An article element between a menu, an advert and a footer.
@@ -56,4 +68,18 @@ BLOCK_PAGES = (
     <div><a href="/imprint">Imprint</a></div></body></html>""",
     f"""<html><body><div><a href="/">Start page of the paper</a></div><h1>@@The weir</h1><div><p>@@{_LONG}</p><div class="text-center"><p>@@{_SHORT}</p></div><p>@@{_LONG}</p>
     <p>@@{_MID}</p></div><div><a href="/t">Terms of use and more</a></div></body></html>""",
+    # Nothing marked, in all lengths: a short block between longer ones is text, list items and sentences with links too.
+    *(_unmarked(tag, lengths) for tag in ("p", "div") for lengths in ((120, 90, 60), (45, 8, 30, 4, 50), (20, 12, 25, 15, 18), (33, 3, 70, 1, 100), (9, 14, 11, 7, 16))),
+    *(_unmarked(tag, (40, 25, 60, 12, 80), f"<ul><li>@@{_words(5)}</li><li>@@{_words(1)}</li><li>@@{_words(14)}</li><li>@@{_words(2)}</li></ul>") for tag in ("p", "div")),
+    *(_unmarked(tag, (40, 25, 60, 30), f"<{tag}>@@See <a href='/m'>{_words(n)}</a> and <a href='/k'>{_words(n)}</a> for more of it.</{tag}>") for tag in ("p", "div") for n in (3, 6)),
+    *(_unmarked(tag, (50, 18, 35), "", f"<ul>{''.join(f'<li><a href=/{n}>{_words(n)}</a></li>' for n in (1, 4, 9))}</ul>",
+                f"<ul>{''.join(f'<li><a href=/{n}>{_words(n)}</a></li>' for n in (2, 12, 7))}</ul><div><a href='/o'>{_words(20)}</a></div>") for tag in ("p", "div")),
+    # Nothing marked, links around the text with a few words beside them.
+    *(_unmarked(tag, (30, 50, 22), "", "<div>By <a href='/au'>our own writer</a></div>", "<div>Share: <a href='/x'>by post</a> <a href='/y'>by mail</a></div>") for tag in ("p", "div")),
+    # Nothing marked, a line of advert between links and title.
+    *(_unmarked(tag, (28, 64, 10, 44), "", f"<div>{_words(n)}</div>") for tag in ("p", "div") for n in (3, 7, 13)),
+    # Nothing around the text: its first and last blocks are text.
+    *(f"<html><body><{part}><{tag}>@@{_words(a)}</{tag}><{tag}>@@{_words(b)}</{tag}><{tag}>@@{_words(c)}</{tag}></{part}></body></html>"
+      for part in ("article", "main", "div") for tag in ("p", "div") for a, b, c in ((4, 30, 12), (15, 60, 90), (2, 7, 3), (25, 9, 1))),
+    *(f"<html><body><h1>@@{_words(a)}</h1><p>@@{_words(b)}</p><p>@@{_words(c)}</p></body></html>" for a, b, c in ((3, 40, 18), (7, 20, 75))),
 )

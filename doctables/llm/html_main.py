@@ -103,6 +103,11 @@ class Element:
         self.link = tag == "a" or bool(up and up.link)
 
 
+def ends_in_value(attributes: str) -> bool:
+    """Whether the slash at the end belongs to a value without quotes, as in ``href=/``."""
+    return "=" in attributes[max(map(attributes.rfind, " \t\n\f\r\"'")) + 1:]
+
+
 def blocks_of(page: str) -> tuple[list[str], list[list[float]]]:
     """The flat text blocks of a page and their features, without hidden parts. Linear in the page."""
     texts: list[str] = []
@@ -182,7 +187,7 @@ def blocks_of(page: str) -> tuple[list[str], list[list[float]]]:
         if tag == "body":  # ends an open head
             close("head")
         element = Element(tag, stack[-1], found[3])
-        if tag in VOID or found[3].endswith("/") and tag not in BLOCKS:
+        if tag in VOID or found[3].endswith("/") and tag not in BLOCKS and not ends_in_value(found[3]):
             continue
         if tag in RAW:
             end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
@@ -248,7 +253,7 @@ def labelled_blocks(pages: tuple[str, ...] = BLOCK_PAGES) -> tuple[np.ndarray, n
     return np.asarray(rows, dtype=np.float64), np.asarray(labels, dtype=bool)
 
 
-def train(depth: int = 6, least: int = 1) -> tuple:
+def train(depth: int = 10, least: int = 1) -> tuple:
     return grow(*labelled_blocks(), depth, least)
 
 

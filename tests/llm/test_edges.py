@@ -333,6 +333,48 @@ def test_names_beside_unmarked_text(head, title, middle):
     assert html_main.main_text(page, html_main.train()) == "\n".join(["Boats", *paragraphs[:2], *between, paragraphs[2]])
 
 
+def test_tree_splits_on_neighbours():
+    def features(tree):
+        return set() if len(tree) == 1 else {html_main.FEATURES[tree[0]]} | features(tree[2]) | features(tree[3])
+
+    used = features(html_main.train())
+    assert used & {"words_before", "words_after", "link_density_before", "link_density_after"} and {"words", "link_density"} <= used
+
+
+@pytest.mark.parametrize("tag", ["p", "div"])
+def test_unmarked_pages_keep_their_text(tag):
+    """No name, article or frame: paragraphs of all lengths, list items and sentences with links stay, blocks of links go."""
+    lost = total = 0
+    for lengths in ((70, 20, 110), (25, 5, 40, 17), (13, 22, 10, 31, 19), (55, 2, 90, 28)):
+        story = [" ".join(f"ship{k}of{n}" for k in range(n)) for n in lengths]
+        story[2:2] = ["Ropes", "Sails and oars of oak", "See the list of harbours for it"]
+        marked = [f"<{tag}>{x}</{tag}>" for x in story]
+        marked[2:5] = ["<ul><li>Ropes</li><li>Sails and oars of oak</li></ul>", "", f"<{tag}>See <a href=/h>the list of harbours</a> for it</{tag}>"]
+        page = f"""<html><body><div><a href=/>Home</a></div><ul><li><a href=/1>Weather</a></li><li><a href=/2>Tide tables of the week</a></li></ul><h1>Boats</h1>
+        <div>{''.join(marked)}</div><div><a href=/i>Imprint and terms</a></div><ul><li><a href=/3>More boats</a></li></ul></body></html>"""
+        got = html_main.main_text(page, html_main.train()).split("\n")
+        total += sum(len(x.split()) for x in story)
+        lost += sum(len(x.split()) for x in story if x not in got)
+        assert set(got) <= {"Boats", *story}
+    assert lost < 0.05 * total
+
+
+def test_given_pages_without_names(spark, sf):
+    """The given pages with all names, articles and frames taken out lose under 5 % of their articles' words."""
+    import html
+    import re
+
+    tree, lost, total = html_main.train(), 0, 0
+    for (page,) in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect():
+        article = re.search("<article>(.*?)</article>", page, re.S)[1]
+        want = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", b))).strip() for b in re.split("</?(?:p|h1)>", article)]
+        bare = re.sub(' (class|id)="[^"]*"', "", re.sub("<(/?)(?:article|nav|footer)>", r"<\1div>", page))
+        got = set(html_main.main_text(bare, tree).split("\n"))
+        total += sum(len(b.split()) for b in want)
+        lost += sum(len(b.split()) for b in want if b not in got)
+    assert lost < 0.05 * total
+
+
 def test_pages_are_scanned_in_linear_time():
     import time
 
