@@ -4,8 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from doctables.operators.ranges import asof_join, interval_join
+from doctables.operators.ranges import asof_join, covering_cells, interval_join
 from doctables.operators.regions import split_regions
 from doctables.operators.shredded import choose_columns, read_shredded, write_shredded
 from doctables.workload import QUERIES
@@ -72,6 +73,28 @@ def test_interval_join(spark, unit):
             assert not re.search("NestedLoop|Cartesian", plan(joined))
 
 
+def test_interval_join_repeats_few_rows(spark):
+    """Exploded intervals are never sent whole to every task; intervals of one length look on one level."""
+    points = spark.range(2000).select("id", (F.col("id") / 2).alias("v"))
+    intervals = spark.range(500).select(F.col("id").alias("iid"), F.col("id").cast("double").alias("low"), (F.col("id") + 250.0).alias("high"))
+    joined = interval_join(points, intervals, "v", "low", "high", salts=4)
+    assert "Broadcast" not in plan(joined) and "SortMergeJoin" in plan(joined)
+    assert joined.count() == 500 * 500
+    assert not re.search("Broadcast(Hash|Nested)", plan(QUERIES["r2_interval_prices"](spark, "/root/testdata/sf0.001")))
+    spans = spark.createDataFrame([(a, a + n - 1) for a in (-7, 0, 5, 10 ** 9) for n in (1, 4, 5, 250, 2 ** 40)] + [(-2 ** 63, 2 ** 63 - 1)], "a long, b long")
+    level, cells = covering_cells(F.col("a"), F.col("b"))
+    for x in spans.select("a", "b", level.alias("level"), cells.alias("cells")).collect():
+        assert len(x.cells) <= 5 and x.cells[0] << x.level <= x.a and x.b < (x.cells[-1] + 1) << x.level
+
+
+def test_interval_join_without_ends(spark):
+    points = spark.createDataFrame([(1, -1e300), (2, 0.0), (3, float("inf")), (4, float("nan")), (5, float("-inf"))], "id long, v double")
+    intervals = spark.createDataFrame(
+        [(1, float("-inf"), float("inf")), (2, 0.0, float("inf")), (3, 0.0, float("nan")), (4, float("nan"), 1.0)], "iid long, low double, high double")
+    joined = interval_join(points, intervals, "v", "low", "high")
+    assert sorted((x.id, x.iid) for x in joined.collect()) == [(1, 1), (2, 1), (2, 2), (2, 3), (3, 3), (5, 1)]
+
+
 def boxes_by_force(lines):
     boxes = {(i, j, i, j) for i, row in enumerate(lines) for j, c in enumerate(row) if c is not None}
     while True:
