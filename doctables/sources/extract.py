@@ -163,6 +163,7 @@ _ARROW_SCHEMA = pa.schema([
     ("ok", pa.bool_()), ("error", pa.string()),
 ])
 _FLUSH_CELLS, _FLUSH_CHARS = 200_000, 32_000_000
+_MARKDOWN_CHARS = 1_000_000
 
 
 def _parse_batches(parsers: dict[str, Parser]):
@@ -258,26 +259,35 @@ def list_sheets(documents: DataFrame) -> DataFrame:
     )
 
 
-def pages_to_markdown(documents: DataFrame) -> DataFrame:
-    """Every HTML document as markdown text; a page that fails keeps the reason."""
-    schema = pa.schema([("doc_id", pa.string()), ("source_file", pa.string()),
-                        ("text", pa.string()), ("error", pa.string())])
+_MARKDOWN_SCHEMA = pa.schema([("doc_id", pa.string()), ("source_file", pa.string()),
+                              ("text", pa.string()), ("error", pa.string())])
+
+
+def _markdown_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages = batch.column(2)
+        texts, errors = [], []
+        start = chars = 0
+        for i in range(batch.num_rows):
+            try:
+                texts.append(page_to_markdown(pages[i].as_py() or ""))
+                errors.append(None)
+            except Exception as failure:
+                texts.append(None)
+                errors.append(f"Conversion failed: {failure}")
+            chars += len(texts[-1] or "")
+            if chars > _MARKDOWN_CHARS or i + 1 == batch.num_rows:
+                done = batch.slice(start, i + 1 - start)
+                yield pa.RecordBatch.from_arrays(
+                    [done.column(0), done.column(1), pa.array(texts, pa.string()),
+                     pa.array(errors, pa.string())], schema=_MARKDOWN_SCHEMA,
+                )
+                texts, errors, start, chars = [], [], i + 1, 0
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, errors = [], []
-            for page in batch.column(2).to_pylist():
-                try:
-                    texts.append(page_to_markdown(page or ""))
-                    errors.append(None)
-                except Exception as failure:
-                    texts.append(None)
-                    errors.append(f"Conversion failed: {failure}")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
-                 pa.array(errors, pa.string())], schema=schema,
-            )
 
+def pages_to_markdown(documents: DataFrame) -> DataFrame:
+    """Every HTML document as markdown text; a page that fails keeps the reason. Of a batch, one page
+    and about ``_MARKDOWN_CHARS`` of finished text are Python objects at a time."""
     return documents.select("doc_id", "source_file", "html").mapInArrow(
-        convert, "doc_id string, source_file string, text string, error string"
+        _markdown_batches, "doc_id string, source_file string, text string, error string"
     )

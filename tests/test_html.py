@@ -1,10 +1,12 @@
 """HTML tables: grids of awkward pages, and header and type rules against pandas' own reader."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from sample import SAMPLE_PAGE
 
+from doctables.sources.extract import _markdown_batches
 from doctables.sources.html_tables import page_to_markdown, parse_html
 
 
@@ -92,6 +94,15 @@ def test_markdown():
     assert page_to_markdown(page) == "- one\n- two\n\n## A\nB\n\ntail"
 
 
+def test_markdown_of_a_batch_leaves_in_parts():
+    pages = ["<p>" + "ab " * 100_000 + "</p>", None, "<h1>x</h1>"] * 8
+    batch = pa.RecordBatch.from_pydict({"doc_id": [str(i) for i in range(24)], "source_file": ["f"] * 24, "html": pages})
+    parts = list(_markdown_batches(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 1 and max(p.column(2).nbytes for p in parts) < 1_400_000
+    done = pa.Table.from_batches(parts).to_pydict()
+    assert done["doc_id"] == [str(i) for i in range(24)] and done["text"] == [page_to_markdown(x or "") for x in pages] and not any(done["error"])
+
+
 def test_unclosed_tables_are_scanned_once():
     for n in (100, 1600):
         page = "<table><tr><td>x y" * n
