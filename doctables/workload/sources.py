@@ -405,7 +405,7 @@ def built_pages(spark, sf):
         F.lit("</b> &amp; more</p><ul><li>nation "), fx.text("c_nationkey"), F.lit("</li><li>key "), fx.text("c_custkey"),
         F.lit("</ul><table data-x=a<b><tr><th>k</th><th>v</th></tr><tr><td width=5\">nation</td><td><div style='display:none'><div>x</div>y</div>"),
         fx.text("c_nationkey"), F.lit("</td></tr></table><h2>End</h2><p>Bye.</body></html>"))
-    documents = fx.read(spark, sf, "customer").select(fx.text("c_custkey").alias("doc_id"), F.lit("built.html").alias("source_file"), page.alias("html"))
+    documents = fx.spread(fx.read(spark, sf, "customer"), "c_custkey").select(fx.text("c_custkey").alias("doc_id"), F.lit("built.html").alias("source_file"), page.alias("html"))
     return pages_to_markdown(documents).select(F.col("doc_id").cast("bigint").alias("c_custkey"), "text")
 
 
@@ -416,7 +416,7 @@ def odd_markup(spark, sf):
     page = F.concat(
         F.lit("<table data-x=a<b><tr><td width=5\">k"), fx.text("s_suppkey"), F.lit("<td title=it's>"), "s_name",
         F.lit("<td><div style=\"display:none\"><div>x</div>y</div>"), fx.text("s_nationkey"))
-    documents = fx.read(spark, sf, "supplier").select(fx.text("s_suppkey").alias("doc_id"), F.lit("odd.html").alias("source_file"), page.alias("html"))
+    documents = fx.spread(fx.read(spark, sf, "supplier"), "s_suppkey").select(fx.text("s_suppkey").alias("doc_id"), F.lit("odd.html").alias("source_file"), page.alias("html"))
     row = F.get("body", F.lit(0))
     return extract_pages(documents).select(
         F.col("doc_id").cast("bigint").alias("s_suppkey"), *[F.get(row, F.lit(i)).alias(n) for i, n in enumerate("abc")])
@@ -450,7 +450,7 @@ def registered_format(spark, sf):
         lines = content.decode().splitlines()
         return [ParsedTable("pairs", None, [["key", "value"]], [x.split("=", 1) for x in lines])]
 
-    files = fx.read(spark, sf, "supplier").select(
+    files = fx.spread(fx.read(spark, sf, "supplier"), "s_suppkey").select(
         fx.text("s_suppkey").alias("doc_id"),
         F.concat(F.lit("notes/note_"), fx.text("s_suppkey"), F.lit(".kv")).alias("source_file"),
         F.concat(F.lit("name="), F.col("s_name"), F.lit("\nnation="), fx.text("s_nationkey")).cast("binary").alias("content"),

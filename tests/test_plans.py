@@ -4,6 +4,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from doctables.workload import QUERIES
 
@@ -47,3 +48,11 @@ def test_columns_are_pruned(spark, sf):
     assert re.search(r"ReadSchema: struct<o_orderstatus:string>", text)
     text = plan(QUERIES["j12_largest_table"](spark, sf))
     assert re.search(r"ReadSchema: struct<o_orderstatus:string>", text) and "TakeOrderedAndProject" in text
+
+
+@pytest.mark.parametrize("name", ["s16_built_pages", "s4_odd_markup", "u1_registered_format"])
+def test_narrow_tables_are_dealt_out_before_python(spark, sf, name):
+    """All of such a table is one split of a scan; its rows are many tasks' work."""
+    df = QUERIES[name](spark, sf)
+    assert df.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    assert re.search(r"MapInArrow[\s\S]*Exchange hashpartitioning", plan(df))
