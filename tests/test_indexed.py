@@ -51,6 +51,24 @@ def test_index_finds_what_the_scan_finds(spark, tmp_path):
     assert index.search("abc", ["unknown"]).count() == 0
 
 
+def test_postings_are_one_row_a_block_and_gram(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"d{i}", 1, None, "".join(rng.choice("aB😀é ") for _ in range(40)), "aab" if i % 2 else None, None) for i in range(400)]
+    rows += rows[:1]  # a repeated row
+    index = TrigramIndex(spark, str(tmp_path / "index"), parts=2, buckets=2)
+    index.add(spark.createDataFrame(rows, TEXTS).coalesce(1))
+    wanted = {}
+    for doc, n, _, source, description, _ in rows:
+        for field, text in (("source_file", source.lower()), ("description", description or "")):
+            for i in range(len(text) - 2):
+                wanted.setdefault((text[i:i + 3], field), set()).add((doc, n))
+    stored = spark.read.parquet(f"{index.folder}/postings").collect()
+    (docs,) = [[tuple(x) for x in r.docs] for r in stored if r.gram == ""]
+    assert len(stored) == len(wanted) + 1
+    assert {(r.gram, r.field): {docs[i] for i in r.numbers} for r in stored if r.gram} == wanted
+    assert ("d0", 1) in keys(index.search(rows[0][3][5:12].replace("%", "")))
+
+
 def test_index_follows_replaced_documents(spark, tmp_path):
     index = TrigramIndex(spark, str(tmp_path / "index"), parts=4, buckets=4)
     old = [("a", 1, "ta", "s", "first balance", None), ("b", 1, "tb", "s", "second balance", None)]
