@@ -13,9 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import keep_rows
+
 #: So many fields at most get columns, and only those that this share of the rows has.
 MOST_FIELDS = 16
 LEAST_SHARE = 0.05
+#: What may stand before the brace of a JSON object.
+BEFORE_OBJECT = " \t\n\r\ufeff"
 
 
 def _text(name: str) -> Column:
@@ -25,10 +29,6 @@ def _text(name: str) -> Column:
     return F.try_variant_get("row", f"$['{name}']", "string")
 
 
-def _types() -> dict[str, Column]:
-    return {"bigint": F.col("text").try_cast("bigint"), "double": F.col("text").try_cast("double")}
-
-
 @dataclass(frozen=True)
 class Shredded:
     """A stored table of rows and which fields have columns: name -> (column, type)."""
@@ -69,18 +69,24 @@ class Shredded:
         return self.rows.filter(self.field(name).isNotNull() & (self.number(name) > low))
 
 
+def _object(row_data: str) -> Column:
+    """A JSON object as VARIANT; null for everything else."""
+    return F.when(F.startswith(F.ltrim(row_data, F.lit(BEFORE_OBJECT)), F.lit("{")), F.try_parse_json(row_data))
+
+
 def parsed(table_data: DataFrame) -> DataFrame:
     """table_id, row_index and the row as VARIANT; rows that are no JSON object are left out, as reads of a table do."""
-    rows = table_data.select("table_id", "row_index", F.try_parse_json("row_data").alias("row"))
-    return rows.filter(F.startswith(F.schema_of_variant("row"), F.lit("OBJECT")))
+    return keep_rows(table_data.select("table_id", "row_index", _object("row_data").alias("row")), F.col("row").isNotNull())
 
 
 def field_counts(table_data: DataFrame) -> DataFrame:
-    """How often each field occurs with a value, and how often that reads as a whole number and as a number."""
-    fields = table_data.select(F.explode(F.json_object_keys("row_data")).alias("name"), "row_data")
-    text = F.when(~F.contains("name", F.lit("'")), F.expr("get_json_object(row_data, concat('$[''', name, ''']'))"))
-    counted = fields.select("name", text.alias("text")).select("name", "text", *[c.isNotNull().alias(k) for k, c in _types().items()])
-    return counted.groupBy("name").agg(F.count("text").alias("n"), *[F.count_if(k).alias(k) for k in _types()])
+    """How often each field occurs with a value, and how often that reads as a whole number and as a number, over the rows that are
+    stored. Every row is parsed once."""
+    fields = table_data.select(F.explode(F.try_variant_get(_object("row_data"), "$", "map<string,string>")).alias("name", "text"))
+    # a whole number is a number: a text that is none takes long to read as one
+    whole, number = F.col("text").try_cast("bigint").isNotNull(), F.col("text").try_cast("double").isNotNull()
+    counted = fields.filter(F.col("text").isNotNull()).withColumn("bigint", whole).withColumn("double", F.when(F.col("bigint"), True).otherwise(number))
+    return counted.groupBy("name").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(k).alias(k) for k in ("bigint", "double")])
 
 
 def choose_columns(table_data: DataFrame, most: int = MOST_FIELDS, least_share: float = LEAST_SHARE) -> dict[str, tuple[str, str]]:

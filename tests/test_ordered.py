@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from doctables.operators.ranges import asof_join, covering_cells, interval_join
 from doctables.operators.regions import split_regions
-from doctables.operators.shredded import choose_columns, read_shredded, write_shredded
+from doctables.operators.shredded import choose_columns, field_counts, read_shredded, shred, write_shredded
 from doctables.workload import QUERIES
 
 
@@ -139,6 +139,19 @@ def test_shredded_rows(spark, tmp_path):
     assert empty.columns == {} and empty.rows.count() == 0
 
 
+def test_rows_are_parsed_once(spark):
+    """Neither a filter nor a field parses a row again, and counts are of what is stored."""
+    rows = [("t", i, x) for i, x in enumerate(
+        ['{"a": 1, "b": "1-x", "c": 1.50, "d": {"e": [1, "x"]}, "f": true}', ' \n{"a": 2, "b": "7", "c": 3, "c2": null}', '[{"a": 1}]', '"{"', "{", "null", "", None, '{"a": 3}'])]
+    data = spark.createDataFrame(rows, "table_id string, row_index long, row_data string")
+    made = data.withColumn("row_data", F.concat("row_data", F.lit("")))
+    for df in (field_counts(made), shred(made, {"a": ("f0", "bigint"), "b": ("f1", "string")})):
+        assert len(re.findall("parseJson", plan(df))) == 1 and "SchemaOfVariant" not in plan(df)
+    assert {tuple(r) for r in field_counts(made).collect()} == {("a", 3, 3, 3), ("b", 2, 1, 1), ("c", 2, 1, 2), ("d", 1, 0, 0), ("f", 1, 0, 0)}
+    stored = shred(made, {"c": ("f0", "double"), "d": ("f1", "string")})
+    assert sorted(tuple(r) for r in stored.select("row_index", "f0", "f1").collect()) == [(0, 1.5, '{"e":[1,"x"]}'), (1, 3.0, None), (8, None, None)]
+
+
 @pytest.mark.parametrize("name, pushed", [
     ("j4_shredded_text", r"EqualTo\(f\d,1-URGENT\)"), ("j5_shredded_average", r"EqualTo\(f\d,5-LOW\)"),
     ("j6_shredded_range", r"GreaterThan\(f\d,100000.0\), LessThanOrEqual\(f\d,200000.5\)"), ("j7_shredded_equality", r"EqualTo\(f\d,77\)")])
