@@ -18,6 +18,8 @@ from ..functions.frames import keep_rows
 #: So many fields at most get columns, and only those that this share of the rows has.
 MOST_FIELDS = 16
 LEAST_SHARE = 0.05
+#: Letters that no number holds, be it hexadecimal, infinite or none.
+NO_NUMBER = "ghjklmoqrsuvwz"
 #: What may stand before the brace of a JSON object.
 BEFORE_OBJECT = " \t\n\r\ufeff"
 
@@ -83,8 +85,9 @@ def field_counts(table_data: DataFrame) -> DataFrame:
     """How often each field occurs with a value, and how often that reads as a whole number and as a number, over the rows that are
     stored. Every row is parsed once."""
     fields = table_data.select(F.explode(F.try_variant_get(_object("row_data"), "$", "map<string,string>")).alias("name", "text"))
-    # a whole number is a number: a text that is none takes long to read as one
-    whole, number = F.col("text").try_cast("bigint").isNotNull(), F.col("text").try_cast("double").isNotNull()
+    # a text that is no number takes long to read as one: most are told by their letters
+    whole = ~F.rlike("text", F.lit("[A-Za-z.]")) & F.col("text").try_cast("bigint").isNotNull()
+    number = ~F.rlike("text", F.lit(f"(?i)[{NO_NUMBER}]")) & F.col("text").try_cast("double").isNotNull()
     counted = fields.filter(F.col("text").isNotNull()).withColumn("bigint", whole).withColumn("double", F.when(F.col("bigint"), True).otherwise(number))
     return counted.groupBy("name").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(k).alias(k) for k in ("bigint", "double")])
 

@@ -1,5 +1,6 @@
 """As-of and interval joins, regions of a sheet and shredded rows against plain loops, and their plans."""
 
+import json
 import random
 import re
 
@@ -152,6 +153,16 @@ def test_rows_are_parsed_once(spark):
     assert sorted(tuple(r) for r in stored.select("row_index", "f0", "f1").collect()) == [(0, 1.5, '{"e":[1,"x"]}'), (1, 3.0, None), (8, None, None)]
 
 
+def test_texts_that_read_as_numbers(spark):
+    """Telling most other texts by their letters leaves no number out."""
+    texts = ["1", "+1", " 1 ", "1.0", "1e5", "0x1p3", "0x10", "NaN", "nan", "-Infinity", "inf", "+INF", "1d", "1F", "1L", "1-x", "", "0x1.8P1", "5-LOW"]
+    rows = spark.createDataFrame([("t", i, json.dumps({f"k{i}": x})) for i, x in enumerate(texts)], "table_id string, row_index long, row_data string")
+    plain = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select(
+        F.concat(F.lit("k"), "i"), F.lit(1), *[F.col("text").try_cast(k).isNotNull().cast("int") for k in ("bigint", "double")])
+    assert {tuple(r) for r in field_counts(rows).collect()} == {tuple(r) for r in plain.collect()}
+    assert plan(field_counts(rows)).count("RLIKE") == 2  # reading such a text as a number costs an exception
+
+
 @pytest.mark.parametrize("name, pushed", [
     ("j4_shredded_text", r"EqualTo\(f\d,1-URGENT\)"), ("j5_shredded_average", r"EqualTo\(f\d,5-LOW\)"),
     ("j6_shredded_range", r"GreaterThan\(f\d,100000.0\), LessThanOrEqual\(f\d,200000.5\)"), ("j7_shredded_equality", r"EqualTo\(f\d,77\)")])
