@@ -44,6 +44,16 @@ TAIL = ".,;:!?#$%&*()"
 SPACE_SIGN = "\u0120"
 
 
+#: Fixed value: below it, every letter is in Unicode since its version 7.
+OLD_LETTERS = "\u0530"
+
+
+def byte_signs() -> dict[int, int]:
+    """How a byte-level model writes each byte: printable ones as they are, the others in order from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class IdCoder:
     """Token ids of whole texts with a byte-level BPE tokenizer, as little-endian 32-bit numbers.
 
@@ -65,6 +75,11 @@ class IdCoder:
         # A word of letters is one piece for the model, which is asked directly where nothing else changes it.
         bare = self.tokenizer.normalizer is None and [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(" Ab")] == [SPACE_SIGN + "Ab"]
         self.model = self.tokenizer.model if bare else None
+        # Letters of old alphabets are letters to everyone, so a word of them is one piece: its bytes as signs.
+        signs = byte_signs()
+        probe = "".join(map(chr, filter(lambda c: chr(c).isalpha(), range(ord(OLD_LETTERS)))))
+        as_signs = SPACE_SIGN + probe.encode().decode("latin-1").translate(signs)
+        self.signs = signs if bare and [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(" " + probe)] == [as_signs] else None
         self.known: dict[str, bytes | None] = {}  # what follows a space, with that space; None where it can't stand alone
         self.before: dict[str, bytes | None] = {}
 
@@ -72,8 +87,9 @@ class IdCoder:
         """Ids of words of letters behind a space."""
         if self.model is None:
             return self.encode([" " + w for w in words])
-        tokenize, cut = self.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        tokenize, cut, signs = self.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str, self.signs
         return [array("I", [t.id for t in tokenize(SPACE_SIGN + w)] if w.isascii() else
+                      [t.id for t in tokenize(SPACE_SIGN + w.encode().decode("latin-1").translate(signs))] if signs and max(w) < OLD_LETTERS else
                       [t.id for piece, _ in cut(" " + w) for t in tokenize(piece)]).tobytes() for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -130,20 +146,27 @@ class IdCoder:
         known, before = self.known, self.before
         found = [known.get(w, False) for w in different]
         at = [i for i, x in enumerate(found) if x is False]
-        known.update((w, before[w]) for i in at if (w := different[i]) in before)
-        self.learn([w for i in at if (w := different[i]) not in known])
-        for i in at:
-            found[i] = known[different[i]]
-            if len(different[i]) > KNOWN_CHARS:
-                del known[different[i]]
+        missed = [different[i] for i in at]
+        if before:
+            known.update((w, before[w]) for w in missed if w in before)
+            self.learn([w for w in missed if w not in known])
+        else:
+            self.learn(missed)
+        for i, w in zip(at, missed, strict=True):
+            found[i] = known[w]
+            if len(w) > KNOWN_CHARS:
+                del known[w]
         odd = np.asarray([x is None for x in found], dtype=bool)
-        found = [x or b"" for x in found]
         place = coded.indices.to_numpy()
         ends = starts - np.arange(len(starts))  # each text's first word stands apart
         whole = row_sums(odd[place], ends) > 0
         for marker in (" \n", *self.markers):
             whole |= pc.match_substring(texts, marker).to_numpy(zero_copy_only=False)
-        out = [start + b"".join([found[k] for k in place[a:b].tolist()]) for start, a, b in zip(self.encode(first.to_pylist()), ends[:-1], ends[1:], strict=True)]
+        # ids of all words one behind the other
+        joined = pa.array([x or b"" for x in found], pa.large_binary()).take(coded.indices)
+        data = memoryview(joined.buffers()[2] or b"")
+        bounds = np.frombuffer(joined.buffers()[1], dtype=np.int64)[ends].tolist() if len(joined) else [0] * len(starts)
+        out = [start + data[a:b] for start, a, b in zip(self.encode(first.to_pylist()), bounds[:-1], bounds[1:], strict=True)]
         rest = np.flatnonzero(whole)
         for i, ids in zip(rest.tolist(), self.encode(texts.take(pa.array(rest)).to_pylist()), strict=True):
             out[i] = ids

@@ -470,3 +470,18 @@ def test_rows_that_share_an_id_stay_apart(spark):
     assert sorted(r.text for r in got) == sorted(texts) and {r.doc_id for r in got if r.text == texts[5]} == {9}
     mixed = corpus_pipeline.mix_sources(spark, docs, "").groupBy("text").count().collect()
     assert len(mixed) == 6 and sum(r["count"] for r in mixed) == 12
+
+
+def test_words_of_old_letters_are_coded_by_their_bytes():
+    """Without the pre-tokenizer, and with the ids of whole texts."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from doctables.llm.packing import IdCoder
+
+    coder = IdCoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert coder.signs is not None
+    words = ["stra\u00dfe", "na\u00efve", "\u00c5\u00bc\u00aa\u00ba", "\u0395\u03bb\u03bb\u03ac\u03c2", "\u043f\u0440\u0438\u0432\u0435\u0442", "\u052f", "\u05d0\u05d1", "\u65e5\u672c", "a\u0300b", "caf\u00e9.", "\u0119\n\u0142a"]
+    texts = ["x " + w + " y " + v for w in words for v in words] + ["", " ", words[0]]
+    assert coder.ids(pa.array(texts)) == coder.encode(texts)
+    assert coder.of_letters(words[:8]) == coder.encode([" " + w for w in words[:8]])
