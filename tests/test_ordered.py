@@ -88,6 +88,23 @@ def test_interval_join_repeats_few_rows(spark):
         assert len(x.cells) <= 5 and x.cells[0] << x.level <= x.a and x.b < (x.cells[-1] + 1) << x.level
 
 
+def test_interval_join_salts_hot_cells_only(spark, monkeypatch):
+    """Only intervals in a cell with very many points are copied for salts; points outside all intervals are not shuffled."""
+    rng = random.Random(8)
+    points = [(i, 5.0 if i % 2 else rng.randint(0, 200_000) / 2) for i in range(2000)] + [(2000 + i, -900.0 - i) for i in range(500)]
+    intervals = [(i, low, low + 250.0) for i, low in enumerate([0.0, 4.5, 5.0, 5.5] + [rng.randint(1000, 180_000) / 2 for _ in range(300)])]
+    sides, kind = [], type(spark.range(0))
+    monkeypatch.setattr(kind, "join", lambda self, other, *a, f=kind.join, **b: sides.extend([self, other]) or f(self, other, *a, **b))
+    joined = interval_join(spark.createDataFrame(points, "id long, v double"), spark.createDataFrame(intervals, "iid long, low double, high double"), "v", "low", "high", salts=4)
+    wanted = sorted((a, b) for a, v in points for b, low, high in intervals if low <= v < high)
+    assert sorted((x.id, x.iid) for x in joined.collect()) == wanted
+    looked, cut = sides
+    dealt = {x.hot: x.salts for x in looked.groupBy((F.col("cell") == 0).alias("hot")).agg(F.countDistinct("salt").alias("salts")).collect()}
+    assert dealt == {True: 4, False: 1}
+    assert looked.count() == sum(0 <= v < max(high for _, _, high in intervals) for _, v in points)
+    assert cut.count() <= 5 * len(intervals) + 3 * 4
+
+
 def test_interval_join_without_ends(spark):
     points = spark.createDataFrame([(1, -1e300), (2, 0.0), (3, float("inf")), (4, float("nan")), (5, float("-inf"))], "id long, v double")
     intervals = spark.createDataFrame(
